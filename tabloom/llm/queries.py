@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, simhash, toxicity
+from . import hamming, html_main, mixing, multi_index, packing, phrases, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -36,12 +48,25 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of_pages(_table(spark, sf_dir, "pages")), keep=("page_id",)).drop("block")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_temperature_mix": op2_temperature_mix,
     "op3_simhash": op3_simhash,
+    "op4_multi_index": op4_multi_index,
+    "op5_repeated_phrases": op5_repeated_phrases,
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_hamming_top_k": op9_hamming_top_k,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLE_SQL: dict[str, str] = {}
