@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = stage_table(pairs, "cc")
     state = _digest(pairs)
     if state[0] == 0:
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return _named(pairs)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -67,10 +67,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = stage_table(small, "cc")
         before, state = state, _digest(pairs)
         if state == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return _named(pairs)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _named(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
 def _digest(pairs: DataFrame) -> tuple:
     row = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

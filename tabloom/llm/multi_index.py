@@ -159,7 +159,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         return table.sparkSession.createDataFrame([], schema)
     sample = entries.select("key").orderBy(F.xxhash64("key"), "key").limit(fit_rows).toArrow()["key"].to_pylist()
     x = np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1)
-    half, size = max(1, x.shape[1] // 2), min(128, len(sample), max(1, math.isqrt(total)))
+    half, size = max(1, x.shape[1] // 2), min(128, max(1, len(sample) // 16))
     books = kmeans(x[:, :half], size), kmeans(x[:, half:], size) if x.shape[1] > 1 else np.zeros((size, 0))
 
     def assign(batches):
