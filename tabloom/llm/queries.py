@@ -69,4 +69,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_derivatives": op10_warc_derivatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+x AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win,
+  count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM w),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM x WHERE n = 20),
+c AS (SELECT w.doc_id, w.i, word, coalesce(max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN f ON w.doc_id = f.doc_id AND w.i = f.i),
+k AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _op6_sql() -> str:
+    quote = lambda p: p.replace("'", "''")
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {no} AS no, unnest(regexp_extract_all(t, '{quote(p)}')) AS m, unnest(string_split_regex(t, '{quote(p)}')[1:len(regexp_extract_all(t, '{quote(p)}'))]) AS p, unnest(range(len(regexp_extract_all(t, '{quote(p)}')))) AS j FROM d WHERE regexp_matches(t, '{quote(p)}')"
+        for no, p in enumerate(secrets.PATTERNS.values())
+    )
+    text = lambda cond: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no, e){cond}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, lang, coalesce(text, '') AS t FROM documents),
+m AS ({parts}),
+a AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY rid, no ORDER BY j) AS e FROM m),
+b AS (SELECT rid, no, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CASE WHEN no = 0 THEN regexp_extract(m, '{quote(secrets.ASSIGN)}', 2) ELSE m END AS v FROM a),
+c AS (SELECT * FROM b WHERE (no <> 0 OR length(v) >= 12) AND (no <> 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
+u AS (SELECT * FROM c WHERE no < 3 UNION ALL SELECT * FROM c o WHERE no = 3 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.rid = o.rid AND x.no < 3 AND x.s < o.e AND o.s < x.e)),
+o AS (SELECT v, count(DISTINCT source) AS owners FROM u JOIN d USING (rid) GROUP BY 1),
+g AS (SELECT u.*, owners < {secrets.MIN_OWNERS} AS live, ['assign', 'access', 'hex', 'opaque'][no + 1] AS kind FROM u JOIN o USING (v) WHERE no < 3 OR owners = 1),
+r AS (SELECT rid, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2, count(*) FILTER (no = 3) AS n3, count(*) FILTER (live) AS nl, count(*) FILTER (NOT live) AS nc,
+  {text(' FILTER (no < 3)')} AS base, {text('')} AS spans FROM g GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n3, 0) AS n_opaque, coalesce(nl, 0) AS n_live, coalesce(nc, 0) AS n_copied FROM d LEFT JOIN r USING (rid)"""
+
+
+OP9_SQL = """
+WITH c AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding[1:64]] AS b FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([abs(z[1] - z[2]) FOR z IN list_zip(q.b, c.b)]) AS BIGINT) AS distance FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM r WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op5_repeated_phrases": OP5_SQL, "op6_secret_scan": _op6_sql(), "op9_hamming_top_k": OP9_SQL}
