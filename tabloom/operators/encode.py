@@ -74,21 +74,23 @@ class Quantiles:
 
     def encode(self, col: Column) -> Column:
         """Value to ``2p - 1``. A binary search over the knots, written as an expression;
-        a tied value gets the highest reference of its tie."""
+        a tied value gets the highest reference of its tie, and values below it lead up to
+        the lowest."""
         x = lenient_double(col)
         x = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(self.fill)).otherwise(x)
-        ks, rs = [], []
+        ks, firsts, rs = [], [], []
         for k, r in zip(self.knots, self.references):
             if ks and ks[-1] == k:
                 rs[-1] = r
             else:
                 ks.append(k)
+                firsts.append(r)
                 rs.append(r)
         if len(ks) == 1:
             return (F.when(x < ks[0], -1.0).otherwise(1.0)).cast("float")
-        knots, refs = F.array(*(F.lit(k) for k in ks)), F.array(*(F.lit(r) for r in rs))
+        knots, up, on = (F.array(*(F.lit(x) for x in xs)) for xs in (ks, firsts, rs))
         i = last_not_above(ks[:-1], x)
-        k0, k1, r0, r1 = (F.element_at(a, i + n) for a in (knots, refs) for n in (1, 2))
+        k0, k1, r0, r1 = F.element_at(knots, i + 1), F.element_at(knots, i + 2), F.element_at(on, i + 1), F.element_at(up, i + 2)
         p = F.when(x < ks[0], 0.0).when(x > ks[-1], 1.0).when(x == ks[-1], rs[-1]).when(x == k0, r0).otherwise(r0 + (x - k0) * ((r1 - r0) / (k1 - k0)))
         return (p * 2 - 1).cast("float")
 

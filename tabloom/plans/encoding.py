@@ -33,8 +33,8 @@ def quantile_fit(spark, sf_dir):
 
 
 def _encode_sql(tab: str, key: str, col: str, n: int) -> str:
-    return f"""WITH k AS ({_knots(tab, col, n)}), d AS (SELECT k, max(r) AS r FROM k GROUP BY k),
-e AS (SELECT k AS k0, r AS r0, lead(k) OVER (ORDER BY k) AS k1, lead(r) OVER (ORDER BY k) AS r1 FROM d)
+    return f"""WITH k AS ({_knots(tab, col, n)}), d AS (SELECT k, max(r) AS r, min(r) AS f FROM k GROUP BY k),
+e AS (SELECT k AS k0, r AS r0, lead(k) OVER (ORDER BY k) AS k1, lead(f) OVER (ORDER BY k) AS r1 FROM d)
 SELECT {key}, CAST(CAST(2 * CASE WHEN k1 IS NULL OR {col} = k0 THEN r0 ELSE r0 + ({col} - k0) * ((r1 - r0) / (k1 - k0)) END - 1 AS FLOAT) AS DOUBLE) AS z
 FROM {tab} ASOF JOIN e ON {col} >= k0"""
 
