@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NULL_TOKEN, UNKNOWN_TOKEN, lenient_double, normalise_category
+from .sampling import rank_within
 
 QUANTILES = 1000
 MAP_LIMIT = 1000
@@ -110,7 +111,7 @@ def fit_vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
     each = F.array(*(F.struct(F.lit(c).alias("column_name"), normalise_category(F.col(f"`{c}`"), df.schema[c].dataType).alias("token")) for c in columns))
     freq = df.select(F.explode(each).alias("x")).groupBy("x.column_name", "x.token").agg(F.count(F.lit(1)).alias("freq"))
     tokens = freq.where(~F.col("token").isin(NULL_TOKEN, UNKNOWN_TOKEN))
-    tokens = tokens.withColumn("idx", F.row_number().over(Window.partitionBy("column_name").orderBy("token")).cast("bigint") + 1)
+    tokens = rank_within(tokens, "column_name", [F.col("token")], "idx").withColumn("idx", F.col("idx") + 1)
     fixed = df.sparkSession.createDataFrame([(c, t, i) for c in columns for t, i in ((UNKNOWN_TOKEN, 0), (NULL_TOKEN, 1))], "column_name string, token string, idx long")
     fixed = fixed.join(freq, ["column_name", "token"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("bigint"))
     return fixed.select("column_name", "token", "idx", "freq").unionByName(tokens.select("column_name", "token", "idx", "freq"))

@@ -30,6 +30,18 @@ def global_rank(df: DataFrame, order: list[Column], name: str, range_rows: int =
     return inside.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 
+def rank_within(df: DataFrame, group: str, order: list[Column], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with a row number inside each group, from 1; a null is a group.
+
+    It is the rank over the whole table, by group and order, less the rows of the groups
+    before, so a group may hold most of the table."""
+    rank = global_rank(df, [F.col(group).asc_nulls_first(), *order], "__all", range_rows)
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.col("__g").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("__start", F.coalesce(before, F.lit(0))).select("__g", "__start")
+    return rank.join(starts, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__all") - F.col("__start")).drop("__all", "__g", "__start")
+
+
 def _random_rank(df: DataFrame, key: str, seed: int, stream: str) -> DataFrame:
     return global_rank(df.withColumn("__u", uniform(key, seed, stream)), [F.col("__u"), F.col(key)], "__rank").drop("__u")
 
@@ -41,15 +53,10 @@ def split_random(df: DataFrame, key: str, fraction: float, seed: int, stream: st
 
 
 def split_stratified(df: DataFrame, key: str, label: str, test_share: float, seed: int) -> DataFrame:
-    """``in_test``: of each class ``round(test_share * n)`` random rows.
-
-    A class is cut at the keyed uniform of its last test row, found by a percentile-free
-    count over ranges, so a class may hold most of the table."""
-    ranked = df.withColumn("__u", uniform(key, seed, "strat"))
-    w = Window.partitionBy(label).orderBy("__u", key)
+    """``in_test``: of each class ``round(test_share * n)`` random rows."""
+    ranked = rank_within(df.withColumn("__u", uniform(key, seed, "strat")), label, [F.col("__u"), F.col(key)], "__rank")
     sizes = df.groupBy(F.col(label).alias("__label")).agg(F.round(F.count(F.lit(1)) * test_share).cast("bigint").alias("__take"))
-    ranked = ranked.withColumn("__rank", F.row_number().over(w))
-    out = ranked.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, F.col(label).eqNullSafe(F.col("__label")))
+    out = ranked.join(sizes, F.col(label).eqNullSafe(F.col("__label")))
     return out.withColumn("in_test", F.col("__rank") <= F.col("__take")).drop("__u", "__rank", "__take", "__label")
 
 
@@ -90,7 +97,7 @@ def bootstrap_jitter(df: DataFrame, key: str, numbers: list[str], n: int, seed:
 def take_per_class(df: DataFrame, label: str, wanted: DataFrame, key: str) -> DataFrame:
     """Up to ``wanted.n`` rows of each label, first by key."""
     got = df.join(wanted.select(F.col("label").alias("__label"), F.col("n").alias("__n")), F.col(label).cast("string") == F.col("__label"))
-    got = got.withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(key)))
+    got = rank_within(got, "__label", [F.col(key)], "__rank")
     return got.where("__rank <= __n").drop("__label", "__n", "__rank")
 
 

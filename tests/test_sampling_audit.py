@@ -54,6 +54,10 @@ def test_ranges_do_not_change_ranks(spark):
     one = S.global_rank(df, [F.col("x"), F.col("id")], "r")
     many = S.global_rank(df, [F.col("x"), F.col("id")], "r", range_rows=64)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.select(one.columns).collect()))
+    g = df.withColumn("g", F.when(F.col("id") % 10 > 2, F.col("id") % 2))
+    one, many = (S.rank_within(g, "g", [F.col("x"), F.col("id")], "r", n) for n in (10**6, 64))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.select(one.columns).collect()), key=str)
+    assert one.where("r = 1").count() == 3
     a = M.running(df, F.col("x"), {"t": "id"}).agg(F.sum(F.col("t") * F.col("id"))).first()
     b = M.running(df, F.col("x"), {"t": "id"}, range_rows=64).agg(F.sum(F.col("t") * F.col("id"))).first()
     assert a == b
