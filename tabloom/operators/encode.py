@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NULL_TOKEN, UNKNOWN_TOKEN, lenient_double, normalise_category
+from .metrics import running
 from .sampling import rank_within
 
 QUANTILES = 1000
 MAP_LIMIT = 1000
 
 
+def constants(xs) -> Column:
+    """A constant array of finite numbers, as one expression."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")
+
+
 def _finite(c: str) -> Column:
     x = lenient_double(F.col(f"`{c}`"))
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
@@ -24,24 +30,51 @@ def fit_quantiles(df: DataFrame, columns: list[str], q: int = QUANTILES, exact:
     """``(column_name, quantiles, references, fill_value)``, one row a column.
 
     ``min(max(n, 2), q)`` evenly spaced probabilities of the finite values, linearly
-    interpolated; none gives ``[0.0, 0.0]``. ``exact=False`` sketches the quantiles.
+    interpolated; none gives ``[0.0, 0.0]``. Exact quantiles come from running counts of
+    the distinct values, by ranges of the value; ``exact=False`` sketches them.
     """
     counts = df.agg(*(F.count(_finite(c)).alias(c) for c in columns)).first()
-    fits = []
+    out = None
     for c in columns:
-        n = min(max(counts[c], 2), q)
-        refs = [i / (n - 1) for i in range(n)]
-        x = _finite(c)
-        at = F.percentile(x, F.array(*(F.lit(r) for r in refs))) if exact else F.percentile_approx(x, refs, 100_000)
-        mid = F.median(x) if exact else F.percentile_approx(x, 0.5, 100_000)
-        fits.append(F.struct(F.lit(c).alias("column_name"), F.coalesce(at.cast("array<double>"), F.array(*[F.lit(0.0)] * n)).alias("quantiles"), F.array(*(F.lit(r) for r in refs)).alias("references"), F.coalesce(mid, F.lit(0.0)).alias("fill_value")).alias(c))
-    return df.agg(*fits).select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("x")).select("x.*")
+        m = min(max(counts[c], 2), q)
+        if exact and counts[c]:
+            fit = _exact_quantiles(df.select(_finite(c).alias("v")), counts[c], m)
+        elif counts[c]:
+            at = F.percentile_approx(_finite(c), [i / (m - 1) for i in range(m)], 100_000)
+            fit = df.agg(at.cast("array<double>").alias("quantiles"), F.percentile_approx(_finite(c), 0.5, 100_000).alias("fill_value"))
+        else:
+            fit = df.sparkSession.range(1).select(F.array(F.lit(0.0), F.lit(0.0)).alias("quantiles"), F.lit(0.0).alias("fill_value"))
+        refs = F.expr(f"transform(sequence(0, {m - 1}), i -> i / {m - 1}D)")
+        fit = fit.select(F.lit(c).alias("column_name"), "quantiles", refs.alias("references"), "fill_value")
+        out = fit if out is None else out.unionByName(fit)
+    return out
+
+
+def _exact_quantiles(values: DataFrame, n: int, m: int) -> DataFrame:
+    """``quantiles`` at k/(m-1) for k from 0, and the median, of ``n`` numbers ``v``.
+
+    A distinct value fills the sorted places ``lo`` to ``hi - 1``; the quantiles that need
+    one of these as their lower or upper neighbour follow by whole-number arithmetic."""
+    run = running(values.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c")), F.col("v"), {"hi": "c"})
+    run = run.select("v", (F.col("hi") - F.col("c")).alias("lo"), "hi")
+    top, steps = max(n - 1, 1), m - 1
+    first = lambda place: f"greatest(0L, (({place}) * {steps}L + {top - 1}L) div {top}L)"  # noqa: E731  the first k with floor(k top / steps) >= place
+    near = lambda lo, hi: F.expr(f"CASE WHEN least({first(hi)} - 1, {steps}L) >= {first(lo)} THEN sequence({first(lo)}, least({first(hi)} - 1, {steps}L)) ELSE array() END")
+    low = run.select("v", F.explode(near("lo", "hi")).alias("k")).select("k", F.col("v").alias("a"), F.lit(None).cast("double").alias("b"))
+    high = run.select("v", F.explode(near("lo - 1", "hi - 1")).alias("k")).select("k", F.lit(None).cast("double").alias("a"), F.col("v").alias("b"))
+    part = F.expr(f"(k * {n - 1}L % {steps}L) / {steps}D")
+    at = low.unionByName(high).groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    at = at.select("k", (F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * part).alias("x"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("quantiles")
+    holds = lambda place: F.max(F.when((F.col("lo") <= place) & (F.col("hi") > place), F.col("v")))
+    middle = run.agg(((holds((n - 1) // 2) + holds(n // 2)) / 2).alias("fill_value"))
+    return at.agg(line).join(F.broadcast(middle))  # one row each
 
 
 def last_not_above(knots: list[float], x: Column) -> Column:
     """Position (from 0) of the last of the sorted knots that is not above ``x``, 0 if none
     is: a binary search as an expression over a constant array."""
-    table, steps = F.array(*(F.lit(float(k)) for k in knots)), max(1, math.ceil(math.log2(max(len(knots), 2))))
+    table, steps = constants(knots), max(1, math.ceil(math.log2(max(len(knots), 2))))
     state = F.struct(F.lit(0).alias("lo"), F.lit(len(knots)).alias("hi"))
 
     def halve(acc, _):
@@ -89,7 +122,7 @@ class Quantiles:
                 rs.append(r)
         if len(ks) == 1:
             return (F.when(x < ks[0], -1.0).otherwise(1.0)).cast("float")
-        knots, up, on = (F.array(*(F.lit(x) for x in xs)) for xs in (ks, firsts, rs))
+        knots, up, on = (constants(xs) for xs in (ks, firsts, rs))
         i = last_not_above(ks[:-1], x)
         k0, k1, r0, r1 = F.element_at(knots, i + 1), F.element_at(knots, i + 2), F.element_at(on, i + 1), F.element_at(up, i + 2)
         p = F.when(x < ks[0], 0.0).when(x > ks[-1], 1.0).when(x == ks[-1], rs[-1]).when(x == k0, r0).otherwise(r0 + (x - k0) * ((r1 - r0) / (k1 - k0)))
@@ -100,7 +133,7 @@ class Quantiles:
         n = len(self.knots)
         u = F.least(F.greatest((col.cast("double") + 1) / 2, F.lit(0.0)), F.lit(1.0)) * (n - 1)
         i = F.least(F.floor(u), F.lit(n - 2)).cast("int")
-        knots = F.array(*(F.lit(k) for k in self.knots))
+        knots = constants(self.knots)
         a, b = F.element_at(knots, i + 1), F.element_at(knots, i + 2)
         return a + (b - a) * (u - i)
 
