@@ -186,6 +186,15 @@ def decode_table(df: DataFrame, quantiles: dict[str, Quantiles], vocabulary: Dat
     return out.drop("x_num", "x_cat")
 
 
+def one_hot(vocabulary: DataFrame, column: str, col: Column) -> Column:
+    """1.0 at the place of the category among the fitted tokens, which must be at most
+    1,000; a token that was not seen is all zeros."""
+    tokens = [r.token for r in vocabulary.where((F.col("column_name") == column) & (F.col("idx") > 1)).orderBy("idx").limit(MAP_LIMIT + 1).collect()]
+    if len(tokens) > MAP_LIMIT:
+        raise ValueError(f"{column} has more than {MAP_LIMIT} tokens")
+    return F.array(*(F.coalesce((col.cast("string") == t).cast("double"), F.lit(0.0)) for t in tokens)).cast("array<double>")
+
+
 def embedding_width(cardinality: int, rule: str = "log") -> int:
     """Width of a category's slice: by logarithm, or by the power rule up to 50."""
     if rule == "log":

@@ -178,3 +178,11 @@ _PAIRS = [(i, j) for i in range(3) for j in range(i + 1)]
 def latent_moments(spark, sf_dir):
     got = moments(table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("z")), "z", 3)
     return got.select("i", "j", *(F.round(c, 6).alias(c) for c in ("mean_i", "mean_j", "cov")))
+
+
+@query("SELECT o_orderkey, concat_ws('', CASE o_orderpriority WHEN '2-HIGH' THEN '1000' WHEN '3-MEDIUM' THEN '0100' WHEN '4-NOT SPECIFIED' THEN '0010' WHEN '5-LOW' THEN '0001' ELSE '0000' END) AS places FROM orders")
+def one_hot(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    vocab = E.fit_vocabulary(df.where("o_orderpriority <> '1-URGENT'"), ["o_orderpriority"])
+    places = E.one_hot(vocab, "o_orderpriority", F.col("o_orderpriority"))
+    return df.select("o_orderkey", F.array_join(F.transform(places, lambda x: x.cast("int")), "").alias("places"))

@@ -193,3 +193,8 @@ def training_batches(df: DataFrame, key: str, batch_size: int, epoch: int, seed:
     batches = out.groupBy("batch_id").count().select("batch_id", uniform("batch_id", seed + epoch, "epoch").alias("u"))
     order = global_rank(batches, [F.col("u"), F.col("batch_id")], "batch_order").select("batch_id", "batch_order")
     return out.drop("__rank").join(order, "batch_id")
+
+
+def write_batches(batches: DataFrame, path: str) -> None:
+    """Training batches, a folder for each, so a reader takes one by its name."""
+    batches.write.mode("overwrite").partitionBy("batch_id").parquet(path)

@@ -135,3 +135,11 @@ def test_frozen_transforms_run_on_a_stream(spark, people, tmp_path):
     want = E.encode_table(people, q, vocab, ["age"], ["sex"])
     key = lambda d: sorted((r.record_id, tuple(r.x_num), tuple(r.x_cat)) for r in d.collect())
     assert key(spark.table("encoded")) == key(want)
+
+
+def test_batches_are_folders(spark, tmp_path):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    files.write_batches(files.training_batches(df, "k", 4, 0, 1), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted(r.k for r in back.where("batch_id = 1").collect()) == [4, 5, 6, 7]
+    assert back.where("batch_id = 2").count() == 2
