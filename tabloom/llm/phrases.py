@@ -18,7 +18,7 @@ SHINGLE = 5
 SHARD_PIECES = 4096
 DENSE = 2048
 ODD = 0x9E3779B97F4A7C15
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 class _WordHash(dict):
@@ -203,7 +203,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
        occurrence, so a passage in a third of all documents is one piece; all later
        occurrences are covered whole. 3. The first occurrences, with their words, are
        dealt by anchor to shards; each shard compiles an automaton of its windows and
-       streams its pieces to find which windows have an earlier equal in another piece.
+       streams its pieces to find which windows have an earlier equal in another piece. (An
+    anchor with one piece only has no other piece in which its windows could be.)
        Anchors with more than ``dense`` different pieces (the rims of a very common
        passage) are spread by single windows instead and compared exactly, by 128-bit
        digests, with pre-aggregation.
@@ -212,11 +213,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).where("doc_id IS NOT NULL")
     found = texts.mapInArrow(_anchors, "h long, p long, doc_id long, lo int, n int")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # written by itself, so that the join deals both sides and can split an anchor of many
+    twice = stage_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "phrase-anchors")
     found = stage_table(found.join(twice, "h", "left_semi"), "phrase-pieces")
     first = found.groupBy("h", "p").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.max("n").alias("n"))
-    many = first.groupBy("h").agg((F.count(F.lit(1)) > dense).alias("many"))
-    first = stage_table(first.join(many, "h").select("h", "p", "f.doc_id", "f.lo", "n", "many"), "phrase-first")
+    rivals = first.groupBy("h").agg(F.count(F.lit(1)).alias("rivals"))
+    first = stage_table(first.join(rivals, "h").select("h", "p", "f.doc_id", "f.lo", "n", (F.col("rivals") > 1).alias("shared"), (F.col("rivals") > dense).alias("many")), "phrase-first")
     later = found.join(first.select("h", "p", F.col("doc_id").alias("fd"), F.col("lo").alias("fl")), ["h", "p"]).where("doc_id <> fd OR lo <> fl")
     later = later.select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + WINDOW - 1).alias("e"))
 
@@ -224,7 +226,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
         wanted = rows.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n")).alias("spans"))
         return texts.join(wanted, "doc_id").select("doc_id", "t", "spans").mapInArrow(_cut_pieces, "h long, doc_id long, lo int, piece binary")
 
-    near = words_of(first.where("NOT many")).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "lo")
+    near = words_of(first.where("shared AND NOT many")).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "lo")
     out = later.unionByName(near.mapInArrow(_shards(shard_pieces), "doc_id long, s int, e int"))
     if not first.where("many").isEmpty():
         windows = stage_table(words_of(first.where("many")).mapInArrow(_cut_windows, "w binary, doc_id long, s int"), "phrase-windows")
