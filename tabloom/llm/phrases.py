@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import slices, stage_table
 
 WINDOW = 20
 SHINGLE = 5
@@ -59,7 +59,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     where it starts and how many windows it has."""
     memo, span = _WordHash(), WINDOW - SHINGLE + 1
     up, down = _powers(1 << 16)
-    for b in batches:
+    for b in slices(batches):
         ids, texts, at = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), 0
         while at < len(texts):
             hashes, doc, first, n = [], [], [], 0
@@ -95,7 +95,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the pieces that start first in each document."""
-    for b in batches:
+    for b in slices(batches):
         h, doc, lo, text = [], [], [], []
         for d, t, spans in zip(*(c.to_pylist() for c in b.columns)):
             words = (t or b"").split()
@@ -155,7 +155,7 @@ def _shards(limit: int):
             got = locate([r[1:] for r in rows])
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.int32())], names=["doc_id", "s", "e"])
 
-        for b in batches:
+        for b in slices(batches):
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if len(held) >= limit and row[0] != held[-1][0]:
                     yield done(held)
@@ -168,7 +168,7 @@ def _shards(limit: int):
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         key, doc, start = [], [], []
         for _, d, lo, piece in zip(*(c.to_pylist() for c in b.columns)):
             words = piece.split()
@@ -180,7 +180,7 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         total, gone, sha = [], [], []
         for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             words = (t or b"").split()
