@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TRAIN_ROWS = 6000
 MAX_FEATURES = 20000
 BUCKETS = 1 << 20
 THRESHOLD = 0.3
 WORD_OR_END = re.compile(r"[^\W\d_]+|[.!?\n]+")
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def held_out(col) -> F.Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: its label, sentence lengths and the features of all sentences."""
-    for b in batches:
+    for b in slices(batches):
         size, ids = [], []
         for text in b.column(1).to_pylist():
             bags = [np.array([f for w in ws for f in word_features(w)], np.int32) for _, _, ws in sentences(text or "")]
@@ -91,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel()
     sizes = [np.frombuffer(x, np.int32) for x in got["size"].to_pylist()]
     ids = [np.frombuffer(x, np.int32) for x in got["ids"].to_pylist()]
-    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(ids[i].tobytes()), y[i]))  # whatever order the rows came in
+    del got
+    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(ids[i]), y[i]))  # whatever order the rows came in
     return _train(y[order], [sizes[i] for i in order], [ids[i] for i in order], max_features, rounds)
 
 
@@ -103,12 +106,16 @@ def _train(y, sizes, ids, max_features, rounds) -> ToxicityModel:
     seen = pos + neg
     keep = np.flatnonzero(seen >= 3)
     keep = keep[np.argsort(-np.abs(odds[keep]) * np.sqrt(seen[keep]), kind="stable")[:max_features]]
-    column = np.full(BUCKETS, -1, np.int64)
+    column = np.full(BUCKETS, -1, np.int32)
     column[keep] = np.arange(len(keep))
     doc_of = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
-    sentence_of = np.repeat(np.arange(len(doc_of)), np.concatenate(sizes))
-    col = column[np.concatenate(ids)]
-    sentence_of, col = sentence_of[col >= 0], col[col >= 0]
+    cols, owners, first = [], [], 0
+    for x, s in zip(ids, sizes):  # a document at a time: only kept features are gathered
+        c, of = column[x], np.repeat(np.arange(first, first + len(s), dtype=np.int32), s)
+        cols.append(c[c >= 0])
+        owners.append(of[c >= 0])
+        first += len(s)
+    col, sentence_of = np.concatenate(cols), np.concatenate(owners)
     leak, n, d = 0.01, len(doc_of), len(y)
     w, bias = np.zeros(len(keep)), np.log(y.mean() / max(1.0, n / d))
     gw, gb, l1, rate = np.full(len(keep), 1e-6), 1e-6, 0.05 / d, 0.5
@@ -162,7 +169,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             got = [scorer.score(t) for t in b.column(2).to_pylist()]
             s = pa.array([x[0] for x in got], pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -181,7 +188,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([scorer.score(t)[0] < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
