@@ -53,7 +53,7 @@ def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses_of_pages(_table(spark, sf_dir, "pages")), keep=("page_id",)).drop("block")
+    return warc.derive(warc.responses_of_pages(_table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -86,6 +86,13 @@ def test_warc_records_link_and_round_trip(spark, sf):
         assert head["WARC-Block-Digest"] == warc.digest(block) and head["WARC-Refers-To"] in source
 
 
+def test_warc_query_returns_bodies(spark, sf):
+    from tabloom.llm.queries import QUERIES
+
+    rows = QUERIES["op10_warc_derivatives"](spark, sf).collect()
+    assert rows and all(r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode()) for r in rows)
+
+
 def test_warc_edges(spark):
     rows = [(None, None, None, None), ("<urn:x>", "http://a", "2020-01-01T00:00:00Z", b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=latin-1\r\nX-A: b: c\r\n\r\n<p>caf\xe9</p>"), ("<urn:x>", "http://a", "2020-01-01T00:00:00Z", b"no headers at all")]
     df = spark.createDataFrame(rows, "record_id string, target_uri string, date string, block binary").withColumn("title", F.lit(1))
