@@ -10,7 +10,9 @@ from ..operators.sampling import bootstrap_jitter
 from .neighbours import CAT, NEAREST, NUM, OWN, _real, synthetic
 from .registry import query, table
 
+#: The capped attack of ``shadow_set`` and ``mia_audit``, and the attack on all rows.
 CONFIG = A.ShadowConfig(mode="ci_lite", trees=20, seed=42)
+WHOLE = A.ShadowConfig()
 
 
 @query(
@@ -23,18 +25,18 @@ def dcr_audit(spark, sf_dir):
     return got.select(F.round("dcr_threshold", 6).alias("dcr_threshold"), F.round("dcr_median", 6).alias("dcr_median"), F.round("dcr_p5", 6).alias("dcr_p5"), F.round("memorized_share", 9).alias("memorized_share"), "dcr_approved", "threshold_is_zero")
 
 
-def _shadow_sql(n: int = 512, k: int = 3, seed: int = 42) -> str:
-    """Both shadows in SQL: the bounded rows, the split, the bootstrap, the features."""
+def _shadow_sql(n: int | None = 512, k: int = 3, seed: int = 42, shadows: int = 2, share: float = 0.5) -> str:
+    """The shadows in SQL: the rows (bounded by ``n``), the split, the bootstrap, the features."""
     u = lambda key, s, stream: uniform_sql(key, s, stream)
-    parts = [f"WITH base AS (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_mktsegment FROM customer ORDER BY {u('c_custkey', seed, 'bound')}, c_custkey LIMIT {n})"]
+    parts = [f"WITH base AS (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_mktsegment FROM customer ORDER BY {u('c_custkey', seed, 'bound')}, c_custkey{f' LIMIT {n}' if n else ''})"]
     outs = []
-    for s in range(2):
+    for s in range(shadows):
         z = seed + s
         parts.append(
             f"""p{s} AS (SELECT *, row_number() OVER (ORDER BY {u('c_custkey', z, 'split')}, c_custkey) <= floor(0.5 * (SELECT count(*) FROM base) + 1e-9) AS m FROM base),
 r{s} AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM p{s} WHERE m),
 g{s} AS (SELECT c_acctbal + {normal_sql('i', z, 'jitter-c_acctbal')} * 0.01 * (SELECT stddev_samp(c_acctbal) FROM r{s}) AS a, c_nationkey + {normal_sql('i', z, 'jitter-c_nationkey')} * 0.01 * (SELECT stddev_samp(c_nationkey) FROM r{s}) AS n, c_mktsegment AS c
-  FROM range((SELECT CAST(greatest(1, floor(count(*) * 0.5)) AS BIGINT) FROM r{s})) AS t(i) JOIN r{s} ON k = floor({u('i', z, 'boot')} * (SELECT count(*) FROM r{s})) + 1)"""
+  FROM range((SELECT CAST(greatest(1, floor(count(*) * {share})) AS BIGINT) FROM r{s})) AS t(i) JOIN r{s} ON k = floor({u('i', z, 'boot')} * (SELECT count(*) FROM r{s})) + 1)"""
         )
         for label, cond in ((1, "m"), (0, "NOT m")):
             f = f"(SELECT c_acctbal AS a, c_nationkey AS n, c_mktsegment AS c FROM p{s} WHERE {cond} UNION ALL SELECT a, n, c FROM g{s})"
@@ -57,11 +59,17 @@ def shadow_set(spark, sf_dir):
     return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in A.FEATURES), "label", "shadow_id")
 
 
+@query(_shadow_sql(None, WHOLE.n_neighbors, WHOLE.seed, WHOLE.n_shadow_models, WHOLE.multiplier))
+def shadow_set_whole(spark, sf_dir):
+    got = A.shadow_set(_shadow_rows(spark, sf_dir), "c_custkey", NUM, CAT, WHOLE)
+    return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in A.FEATURES), "label", "shadow_id")
+
+
 @query()
 def mia_scores(spark, sf_dir):
     real = _shadow_rows(spark, sf_dir)
     members, others = real.where("c_custkey % 2 = 0"), real.where("c_custkey % 2 = 1")
-    return A.mia_scores(members, synthetic(members), "c_custkey", NUM, CAT, CONFIG, holdout=others)
+    return A.mia_scores(members, synthetic(members), "c_custkey", NUM, CAT, WHOLE, holdout=others)
 
 
 @query()
@@ -70,6 +78,12 @@ def mia_audit(spark, sf_dir):
     return A.mia_audit(real, synthetic(real), "c_custkey", NUM, CAT, CONFIG)
 
 
+@query()
+def mia_audit_whole(spark, sf_dir):
+    real = _shadow_rows(spark, sf_dir)
+    return A.mia_audit(real, synthetic(real), "c_custkey", NUM, CAT, WHOLE)
+
+
 def _labelled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -82,11 +96,11 @@ def _made(df):
 @query()
 def utility_audit(spark, sf_dir):
     df = _labelled(spark, sf_dir)
-    return A.utility_audit(df, _made(df), "doc_id", "quality", ["n_chars"], ["lang", "source"], rounds=5)
+    return A.utility_audit(df, _made(df), "doc_id", "quality", ["n_chars"], ["lang", "source"])
 
 
 @query()
 def full_audit(spark, sf_dir):
     df = _labelled(spark, sf_dir)
-    got = A.full_audit(df, _made(df).select(*df.columns), "doc_id", ["n_chars"], ["lang"], "quality", CONFIG)
+    got = A.full_audit(df, _made(df).select(*df.columns), "doc_id", ["n_chars"], ["lang"], "quality", WHOLE)
     return got.select("overall_verdict", "privacy_approved", F.to_json(F.struct("dcr", "mia", "utility")).alias("report"))

@@ -1,5 +1,6 @@
 """Samples, neighbours, generator and audits on small tables."""
 
+import json
 import math
 from collections import Counter
 
@@ -31,6 +32,31 @@ def test_attack_is_capped(pair):
     assert row.mia_mode == "ci_lite" and row.shadow_models == 2 and 0 <= row.mia_roc_auc <= 1
 
 
+def test_registered_attacks_see_all_rows(spark):
+    from tabloom.plans.registry import QUERIES
+
+    data = "/root/testdata/sf0.01"  # more rows than the capped attack takes
+    customers = {r.c_custkey for r in spark.read.parquet(f"{data}/customer.parquet").select("c_custkey").collect()}
+    assert len(customers) > 512
+    rows = QUERIES["shadow_set_whole"](spark, data).select("c_custkey", "shadow_id").collect()
+    assert sorted(rows) == sorted((c, s) for c in customers for s in range(4))
+    rows = QUERIES["mia_scores"](spark, data).collect()
+    assert {(r.c_custkey, r.label) for r in rows} == {(c, 1 - c % 2) for c in customers} and len(rows) == len(customers)
+
+
+def test_registered_audits_are_whole(spark, sf, monkeypatch):
+    from tabloom.plans.registry import QUERIES
+
+    made, rounds = A._classifier, []
+    monkeypatch.setattr(A, "_classifier", lambda *a: rounds.append(a[-1]) or made(*a))
+    mia = json.loads(QUERIES["full_audit"](spark, sf).first().report)["mia"]
+    assert mia["mia_mode"] == "release" and mia["shadow_models"] == 4
+    QUERIES["utility_audit"](spark, sf)
+    assert rounds == [20] * 4
+    row = QUERIES["mia_audit_whole"](spark, sf).first()
+    assert 0 <= row.mia_roc_auc <= 1 and row.mia_mode == "release" and row.shadow_models == 4
+
+
 def test_provider_callback_and_folds(pair):
     seen = []
 
