@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ INTEGERS = ("tinyint", "smallint", "int", "bigint")
 TIMES = ("date", "timestamp", "timestamp_ntz")
 CATEGORIES = 10_000
 RIDGE = 1e-6
+WIDE = 16
 
 
 @dataclass(frozen=True)
@@ -58,12 +60,37 @@ def _interval(part: tuple, token: Column) -> Column:
 
 
 def latent_moments(df: DataFrame, col: str, width: int) -> DataFrame:
-    """``(i, j, mean_i, mean_j, cov)`` of an array column, in one aggregate."""
+    """``(i, j, mean_i, mean_j, cov)`` of an array column, in one aggregate; for long
+    arrays, whose pairs are too many expressions, from sums of products of each task."""
+    if width > WIDE:
+        return _wide_moments(df, col, width)
     x = [F.col(col)[i] for i in range(width)]
     pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.avg(x[i]).alias("mean_i"), F.avg(x[j]).alias("mean_j"), F.covar_pop(x[i], x[j]).alias("cov")) for i in range(width) for j in range(i + 1)]
     return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("x")).select("x.*")
 
 
+def _wide_moments(df: DataFrame, col: str, width: int) -> DataFrame:
+    """The same from matrices: values less their mean, so that sums of products stay small."""
+    rows = df.select(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(col, i).cast("double")).alias("x"))
+    found = {r.pos: r.m for r in rows.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m")).collect()}
+    means = [found.get(i) for i in range(width)]
+    centre = np.array([m or 0.0 for m in means])
+    i, j = np.tril_indices(width)
+
+    def run(batches):
+        n, s, c = (np.zeros((width, width)) for _ in range(3))
+        for b in batches:
+            flat = b.column(0).flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width)
+            x = np.where(known, flat.to_numpy(zero_copy_only=False).reshape(-1, width) - centre, 0.0)
+            n, s, c = n + known.T.astype(float) @ known, s + x.T @ known, c + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(a) for a in (n[i, j], s[i, j], s[j, i], c[i, j]))], names=["i", "j", "n", "si", "sj", "c"])
+
+    got = rows.mapInArrow(run, "i int, j int, n double, si double, sj double, c double").groupBy("i", "j").agg(*(F.sum(a).alias(a) for a in ("n", "si", "sj", "c")))
+    mean = F.array(*(F.lit(m).cast("double") for m in means))
+    return got.select("i", "j", mean[F.col("i")].alias("mean_i"), mean[F.col("j")].alias("mean_j"), F.when(F.col("n") > 0, F.col("c") / F.col("n") - F.col("si") / F.col("n") * (F.col("sj") / F.col("n"))).alias("cov"))
+
+
 def fit(df: DataFrame, key: str, columns: list[str], seed: int = 0, q: int = 200) -> Generator:
     """Fits the marginals and the covariance. Rare categories keep intervals of their own."""
     types = {c: df.schema[c].dataType.simpleString() for c in columns}

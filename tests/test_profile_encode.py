@@ -143,3 +143,15 @@ def test_batches_are_folders(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "b"))
     assert sorted(r.k for r in back.where("batch_id = 1").collect()) == [4, 5, 6, 7]
     assert back.where("batch_id = 2").count() == 2
+
+
+def test_registered_vector_queries_take_all_components(spark, sf):
+    from tabloom.plans.registry import QUERIES
+
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], dtype=np.float64)
+    rows = QUERIES["noising_pairs_whole"](spark, sf).collect()
+    assert len(rows) == len(x) and {len(r.noised) for r in rows} == {x.shape[1]}
+    rows, cov = QUERIES["latent_moments_whole"](spark, sf).collect(), np.cov(x.T, bias=True)
+    assert sorted((r.i, r.j) for r in rows) == [(i, j) for i in range(x.shape[1]) for j in range(i + 1)]
+    for r in rows:
+        assert abs(r.cov - cov[r.i, r.j]) < 2e-6 and abs(r.mean_i - x[:, r.i].mean()) < 2e-6 and abs(r.mean_j - x[:, r.j].mean()) < 2e-6
