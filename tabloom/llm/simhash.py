@@ -194,27 +194,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows stay repeated. An empty table gives an empty result. Other columns of
     ``docs`` are not read.
     """
+    return _classes(docs, id_col, text_col, shingle, blocks, bucket_limit).drop("root")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, blocks: int = 3, bucket_limit: int = 512) -> DataFrame:
+    """The same with ``root``, which names a class even where classes share their smallest id."""
     rows = stage_table(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     comp = connected_components(links(each, blocks, bucket_limit))
     each = each.join(comp, each.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     roots = each.groupBy("root").agg(F.min("low").alias("component_id"))
-    lookup = each.join(roots, "root").select("fp", "component_id")
-    return rows.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    lookup = each.join(roots, "root").select("fp", "component_id", "root")
+    return rows.join(lookup, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but the smallest id of each near-duplicate class.
 
-    Repeated rows of one id keep one row. Rows with a null id cannot stand for a class or
+    Of the rows of a repeated id one stays for each class that it stands for. Rows with a null id cannot stand for a class or
     be named as a copy; they stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = _classes(docs, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
-        return kept
-    many = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
-    once = kept.join(again, F.col(id_col) == F.col("__again"), "left_anti")
-    return once.unionByName(many)
+        return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    once = docs.join(again, F.col(id_col) == F.col("__again"), "left_anti").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    # the texts of a repeated id may be of several classes, so their fingerprints decide
+    many = docs.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__text", F.xxhash64(F.col(text_col).cast("binary")))
+    prints = fingerprints(many.dropDuplicates(["__text"]), "__text", text_col).select(F.col("doc_id").alias("__text"), F.col("fp").alias("__fp"))
+    lead = found.where("doc_id = component_id").select(F.col("doc_id").alias("__lead"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    many = many.join(prints, "__text").withColumn("__lead", F.col(id_col).cast("long")).join(lead, ["__lead", "__fp"])
+    return once.unionByName(many.dropDuplicates(["__root"]).select(*docs.columns))

@@ -124,6 +124,12 @@ def test_simhash_edges(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_of_each_class_with_repeated_ids(spark):
+    rows = [(5, "a b c d"), (7, "a b c d"), (3, "v w x y"), (5, "v w x y"), (8, "k l m n"), (8, "k l m n"), (8, "p q r s"), (9, "p q r s")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(3, "v w x y"), (5, "a b c d"), (8, "k l m n"), (8, "p q r s")]
+
+
 # --- repeated phrases ---------------------------------------------------------------
 
 
