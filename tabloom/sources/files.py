@@ -14,7 +14,6 @@ from ..functions.scalars import null_tokens
 
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_BYTES = 64 * 1024
-INFER_ROWS = 10_000
 ROW_GROUP_ROWS = 100_000
 
 
@@ -58,15 +57,15 @@ LADDER = (
 )
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, infer_rows: int = INFER_ROWS) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, infer_rows: int | None = None) -> DataFrame:
     """Tolerant read with a header: null tokens become null, ragged rows are cut or padded,
-    each column gets the first type of the ladder that all of its first ``infer_rows``
-    texts fit, and later texts that do not fit become null."""
+    each column gets the first type of the ladder that all of its texts fit. With
+    ``infer_rows`` only the first texts count, and later ones that do not fit become null."""
     sep = sep or detect_delimiter(spark, path)
     raw = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
     raw = raw.select(*(null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns))
     fits = [F.every(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`").rlike(look) & F.col(f"`{c}`").try_cast(kind).isNotNull())).alias(f"{i}:{name}") for i, c in enumerate(raw.columns) for name, look, kind in LADDER]
-    seen = raw.limit(infer_rows).agg(F.count(F.lit(1)).alias("n"), *fits).first() if raw.columns else None
+    seen = (raw if infer_rows is None else raw.limit(infer_rows)).agg(F.count(F.lit(1)).alias("n"), *fits).first() if raw.columns else None
     out = []
     for i, c in enumerate(raw.columns):
         kind = next((k for name, _, k in LADDER if seen["n"] and seen[f"{i}:{name}"]), "string")

@@ -155,3 +155,11 @@ def test_registered_vector_queries_take_all_components(spark, sf):
     assert sorted((r.i, r.j) for r in rows) == [(i, j) for i in range(x.shape[1]) for j in range(i + 1)]
     for r in rows:
         assert abs(r.cov - cov[r.i, r.j]) < 2e-6 and abs(r.mean_i - x[:, r.i].mean()) < 2e-6 and abs(r.mean_j - x[:, r.j].mean()) < 2e-6
+
+
+def test_types_fit_all_rows(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("a,b\n" + "1,1\n" * 10_050 + "x,2.5\n")
+    df = files.read_delimited(spark, str(tmp_path / "late.csv"), ",")
+    assert dict(df.dtypes) == {"a": "string", "b": "double"} and df.where("a IS NULL OR b IS NULL").count() == 0
+    early = files.read_delimited(spark, str(tmp_path / "late.csv"), ",", infer_rows=10_000)
+    assert dict(early.dtypes) == {"a": "bigint", "b": "bigint"}
