@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Workspace, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests in local mode) a local folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+__all__ = ["Workspace", "connected_components", "slices", "stage_table"]
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -27,10 +16,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     The written table cuts the lineage: a lost executor costs a re-read, not a re-run,
     and the rows (with any generated ids) no longer change.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def slices(batches, rows: int = 512):
@@ -40,47 +26,42 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as ``(u, v)`` long pairs.
 
     Alternates large-star and small-star rounds on DataFrames until the edge table stops
     changing; then every node points straight at its component's smallest node. Nothing
-    but two numbers a round reaches the driver. Self loops, repeated and reversed edges
-    are fine; null ends are ignored. Returns ``(node, component)`` for every node that
-    has an edge. Raises if ``max_rounds`` rounds do not settle it.
+    but two numbers a round reaches the driver. The least neighbours are written before
+    they are joined, so that the join deals both sides anew and can split the rows of a
+    node that has very many neighbours. A finished round's tables are dropped.
+
+    Self loops, repeated and reversed edges are fine; null ends are ignored; no edges give
+    an empty result. Returns ``(node, component)`` for every node that has an edge.
     """
+    work, n = Workspace(edges.sparkSession, "components"), 0
     pairs = (
         edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    pairs = stage_table(pairs, "cc")
+    pairs = work.table(pairs, "pairs0")
     state = _digest(pairs)
-    if state[0] == 0:
-        return _named(pairs)
-    for _ in range(max_rounds):
+    while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = work.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{n}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        pairs = stage_table(small, "cc")
+        large = work.table(large.where("u <> v").distinct(), f"large{n}")
+        low = work.table(large.groupBy("u").agg(F.min("v").alias("m")), f"low{n}")
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        pairs = work.table(small, f"pairs{n + 1}")
         before, state = state, _digest(pairs)
+        work.drop(f"pairs{n}", f"least{n}", f"large{n}", f"low{n}")
+        n += 1
         if state == before:
-            return _named(pairs)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _named(stars: DataFrame) -> DataFrame:
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            break
+    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def _digest(pairs: DataFrame) -> tuple:
