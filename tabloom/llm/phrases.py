@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,22 +11,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage_table
+from .common import Workspace, slices
 
 WINDOW = 20
 SHINGLE = 5
-SHARD_PIECES = 4096
-DENSE = 2048
+CHUNK = 10
+STRIDE = WINDOW - CHUNK + 1
+SHARD_BYTES = 4 << 20
+DIGITS = 64
 ODD = 0x9E3779B97F4A7C15
 MEMO = 300_000
 
 
-class _WordHash(dict):
+class _Numbers(dict):
+    """Numbers words as they come; ``fresh`` are those numbered since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class _WordHashes:
+    """Hashes of words, remembered by number."""
+
+    def __init__(self):
+        self.number, self.known = _Numbers(), np.zeros(0, np.uint64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > MEMO:
+            self.__init__()
+        at = np.array([self.number[w] for w in words], np.int64)
+        if self.number.fresh:
+            self.known = np.r_[self.known, np.array([xxhash.xxh64_intdigest(w) for w in self.number.fresh], np.uint64)]
+            self.number.fresh.clear()
+        return self.known[at]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +75,24 @@ class _Hasher:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def _least_of(x: np.ndarray, span: int) -> np.ndarray:
+    """Position of the least of each ``span`` neighbours by their upper 32 bits, the first
+    of equals; the lower bits carry the positions along."""
+    low = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=np.uint64)
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        low = np.minimum(low[:-step], low[step:])
+        done += step
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of every document. The anchor of a window is the least of its shingle
     hashes, so equal windows have equal anchors at equal places; a piece is a run of
     windows with one anchor, given by the anchor's hash ``h``, its own hash ``p``, and
     where it starts and how many windows it has."""
-    memo, span = _WordHash(), WINDOW - SHINGLE + 1
+    memo, span = _WordHashes(), WINDOW - SHINGLE + 1
     up, down = _powers(1 << 16)
     for b in slices(batches):
         ids, texts, at = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), 0
@@ -66,7 +101,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while at < len(texts) and (not n or n < 1 << 18):
                 words = (texts[at] or b"").split()
                 if len(words) >= WINDOW:
-                    hashes.append(np.array([memo[w] for w in words], np.uint64))
+                    hashes.append(memo(words))
                     doc.append(at)
                     first.append(n)
                     n += len(words)
@@ -80,9 +115,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = _Hasher(np.concatenate(hashes), up, down)
             starts = np.arange(n - SHINGLE + 1)
             shingle = run(starts, starts + SHINGLE)
-            pick = np.lib.stride_tricks.sliding_window_view(shingle, span).argmin(1)
+            least = _least_of(shingle, span)
             whole = np.flatnonzero(of[: n - WINDOW + 1] == of[WINDOW - 1 :])  # windows inside one document
-            anchor = whole + pick[whole]
+            anchor = least[whole]
             new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1] + 1)])
             count = np.diff(np.r_[new, len(whole)])
             lo = whole[new]
@@ -93,164 +128,215 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the pieces that start first in each document."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the pieces asked for: a digest of the words, where they are, and the
+    piece (with its number of copies and its start)."""
+    kinds = {"w": pa.binary(), "doc_id": pa.int64(), "s": pa.int32(), "h": pa.int64(), "p": pa.int64(), "c": pa.int64(), "lo": pa.int32()}
     for b in slices(batches):
-        h, doc, lo, text = [], [], [], []
+        rows = []
         for d, t, spans in zip(*(c.to_pylist() for c in b.columns)):
-            words = (t or b"").split()
-            for s in spans:
-                h.append(s["h"])
-                doc.append(d)
-                lo.append(s["lo"])
-                text.append(b" ".join(words[s["lo"] : s["lo"] + s["n"] + WINDOW - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(text, pa.binary())], names=["h", "doc_id", "lo", "piece"])
-
+            words = t.split()
+            for x in spans:
+                for s in range(x["lo"], x["lo"] + x["n"]):
+                    rows.append((xxhash.xxh3_128_digest(b" ".join(words[s : s + WINDOW])), d, s, x["h"], x["p"], x["c"], x["lo"]))
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
 
-def locate(pieces: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """Words of the pieces ``(doc, lo, words)`` that a window with an earlier equal covers.
 
-    The distinct windows are compiled into one automaton over word numbers; streaming
-    every piece through it gives each occurrence of each window, hence the first.
-    """
-    import ahocorasick
-
-    number: dict[bytes, int] = {}
-    runs = [tuple(number.setdefault(w, len(number)) for w in words.split()) for _, _, words in pieces]
-    auto, n = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
-    for run in runs:
-        for i in range(len(run) - WINDOW + 1):
-            window = run[i : i + WINDOW]
-            if not auto.exists(window):
-                auto.add_word(window, n)
-                n += 1
-    auto.make_automaton()
-    first: list = [None] * n
-    hits = []
-    for (doc, lo, _), run in zip(pieces, runs):
-        found = [(k, lo + end - WINDOW + 1) for end, k in auto.iter(run)]
-        hits.append(found)
-        for k, start in found:
-            if first[k] is None or (doc, start) < first[k]:
-                first[k] = (doc, start)
-    out = []
-    for (doc, _, _), found in zip(pieces, hits):
-        for k, start in found:
-            if first[k] != (doc, start):
-                if out and out[-1][0] == doc and out[-1][1] <= start <= out[-1][2]:
-                    out[-1] = (doc, out[-1][1], max(out[-1][2], start + WINDOW))
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the passages that a shard asks of a document, overlapping ones as one."""
+    for b in slices(batches):
+        shard, doc, start, body = [], [], [], []
+        for k, d, spans, t in zip(*(c.to_pylist() for c in b.columns)):
+            words, merged = t.split(), []
+            for s, e in sorted((x["s"], x["s"] + x["n"] + WINDOW - 1) for x in spans):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e)
                 else:
-                    out.append((doc, start, start + WINDOW))
-    return out
-
-
-def _shards(limit: int):
-    """Rows come sorted by anchor; whole anchors are gathered into shards of about
-    ``limit`` pieces, and each shard gets an automaton of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def done(rows):
-            got = locate([r[1:] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.int32())], names=["doc_id", "s", "e"])
-
-        for b in slices(batches):
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if len(held) >= limit and row[0] != held[-1][0]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield done(held)
+                    merged.append([s, e])
+            for s, e in merged:
+                shard.append(k)
+                doc.append(d)
+                start.append(s)
+                body.append(b" ".join(words[s:e]))
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary())], names=["shard", "doc_id", "s", "body"])
 
-    return run
 
+class PhraseAutomaton:
+    """Aho-Corasick over the words of known passages ``(doc_id, start, words)``.
 
-def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        key, doc, start = [], [], []
-        for _, d, lo, piece in zip(*(c.to_pylist() for c in b.columns)):
-            words = piece.split()
-            for i in range(len(words) - WINDOW + 1):
-                key.append(xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])))
-                doc.append(d)
-                start.append(lo + i)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], names=["w", "doc_id", "s"])
-
+    A passage goes in as chunks of 10 words, 11 apart: every window of 20 words holds a
+    whole chunk. A chunk met in a text is widened along the passage, word by word; 20
+    words or more in common are an occurrence of the passage's windows. Each word is three
+    letters or so of an alphabet that differs by place, so no match begins inside a word.
+    """
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, passages: list[tuple[int, int, bytes]]):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        number = self.number
+        runs = [[number.setdefault(w, len(number) + 1) for w in body.split()] for _, _, body in passages]
+        self.places = [(d, s) for d, s, _ in passages]
+        self.runs = [np.array(r, np.int32) for r in runs]
+        self.width = max(1, math.ceil(math.log(len(number) + 1, DIGITS) + 1e-9))
+        self.letters = ["".join(chr(1 + k * DIGITS + i // DIGITS**k % DIGITS) for k in range(self.width)) for i in range(len(number) + 1)]
+        self.unknown = chr(1 + self.width * DIGITS) * self.width
+        self.auto, self.uses = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+        for n, run in enumerate(runs):
+            for at in range(0, len(run) - CHUNK + 1, STRIDE):
+                key = "".join([self.letters[i] for i in run[at : at + CHUNK]])
+                k = self.auto.get(key, -1)
+                if k < 0:
+                    self.auto.add_word(key, len(self.uses))
+                    self.uses.append([(n, at)])
+                else:
+                    self.uses[k].append((n, at))
+        self.code = {w: self.letters[i] for w, i in number.items()}
+        if self.uses:
+            self.auto.make_automaton()
+
+    def repeats(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
+        """Word spans, merged, covered by windows that start earlier in a passage."""
+        if doc_id is None or len(words) < WINDOW or not self.uses:
+            return []
+        text = "".join([self.code.get(w, self.unknown) for w in words])
+        ids, upto, found = None, {}, []
+        for end, k in self.auto.iter(text):
+            at = (end + 1) // self.width - CHUNK
+            for n, off in self.uses[k]:
+                lead = at - off  # where the passage's first word would be
+                if upto.get((n, lead), 0) > at:
+                    continue
+                if ids is None:
+                    ids = np.array([self.number.get(w, 0) for w in words], np.int32)
+                lo, hi = self._common(ids, self.runs[n], at, off)
+                upto[(n, lead)] = hi
+                if hi - lo >= WINDOW and (self.places[n][0], self.places[n][1] + lo - lead) < (doc_id, lo):
+                    found.append((lo, hi))
+        merged: list[list[int]] = []
+        for lo, hi in sorted(found):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        return [tuple(x) for x in merged]
+
+    @staticmethod
+    def _common(ids: np.ndarray, run: np.ndarray, at: int, off: int) -> tuple[int, int]:
+        """The words of the text around ``at`` that are also in the passage around ``off``."""
+        n = min(len(ids) - at, len(run) - off)
+        differ = ids[at : at + n] != run[off : off + n]
+        right = int(differ.argmax()) if differ.any() else n
+        n = min(at, off)
+        differ = ids[at - n : at][::-1] != run[off - n : off][::-1]
+        left = int(differ.argmax()) if n and differ.any() else n
+        return at - left, at + right
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard, passages before documents: each shard's passages are
+    compiled, then its documents are streamed through the automaton."""
+    shard, passages, auto = None, [], None
     for b in slices(batches):
-        total, gone, sha = [], [], []
-        for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            words = (t or b"").split()
-            kept, at = [], 0
-            for x in sorted((x["s"], x["e"]) for x in spans or ()):
-                kept += words[at : max(at, x[0])]
-                at = max(at, x[1])
-            kept += words[at:]
+        ids, total, spans, kept = [], [], [], []
+        for k, is_doc, d, s, body in zip(*(c.to_pylist() for c in b.columns)):
+            if k != shard:
+                shard, passages, auto = k, [], None
+            if not is_doc:
+                passages.append((d, s, body))
+                continue
+            if auto is None:
+                auto, passages = PhraseAutomaton(passages), []
+            words = (body or b"").split()
+            gone = auto.repeats(d, words)
+            rest, at = [], 0
+            for lo, hi in gone:
+                rest += words[at:lo]
+                at = hi
+            rest += words[at:]
+            ids.append(d)
             total.append(len(words))
-            gone.append(len(words) - len(kept))
-            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES, dense: int = DENSE) -> DataFrame:
-    """``(doc_id, s, e)``: word spans covered by windows of 20 words that start earlier too.
-
-    1. Pieces whose anchor occurs twice in the corpus are kept (about one anchor in eight
-       words is shuffled, as numbers). 2. Equal pieces are collapsed to their first
-       occurrence, so a passage in a third of all documents is one piece; all later
-       occurrences are covered whole. 3. The first occurrences, with their words, are
-       dealt by anchor to shards; each shard compiles an automaton of its windows and
-       streams its pieces to find which windows have an earlier equal in another piece. (An
-    anchor with one piece only has no other piece in which its windows could be.)
-       Anchors with more than ``dense`` different pieces (the rims of a very common
-       passage) are spread by single windows instead and compared exactly, by 128-bit
-       digests, with pre-aggregation.
+            spans.append([{"start": lo, "end": hi} for lo, hi in gone])
+            kept.append(b" ".join(rest))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "spans", "kept"]
+        )
+
+
+def recurring_passages(texts: DataFrame, work: Workspace, shards: int) -> DataFrame:
+    """``(shard, doc_id, spans)``: the passages, at their first places, that recur in some
+    document of a shard; a passage is ``n`` windows from word ``s``.
+
+    Every document is cut into pieces around anchors, which travel as numbers. Pieces
+    whose anchor recurs are kept, equal ones are collapsed to their first place. Where an
+    anchor has one piece only, that piece recurs as it is; where it has several, their
+    windows are compared by a digest of their words. Each later piece asks for its windows'
+    first places on behalf of its shard. Tables are written before they are joined, so the
+    joins can split a common anchor, piece or window.
     """
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).where("doc_id IS NOT NULL")
-    found = texts.mapInArrow(_anchors, "h long, p long, doc_id long, lo int, n int")
-    # written by itself, so that the join deals both sides and can split an anchor of many
-    twice = stage_table(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "phrase-anchors")
-    found = stage_table(found.join(twice, "h", "left_semi"), "phrase-pieces")
-    first = found.groupBy("h", "p").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.max("n").alias("n"))
-    rivals = first.groupBy("h").agg(F.count(F.lit(1)).alias("rivals"))
-    first = stage_table(first.join(rivals, "h").select("h", "p", "f.doc_id", "f.lo", "n", (F.col("rivals") > 1).alias("shared"), (F.col("rivals") > dense).alias("many")), "phrase-first")
-    later = found.join(first.select("h", "p", F.col("doc_id").alias("fd"), F.col("lo").alias("fl")), ["h", "p"]).where("doc_id <> fd OR lo <> fl")
-    later = later.select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + WINDOW - 1).alias("e"))
-
-    def words_of(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n")).alias("spans"))
-        return texts.join(wanted, "doc_id").select("doc_id", "t", "spans").mapInArrow(_cut_pieces, "h long, doc_id long, lo int, piece binary")
-
-    near = words_of(first.where("shared AND NOT many")).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "lo")
-    out = later.unionByName(near.mapInArrow(_shards(shard_pieces), "doc_id long, s int, e int"))
-    if not first.where("many").isEmpty():
-        windows = stage_table(words_of(first.where("many")).mapInArrow(_cut_windows, "w binary, doc_id long, s int"), "phrase-windows")
-        # a count of plain numbers combines before the shuffle; the first place follows in two steps
-        one = windows.groupBy("w").agg(F.min("doc_id").alias("fd"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        same = windows.join(one, "w")
-        start = same.where("doc_id = fd").groupBy("w").agg(F.min("s").alias("fs"))
-        same = same.join(start, "w").where("doc_id <> fd OR s <> fs")
-        out = out.unionByName(same.select("doc_id", "s", (F.col("s") + WINDOW).alias("e")))
-    return out
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES, dense: int = DENSE) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` of every row, whole texts.
+    found = work.table(texts.mapInArrow(_anchors, "h long, p long, doc_id long, lo int, n int"), "pieces")
+    twice = work.table(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "anchors")
+    again = work.table(found.join(twice, "h", "left_semi"), "recurring")
+    work.drop("pieces", "anchors")
+    first = again.groupBy("h", "p").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    first = work.table(first.select("h", "p", "f.doc_id", "f.lo", "n", "c"), "first")
+    rivals = work.table(first.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "rivals")
+    alone = first.join(rivals, "h", "left_anti").select("h", "p", F.col("doc_id").alias("fd"), F.col("lo").alias("lead"), F.col("lo").alias("s"), "n")
+    asked = first.join(rivals, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "lo", "n", "c")).alias("spans"))
+    asked = work.table(asked, "asked")
+    windows = texts.join(asked, "doc_id").select("doc_id", "t", "spans").mapInArrow(_windows, "w binary, doc_id long, s int, h long, p long, c long, lo int")
+    windows = work.table(windows, "windows")
+    # counts and least ids combine before the shuffle; the first place in a document follows
+    known = windows.groupBy("w").agg(F.min("doc_id").alias("fd"), F.sum("c").alias("c")).where("c > 1").select("w", "fd")
+    known = work.table(known, "known")
+    places = windows.join(known, "w")
+    start = places.where("doc_id = fd").groupBy("w", "fd").agg(F.min("s").alias("fs"))
+    start = work.table(start, "places")
+    # windows of a piece whose first places move along with them are one passage
+    shared = windows.join(start, "w").select("h", "p", "fd", (F.col("fs") - F.col("s") + F.col("lo")).alias("lead"), "fs")
+    shared = shared.groupBy("h", "p", "fd", "lead").agg(F.min("fs").alias("s"), (F.max("fs") - F.min("fs") + 1).alias("n"))
+    sources = work.table(alone.unionByName(shared), "sources")
+    work.drop("first", "rivals", "asked", "windows", "known", "places")
+    later = again.select("h", "p", "doc_id", "lo").join(sources, ["h", "p"]).where("doc_id <> fd OR lo <> lead")
+    wants = later.groupBy(_shard("doc_id", shards), F.col("fd").alias("doc_id")).agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    wants = work.table(wants, "wants")
+    work.drop("recurring", "sources")
+    return wants
+
+
+def _shard(col: str, shards: int):
+    return F.pmod(F.xxhash64(col), F.lit(shards)).cast("int").alias("shard")
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``doc_id, n_words, spans, kept`` of every row, whole texts.
+
+    A window is 20 words in a row; ``spans`` are the word spans covered by windows that
+    also start earlier (in a smaller id, or earlier in the same document), ``kept`` are the
+    other words, joined by one space (bytes).
+
+    Recurring passages are found first (``recurring_passages``). Documents are dealt to
+    shards of about ``shard_bytes``; each shard compiles one automaton of the passages that
+    can occur in it, and streams all its documents through it. Every removed word comes
+    from a match that was compared word by word, and each document passes one automaton.
 
     Null and empty texts have no words. Documents of fewer than 20 words lose nothing.
     Rows with a null id have no place in the order: they lose nothing and are nobody's
     earlier copy. Rows that repeat an id are one document, not repeats of each other. An
-    empty table gives an empty result.
+    empty table gives an empty result. Other columns are not read.
     """
-    spans = repeats(docs, id_col, text_col, shard_pieces, dense)
-    spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    nameless = texts.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<s:int,e:int>>"))
-    named = texts.where("doc_id IS NOT NULL").join(spans, "doc_id", "left").select("doc_id", "t", "spans")
-    return named.mapInArrow(_finish, schema).unionByName(nameless.mapInArrow(_finish, schema))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    texts = rows.where("doc_id IS NOT NULL")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    shards = max(1, math.ceil((size.b + 64 * size.n) / shard_bytes))
+    work = Workspace(spark, "phrases")
+    wants = recurring_passages(texts.where(F.col("t").isNotNull()), work, shards)
+    bodies = wants.join(texts.where(F.col("t").isNotNull()), "doc_id").select("shard", "doc_id", "spans", "t")
+    bodies = bodies.mapInArrow(_passages, "shard int, doc_id long, s int, body binary")
+    bodies = bodies.select("shard", F.lit(False).alias("is_doc"), "doc_id", "s", "body")
+    nameless = F.pmod(F.xxhash64("t"), F.lit(shards)).cast("int")
+    every = rows.select(F.when(F.col("doc_id").isNull(), nameless).otherwise(_shard("doc_id", shards)).alias("shard"), F.lit(True).alias("is_doc"), "doc_id", F.lit(0).alias("s"), F.col("t").alias("body"))
+    dealt = bodies.unionByName(every).repartition(max(1, math.ceil(shards / 2)), "shard").sortWithinPartitions("shard", "is_doc")
+    return dealt.mapInArrow(_stream, "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept binary")

@@ -32,7 +32,9 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.dedup_substrings(_table(spark, sf_dir, "documents"))
+    found = phrases.dedup_substrings(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,10 +148,15 @@ def plain_phrases(rows):
     return out
 
 
-@pytest.mark.parametrize(("shard", "dense"), [(4096, 2048), (8, 2048), (4096, 0)])
-def test_phrases_match_plain(docs, texts, shard, dense):
-    got = {r[0]: tuple(r)[1:] for r in phrases.dedup_substrings(docs, shard_pieces=shard, dense=dense).collect()}
-    assert got == plain_phrases(texts.items())
+def removed(df, **options):
+    """``doc_id -> (n_words, n_removed, digest of the kept words)``."""
+    rows = phrases.dedup_substrings(df, **options).collect()
+    return [(r.doc_id, r.n_words, sum(x.end - x.start for x in r.spans), hashlib.sha256(r.kept).hexdigest()) for r in rows]
+
+
+@pytest.mark.parametrize("shard", [phrases.SHARD_BYTES, 20_000])
+def test_phrases_match_plain(docs, texts, shard):
+    assert {r[0]: r[1:] for r in removed(docs, shard_bytes=shard)} == plain_phrases(texts.items())
 
 
 def test_phrases_common_passage(spark):
@@ -162,16 +167,36 @@ def test_phrases_common_passage(spark):
     rows = [(i, f"{own(int(rng.integers(0, 40)))} {passage} {own(int(rng.integers(0, 40)))} {passage if i % 3 == 0 else ''}") for i in range(60)]
     rows += [(100, "a " * 50), (101, "a b " * 30), (102, "a " * 19)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for dense in (2048, 10):
-        got = {r[0]: tuple(r)[1:] for r in phrases.dedup_substrings(df, dense=dense).collect()}
-        assert got == plain_phrases(rows)
+    for shard in (phrases.SHARD_BYTES, 1000):
+        assert {r[0]: r[1:] for r in removed(df, shard_bytes=shard)} == plain_phrases(rows)
+
+
+def test_phrases_random_overlaps(spark):
+    """Few different words, so that windows overlap, repeat inside and begin anywhere."""
+    rng = np.random.default_rng(4)
+    stock = [[f"v{x}" for x in rng.integers(0, 3, int(rng.integers(15, 60)))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = [w for _ in range(int(rng.integers(1, 5))) for w in (stock[rng.integers(12)] if rng.random() < 0.7 else [f"u{rng.integers(50)}"] * int(rng.integers(1, 9)))]
+        cut = int(rng.integers(0, 12))
+        rows.append((int(rng.permutation(10)[0]) * 1000 + i, " ".join(words[cut:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (phrases.SHARD_BYTES, 3000):
+        assert {r[0]: r[1:] for r in removed(df, shard_bytes=shard)} == plain_phrases(rows)
+
+
+def test_phrases_come_from_the_automaton(docs, monkeypatch):
+    """Without a match nothing is removed: no other path finds repeats."""
+    assert any(r[2] for r in removed(docs))
+    monkeypatch.setattr(phrases.PhraseAutomaton, "repeats", lambda self, doc_id, words: [])
+    assert not any(r[2] for r in removed(docs))
 
 
 def test_phrases_edges(odd, none):
-    got = {(r.doc_id, r.n_words, r.n_removed) for r in phrases.dedup_substrings(odd).collect()}
+    got = removed(odd)
     # the long text is periodic (977 words): only its first period stays, and nothing of its copy
-    assert got == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 60000, 60000 - 977), (5, 60000, 60000), (6, 2, 0), (None, 2, 0), (7, 3, 0)}
-    assert phrases.dedup_substrings(odd).count() == 9
+    assert {r[:3] for r in got} == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 60000, 60000 - 977), (5, 60000, 60000), (6, 2, 0), (None, 2, 0), (7, 3, 0)}
+    assert len(got) == 9
     assert phrases.dedup_substrings(none).count() == 0
 
 
