@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import Workspace
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -17,67 +17,67 @@ PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, OPAQUE)))
 MIN_OWNERS = 3
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Matches of a kind as an array of ``(start, no, end, h)``; offsets in code points.
+BLOCK = 1024
+MARK = "<secret>"
 
-    Pieces between matches and the matches themselves come from the same regular
-    expression, so their lengths add up to the offsets.
+
+def _matches(text: Column, no: int) -> Column:
+    """Matches of a kind in their order, as ``(no, gap, m)``: the match and the length of
+    the text between it and the one before."""
+    pattern = PATTERNS[KINDS[no]]
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.lit(no).alias("no"), F.length(p).alias("gap"), m.alias("m")))
+    return F.when(text.rlike(pattern), F.filter(pairs, lambda x: x.m.isNotNull())).otherwise(F.array())
+
+
+def _marked(work: Workspace, docs: DataFrame, text_col: str, keep: list[str], repo_cols: tuple[str, ...], owner_col: str) -> DataFrame:
+    """Every row once, written: ``row``, the columns to ``keep`` as a struct, the owner and
+    repository, and the matches of all kinds. This is the only pass of the patterns."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    hits = F.concat(*(_matches(F.col(text_col), no) for no in range(len(KINDS))))
+    rows = docs.select(
+        F.struct(*keep).alias("doc"), F.concat_ws("/", *map(name, repo_cols)).alias("repo"), name(owner_col).alias("owner"),
+        F.coalesce(hits, F.array()).cast("array<struct<no:int,gap:int,m:string>>").alias("hits"), F.monotonically_increasing_id().alias("row"),
+    )
+    return work.table(rows, "rows")
+
+
+def _candidates(work: Workspace, rows: DataFrame) -> DataFrame:
+    """``(row, owner, repo, start, no, end, h)`` of each candidate; offsets in code points.
+
+    Gaps and matches come from the same pattern, so running sums of their lengths are the
+    offsets. An opaque token that overlaps a base span is not a candidate of its own: no
+    base span that starts up to its start may end beyond it, none after may start within.
     """
-    pattern = PATTERNS[kind]
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    pairs = F.filter(pairs, lambda x: x.m.isNotNull())
-    empty = F.array().cast("array<struct<start:int,no:int,end:int,h:string>>")
-
-    def step(acc, x):
-        start = acc["at"] + x["p"]
-        end = start + F.length(x["m"])
-        value = F.regexp_extract(x["m"], pattern, 2) if kind == "assign" else x["m"]
-        own = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("no"), end.alias("end"), value.alias("h"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
-
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    if kind == "assign":
-        found = F.filter(found, lambda x: F.length(x.h) >= 12)
-    if kind == "opaque":
-        found = F.filter(found, lambda x: x.h.rlike("[0-9]") & x.h.rlike("[A-Za-z]"))
-    found = F.transform(found, lambda x: F.struct(x.start, x.no, x.end, F.sha2(x.h, 256).alias("h")))
-    return F.when(text.rlike(pattern), found).otherwise(empty)
-
-
-def _may_hold(text: Column) -> Column:
-    hit = F.lit(False)
-    for pattern in PATTERNS.values():
-        hit = hit | text.rlike(pattern)
-    return F.coalesce(hit, F.lit(False))
-
-
-def candidates(docs: DataFrame, text_col: str, repo: Column, owner: Column, keep: list[Column]) -> DataFrame:
-    """Rows that may hold a secret, written once: ``row_id, repo, owner, spans`` and
-    ``keep``. An opaque token that overlaps a base span is not a candidate of its own."""
-    text = F.col(text_col)
-    rows = docs.where(_may_hold(text)).select(*keep, repo.alias("__repo"), owner.alias("__owner"), *(_spans(text, k).alias(f"__{k}") for k in KINDS))
-    base = F.concat("__assign", "__access", "__hex")
-    rows = rows.withColumn("__base", base)
-    own = F.filter("__opaque", lambda o: ~F.exists("__base", lambda b: (b.start < o.end) & (o.start < b.end)))
-    rows = rows.withColumn("__spans", F.array_sort(F.concat("__base", own))).drop("__base", *(f"__{k}" for k in KINDS))
-    return stage_table(rows.withColumn("__row", F.monotonically_increasing_id()), "secrets")
+    each = rows.where(F.size("hits") > 0).select("row", "owner", "repo", F.posexplode("hits").alias("i", "x")).select("row", "owner", "repo", "i", "x.*").repartition("row")
+    done = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("row", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    each = each.withColumn("end", done).withColumn("start", F.col("end") - F.length("m"))
+    each = each.withColumn("v", F.when(F.col("no") == 0, F.regexp_extract("m", ASSIGN, 2)).otherwise(F.col("m")))
+    each = each.where(((F.col("no") != 0) | (F.length("v") >= 12)) & ((F.col("no") != 3) | (F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]"))))
+    base = F.col("no") < 3
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("start"))
+    after = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start")))
+    each = each.withColumn("before", before).withColumn("after", after)
+    each = each.where(base | ~F.coalesce((F.col("before") > F.col("start")) | (F.col("after") < F.col("end")), F.lit(False)))
+    return work.table(each.select("row", "owner", "repo", "start", "no", "end", F.sha2("v", 256).alias("h")), "candidates")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per candidate hash: its occurrences and its distinct repositories and owners."""
-    each = found.select("__repo", "__owner", F.explode("__spans.h").alias("h"))
+    """Per candidate hash ``h``: its occurrences and its distinct repositories and owners."""
     # copies of one value inside one repository meet before the shuffle on the value
-    each = each.groupBy("h", "__owner", "__repo").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = each.groupBy("h", "__owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
+    each = found.groupBy("h", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = each.groupBy("h", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
     return by_owner.groupBy("h").agg(F.sum("n").alias("n"), F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
 
 
-def _judged(found: DataFrame, min_owners: int) -> DataFrame:
-    """Per row: its spans, each with ``live`` (seen with fewer than ``min_owners`` owners)."""
-    each = found.select("__row", F.explode("__spans").alias("s")).select("__row", "s.*")
-    each = each.join(ownership(found), "h")
+def _judged(work: Workspace, rows: DataFrame, min_owners: int) -> DataFrame:
+    """``(row, start, no, end, live)`` of each span; ``live`` is seen with fewer than
+    ``min_owners`` owners. The counts are written before they are joined, so that the join
+    can split the rows of a value that is everywhere."""
+    found = _candidates(work, rows)
+    known = work.table(ownership(found), "ownership")
+    each = found.select("row", "start", "no", "end", "h").join(known.select("h", "owners"), "h")
     each = each.where((F.col("no") < 3) | (F.col("owners") == 1))  # an opaque token counts only as one owner's own
-    return each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "no", "end", (F.col("owners") < min_owners).alias("live")))).alias("__found"))
+    return each.select("row", "start", "no", "end", (F.col("owners") < min_owners).alias("live"))
 
 
 def _columns(spans: Column) -> list[Column]:
@@ -102,35 +102,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     and repository (``repo_cols``): values seen with ``min_owners`` owners or more are
     copied examples, the others look live. Base spans are kept either way; opaque tokens
     are added where a single owner has them. Null owners are one owner, null texts are
-    empty, repeated rows are rows of their own, an empty table gives an empty result.
+    empty, repeated rows are rows of their own, an empty table gives an empty result. The
+    work grows with the number of matches, however many one text has.
     """
-    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
-    repo = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols))
-    found = candidates(docs, text_col, repo, owner, [F.col(id_col).alias("doc_id")])
-    judged = found.select("doc_id", "__row").join(_judged(found, min_owners), "__row", "left")
-    judged = judged.select("doc_id", F.coalesce("__found", F.array().cast(EMPTY)).alias("__s"))
-    clean = docs.where(~_may_hold(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.array().cast(EMPTY).alias("__s"))
-    return clean.unionByName(judged).select("doc_id", *_columns(F.col("__s")))
+    work = Workspace(docs.sparkSession, "secrets")
+    rows = _marked(work, docs, text_col, [id_col], repo_cols, owner_col)
+    spans = F.array_sort(F.collect_list(F.struct("start", "no", "end", "live")))
+    judged = work.table(_judged(work, rows, min_owners).groupBy("row").agg(spans.alias("found")), "judged")
+    out = rows.select("row", F.col(f"doc.`{id_col}`").alias("doc_id")).join(judged, "row", "left")
+    return out.select("doc_id", F.coalesce("found", F.array().cast(EMPTY)).alias("s")).select("doc_id", *_columns(F.col("s")))
 
 
 def redact(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
     """``docs`` with each live-looking secret replaced by ``<secret>``; no row is lost.
 
-    Overlapping spans become one mark. Copied examples stay as they are.
+    Overlapping spans become one mark. Copied examples stay as they are. Null and empty
+    texts stay, repeated rows are redacted each, an empty table gives an empty result.
+    Texts with a live span are cut into blocks of 1024 code points, so that a place in a
+    text is found within its block; the work grows with text and matches only.
     """
-    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
-    repo = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols))
-    found = candidates(docs, text_col, repo, owner, [F.col(c) for c in docs.columns])
-    rows = found.join(_judged(found, min_owners), "__row", "left")
-    text = F.col(text_col)
-    live = F.filter(F.coalesce("__found", F.array().cast(EMPTY)), lambda x: x.live)
-
-    def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["out"], gap, F.lit("<secret>")).alias("out"), x["end"].alias("at"))).otherwise(
-            F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
-        )
-
-    clear = F.aggregate(live, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn(text_col, F.when(F.size(live) > 0, clear).otherwise(text))
-    return docs.where(~_may_hold(text)).unionByName(rows.select(*docs.columns))
+    work = Workspace(docs.sparkSession, "redact")
+    rows = _marked(work, docs, text_col, docs.columns, repo_cols, owner_col)
+    live = work.table(_judged(work, rows, min_owners).where("live").select("row", "start", "end"), "live")
+    marks = _islands(live)
+    spread = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("k")
+    marks = work.table(marks.select("row", "start", "end", spread).groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks")), "marks")
+    touched = work.table(live.select("row").distinct(), "touched")
+    text = F.col(f"doc.`{text_col}`")
+    blocks = rows.join(touched, "row", "left_semi").select("row", F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("k", "part"))
+    blocks = blocks.select("row", F.col("k").cast("long").alias("k"), "part").join(marks, ["row", "k"], "left")
+    clear = blocks.select("row", "k", F.when(F.col("marks").isNull(), F.col("part")).otherwise(_cleared(F.col("part"), F.col("k") * BLOCK, F.col("marks"))).alias("part"))
+    clear = clear.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x.part), "").alias("clear"))
+    clear = work.table(clear, "clear")
+    out = rows.select("doc", "row").join(clear, "row", "left")
+    return out.select(*(F.coalesce("clear", text).alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns))
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """Overlapping spans of a row as one."""
+    w = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    each = spans.withColumn("upto", F.max("end").over(w))
+    begins = (F.col("upto").isNull() | (F.col("start") >= F.col("upto"))).cast("int")
+    island = F.sum(begins).over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("island", island).groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def _cleared(part: Column, first: Column, marks: Column) -> Column:
+    """A block from code point ``first`` on, without its marked spans; the mark stands in
+    the block in which its span starts."""
+
+    def piece(x, i):
+        at = F.when(i == 0, first).otherwise(F.element_at(marks, F.greatest(i, F.lit(1))).end)
+        gap = F.substring(part, (at - first + 1).cast("int"), F.greatest(x.start - at, F.lit(0)).cast("int"))
+        return F.concat(gap, F.when(x.start >= first, F.lit(MARK)).otherwise(F.lit("")))
+
+    tail = F.substring(part, (F.element_at(marks, -1).end - first + 1).cast("int"), F.lit(BLOCK))
+    return F.concat(F.array_join(F.transform(marks, piece), ""), tail)
