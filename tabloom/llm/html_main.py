@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -35,53 +36,73 @@ OTHER_WORDS = frozenset(
 TAGS = ("article", "main", "section", "div", "p", "ul", "li", "nav", "footer", "header", "aside", "form", "table", "blockquote", "pre", "body", "html", "h1", "h2", "h3")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^>="']++|=\s*+(?:"[^"]*"|'[^']*')?+|["'])*+>""", re.S)
+OPENS = re.compile(r"</?[A-Za-z]|<[!?]")
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-ATTR = re.compile(r"""([A-Za-z_:@][\w:.@-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTR = re.compile(r"""(?<![\w:.@-])([A-Za-z_:@][\w:.@-]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+STOPS = SCOPE | frozenset(SELF_CLOSING) | {"p"}
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "at", "end")
+    """``paragraph`` is the open ``p`` that a block would close; ``stop`` is the nearest
+    node, itself included, at which a search for what to close goes on."""
+
+    __slots__ = ("tag", "attrs", "parent", "kids", "at", "paragraph", "stop")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.paragraph = self if tag == "p" else None if parent is None or tag in SCOPE else parent.paragraph
+        self.stop = self if parent is None or tag in STOPS else parent.stop
 
 
 def parse(page: str) -> Node:
     """A DOM of elements and text. Unclosed, misnested and stray tags are mended in the
-    usual way; comments and declarations are left out; raw text holds no tags."""
+    usual way; comments and declarations are left out; raw text holds no tags. From a tag
+    on that nothing closes, the page is text. The time grows with the page, whatever its
+    tags: every step is constant or closes nodes for good."""
     root = Node("#root", "", None)
-    here, at, n = root, 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
+    here, at, text, n, opened = root, 0, 0, len(page), Counter()
+
+    def closed(node: Node) -> Node:
+        up = here
+        while up is not node:
+            opened[up.tag] -= 1
+            up = up.parent
+        opened[node.tag] -= 1
+        return node.parent
+
+    while (at := page.find("<", at)) >= 0:
+        m = TOKEN.match(page, at)
         if m is None:
-            here.kids.append(page[at:])
-            break
-        if m.start() > at:
-            here.kids.append(page[at : m.start()])
-        at, token = m.end(), m[0]
+            if OPENS.match(page, at):
+                break
+            at += 1
+            continue
+        if at > text:
+            here.kids.append(page[text:at])
+        at = text = m.end()
+        token = m[0]
         if token[1] in "!?":
             continue
         tag = NAME.match(token)[1].lower()
         if token[1] == "/":
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[tag] > 0:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = closed(up)
             continue
-        if tag in CLOSES_P:
-            up = here
-            while up is not root and up.tag != "p" and up.tag not in SCOPE:
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
+        if tag in CLOSES_P and here.paragraph is not None:
+            here = closed(here.paragraph)
         if ends := SELF_CLOSING.get(tag):
-            up = here
+            up = here.stop
             while up is not root and up.tag not in ends and up.tag not in SCOPE:
-                up = up.parent
-            while up is not root and up.tag in ends and up.tag not in SCOPE or up.tag in ends and up.tag in ("td", "th") and tag in ("td", "th", "tr"):
-                here = up = up.parent
+                up = up.parent.stop
+            cells = ("td", "th") if tag in ("td", "th", "tr") else ()
+            while up is not root and up.tag in ends and (up.tag not in SCOPE or up.tag in cells):
+                here = up = closed(up)
         node = Node(tag, token, here)
         here.kids.append(node)
         if tag in RAW:
@@ -90,9 +111,12 @@ def parse(page: str) -> Node:
             if stop > at:
                 node.kids.append(page[at:stop])
             close = page.find(">", stop)
-            at = n if end is None or close < 0 else close + 1
+            at = text = n if end is None or close < 0 else close + 1
         elif tag not in VOID and not token.endswith("/>"):
             here = node
+            opened[tag] += 1
+    if text < n:
+        here.kids.append(page[text:])
     return root
 
 
@@ -130,10 +154,11 @@ def survey(root: Node) -> list[Facts]:
     clock = 0
 
     def words_of(node: Node) -> tuple[int, int]:
-        if " " not in node.attrs:
+        if "=" not in node.attrs and "-" not in node.tag:
             return 0, 0
         a = attributes(node)
-        names = {w.lower() for w in WORDS.findall(" ".join(a.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")))}
+        names = [a.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")] + [node.tag] * ("-" in node.tag)
+        names = {w.lower() for w in WORDS.findall(" ".join(names))}
         return len(names & CONTENT_WORDS), len(names & OTHER_WORDS)
 
     stack: list = [(root, 0, -1, 0, 1, 1, False)]
@@ -256,21 +281,28 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
     return Boosted(base, np.array(fs), np.array(cs), np.array(ls))
 
 
+def is_judged(f: Facts) -> bool:
+    """Blocks, and inline or custom elements whose names or words say what they are."""
+    return f.node.tag in BLOCK or sum(f.hits) > 0
+
+
 def decode(facts: list[Facts], logit: np.ndarray) -> list[bool]:
     """The most likely labels in which no node under a rejected one is kept.
 
     A node kept is worth its logit, a node rejected nothing; the value of a kept subtree
     is its own logit and the positive values of its children. Top down, a child stays if
-    its parent does and its value is positive. Inline nodes follow their parent.
+    its parent does and its value is positive. Nodes that are not judged follow their
+    parent.
     """
     value = np.clip(logit, -8, 8).tolist()
-    judged = [f.node.tag in BLOCK for f in facts]
+    judged = [is_judged(f) for f in facts]
+    above = [0] * len(facts)  # the nearest judged node over each
+    for i in range(1, len(facts)):
+        up = facts[i].parent
+        above[i] = up if judged[up] else above[up]
     for i in range(len(facts) - 1, 0, -1):
         if judged[i]:
-            up = facts[i].parent
-            while up > 0 and not judged[up]:
-                up = facts[up].parent
-            value[up] += max(0.0, value[i])
+            value[above[i]] += max(0.0, value[i])
     keep = [True] * len(facts)
     for i in range(1, len(facts)):
         keep[i] = keep[facts[i].parent] and (not judged[i] or facts[i].node.tag in ("html", "body") or value[i] > 0)
@@ -283,7 +315,7 @@ def blocks_of(root: Node, keep=None) -> list[str]:
     run: list[str] = []
 
     def flush():
-        text = " ".join(html.unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             out.append(text)
@@ -294,7 +326,7 @@ def blocks_of(root: Node, keep=None) -> list[str]:
         if k is None:
             flush()
         elif isinstance(k, str):
-            run.append(k)
+            run.append(html.unescape(k) if "&" in k else k)
         elif k.tag == "br":
             run.append(" ")
         elif k.tag not in SKIP and (keep is None or k.tag in VOID or keep[k.at]):
@@ -326,8 +358,18 @@ class _Layouts:
         kind = self.r.choice(["class", "class", "id"])
         return f' {kind}="{self.r.choice(["", "page-", "site-", "x "])}{self.r.choice(names)}"' if self.r.random() < 0.85 else ""
 
+    def inline(self, low: int, high: int, *names: str) -> str:
+        """An inline or custom element that is named for what it holds."""
+        r, w = self.r, self.r.choice(names)
+        if r.random() < 0.4:
+            return (lambda tag: f"<{tag}>{self.text(low, high)}</{tag}>")(r.choice([f"x-{w}", f"{w}-box", f"site-{w}"]))
+        tag = r.choice(["span", "span", "a", "b", "em", "font", "ins", "small"])
+        return f'<{tag} {r.choice(["class", "class", "id"])}="{r.choice(["", "", "x ", "js-"])}{w}{r.choice(["", "", "-1", " y"])}">{self.text(low, high)}</{tag}>'
+
     def other(self, kind: str) -> str:
         r, t, n = self.r, self.text, self.name
+        if kind in ("ad", "notice") and r.random() < 0.3:
+            return self.inline(2, 40, *(("ad", "ads", "advert", "promo", "sponsored", "banner") if kind == "ad" else ("cookie", "cookie-banner", "consent", "notice", "alert", "newsletter", "popup")))
         if kind == "nav":
             return r.choice([f"<nav{n('menu', 'navbar')}><ul>{self.links(r.randint(2, 9))}</ul></nav>", f"<div{n('menu', 'nav', 'breadcrumb')}><ul>{self.links(r.randint(2, 9))}</ul></div>", f"<ul{n('menu', 'nav')}>{self.links(r.randint(2, 9))}</ul>"])
         if kind == "header":
@@ -352,11 +394,11 @@ class _Layouts:
 
     def content(self) -> str:
         r, t = self.r, self.text
-        kinds = r.choices(["p", "p", "p", "p", "h2", "ul", "quote", "pre", "table", "bold"], k=r.choice([0, 1, 2, 3, 5, 9, 20]))
+        kinds = r.choices(["p", "p", "p", "p", "p", "p", "h2", "ul", "quote", "pre", "table", "bold", "named"], k=r.choice([0, 1, 2, 3, 5, 9, 20]))
         make = {
             "p": lambda: f"<p>{t(1, 90)}</p>", "h2": lambda: f"<h2>{t(1, 8)}</h2>", "ul": lambda: "<ul>" + "".join(f"<li>{t(2, 20)}</li>" for _ in range(4)) + "</ul>",
             "quote": lambda: f"<blockquote><p>{t(5, 40)}</p></blockquote>", "pre": lambda: f"<pre>{t(5, 30)}</pre>", "table": lambda: f"<table><tr><th>{t(1, 3)}</th><td>{t(1, 9)}</td></tr></table>",
-            "bold": lambda: f"<p><b>{t(3, 60)}<br>",
+            "bold": lambda: f"<p><b>{t(3, 60)}<br>", "named": lambda: f"<p>{t(1, 30)} {self.inline(1, 12, 'text', 'entry', 'story', 'content', 'post', 'main')} {t(1, 30)}</p>",
         }
         head = f"<h1>{t(1, 12)}</h1>" if r.random() < 0.8 else ""
         if head and r.random() < 0.15:
@@ -365,6 +407,8 @@ class _Layouts:
         for k in ("ad", "notice", "form", "comments", "related"):
             if r.random() < 0.12:
                 parts.insert(r.randint(0, len(parts)), f"<!--x-->{self.other(k)}<!--y-->")
+        if r.random() < 0.2:  # an advert or a notice in the middle of a sentence
+            parts.insert(r.randint(0, len(parts)), f"<p>{t(3, 30)} <!--x-->{self.inline(2, 20, 'ad', 'ads', 'advert', 'promo', 'sponsored', 'notice', 'cookie', 'newsletter')}<!--y--> {t(3, 30)}</p>")
         return head + "".join(parts)
 
     def page(self) -> str:
@@ -400,8 +444,9 @@ def labelled(page: str) -> tuple[str, list[int]]:
     return "".join(out), labels
 
 
+@functools.lru_cache(maxsize=4)
 def fit(pages: int = TRAIN_PAGES, seed: int = 11) -> Boosted:
-    """Trees fitted on ``pages`` labelled layouts (a fixed, bounded number)."""
+    """Trees fitted on ``pages`` labelled layouts (a fixed, bounded number), once a process."""
     make, xs, ys = _Layouts(seed), [], []
     for _ in range(pages):
         page, labels = labelled(make.page())
@@ -409,7 +454,7 @@ def fit(pages: int = TRAIN_PAGES, seed: int = 11) -> Boosted:
         order, x = _tag_order(facts), features(facts)
         for i, f in enumerate(facts):
             label = labels[order[i]] if i in order else 2
-            if label < 2 and f.node.tag in BLOCK:
+            if label < 2 and is_judged(f):
                 xs.append(x[i])
                 ys.append(label)
     return boost(np.array(xs), np.array(ys, np.float64))

@@ -19,7 +19,8 @@ from .html_main import attributes, blocks_of, parse
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:derivative-records")
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_block_digest string, source_payload_digest string, source_headers string, n_links long, title string, block string"
-CHARSET = re.compile(r"charset=[\"']?([\w-]+)", re.I)
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+LONE = re.compile("[\ud800-\udfff]")
 
 
 def digest(data: bytes) -> str:
@@ -40,22 +41,23 @@ def read_response(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0] if lines else "", headers, body
 
 
-def charset_of(headers: list[tuple[str, str]], body: bytes) -> str:
+def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
+    """The page as text: by the charset of the content type, else by one named in the first
+    1024 bytes (where HTML asks for it), else UTF-8. A name that is no character set, or
+    that cannot decode the body, is passed over; lone surrogates become U+FFFD."""
     for text in (next((v for k, v in headers if k.lower() == "content-type"), ""), body[:1024].decode("latin-1")):
         if m := CHARSET.search(text):
             try:
-                "".encode(m[1])
-                return m[1]
-            except LookupError:
+                return LONE.sub("\ufffd", body.decode(m[1], "replace"))
+            except (LookupError, UnicodeError):
                 pass
-    return "utf-8"
+    return body.decode("utf-8", "replace")
 
 
 def derive_one(source_id: str, uri: str, date: str, block: bytes, source_digest: str | None) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, headers, body = read_response(block)
-    page = body.decode(charset_of(headers, body), "replace")
-    root = parse(page)
+    root = parse(decoded(headers, body))
     links, title, stack = [], "", [root]
     while stack:
         node = stack.pop()
@@ -93,7 +95,8 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     a given digest is kept and compared. A null block is an empty one, a null identifier
     is named after the address and the block; null addresses and dates stay null.
     Repeated rows give records with the same identifiers. An empty table gives an empty
-    result. Task results depend on their row alone.
+    result. Other columns are not read. Whole bodies of any length and any charset are
+    read (see ``decoded``). Task results depend on their row alone.
     """
     fields = [f.split()[0] for f in SCHEMA.split(", ")]
     has = "block_digest" in responses.columns
@@ -101,15 +104,17 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(keep)
         for b in batches:
-            rows, at = [], []
-            for i, (rid, uri, date, block, given) in enumerate(zip(*(c.to_pylist() for c in b.columns[n:]))):
+            rows, at, held = [], [], 0
+            for i in range(b.num_rows):
+                rid, uri, date, block, given = (c[i].as_py() for c in b.columns[n:])
                 block = block or b""
                 got = derive_one(rid or record_id("response", uri or "", digest(block)), uri, date, block, given)
                 rows += got
                 at += [i] * len(got)
-                if sum(len(r["block"]) for r in rows[-64:]) > 1 << 24 or len(rows) >= 2048:
+                held += sum(len(r["block"]) for r in got)
+                if held > 1 << 24 or len(rows) >= 2048:
                     yield batch(b, rows, at, n)
-                    rows, at = [], []
+                    rows, at, held = [], [], 0
             yield batch(b, rows, at, n)
 
     def batch(b, rows, at, n):
@@ -123,10 +128,23 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def serialise(records: DataFrame) -> DataFrame:
-    """``record_id`` and ``warc``: each record as the bytes of a WARC/1.1 record."""
-    head = lambda name, col: F.when(F.col(col).isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), F.col(col).cast("string"), F.lit("\r\n")))
-    fields = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    text = F.concat(F.lit("WARC/1.1\r\n"), *(head(*f) for f in fields), F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n"))
+    """``record_id`` and ``warc``: each record as the bytes of a WARC/1.1 record.
+
+    The headers and digests of the source go along as extension fields. A null field is
+    left out (a null block is an empty one), line breaks inside a field become spaces.
+    Repeated rows are records of their own; an empty table gives an empty result.
+    """
+
+    def line(name, col):
+        text = F.regexp_replace(F.col(col).cast("string"), "[\\r\\n]+", " ")
+        return F.coalesce(F.concat(F.lit(f"{name}: "), text, F.lit("\r\n")), F.lit(""))
+
+    fields = (
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
+        ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+        ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("WARC-Source-Headers", "source_headers"),
+    )
+    text = F.concat(F.lit("WARC/1.1\r\n"), *(line(*f) for f in fields), F.lit("\r\n"), F.coalesce("block", F.lit("")), F.lit("\r\n\r\n"))
     return records.select("record_id", text.cast("binary").alias("warc"))
 
 
@@ -144,7 +162,12 @@ def read_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
 
 
 def responses_of_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """``pages`` as response records: an HTTP head of three lines and the page."""
+    """``pages`` as response records: an HTTP head of three lines and the page.
+
+    A null or empty page has an empty body; null ids and addresses are named as empty ones,
+    repeated rows get the same identifier. An empty table gives an empty result; other
+    columns are not read.
+    """
     body = F.coalesce(F.col("html"), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))), 256)
