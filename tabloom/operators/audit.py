@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .metrics import average_precision, distance_summary, f1, mle_ratio, roc_auc
+from .metrics import average_precision, distance_summary, f1, mle_ratio, percentiles, roc_auc
 from .neighbors import knn, knn_features
 from .sampling import bootstrap_jitter, kfold, sample_n, split_random, split_stratified
 
@@ -63,7 +63,7 @@ def dcr_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str
     """One row: the alert distance, median, 5th percentile, share below, verdict. Exact
     copies cannot be seen under a threshold of 0, which is flagged."""
     near, own = distances(real, synthetic, key, numeric, categorical)
-    alert = own.agg(F.percentile("dist", F.lit(limits.dcr_percentile / 100))).first()[0] or 0.0
+    alert = percentiles(own, {"dist": F.col("dist")}, [limits.dcr_percentile / 100])["dist"][0] or 0.0
     got = distance_summary(near, "dist", alert)
     return got.select(
         F.lit(alert).alias("dcr_threshold"), F.col("median").alias("dcr_median"), F.col("p5").alias("dcr_p5"), F.col("share_below").alias("memorized_share"),

@@ -5,22 +5,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NULL_TOKEN, UNKNOWN_TOKEN, lenient_double, normalise_category
-from .metrics import running
+from .metrics import value_places
 from .sampling import rank_within
 
 QUANTILES = 1000
 MAP_LIMIT = 1000
 
 
-def constants(xs) -> Column:
-    """A constant array of finite numbers, as one expression."""
-    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")
-
-
 def _finite(c: str) -> Column:
     x = lenient_double(F.col(f"`{c}`"))
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
@@ -31,59 +28,57 @@ def fit_quantiles(df: DataFrame, columns: list[str], q: int = QUANTILES, exact:
 
     ``min(max(n, 2), q)`` evenly spaced probabilities of the finite values, linearly
     interpolated; none gives ``[0.0, 0.0]``. Exact quantiles come from running counts of
-    the distinct values, by ranges of the value; ``exact=False`` sketches them.
+    the distinct values of all columns at once; ``exact=False`` sketches them.
     """
-    counts = df.agg(*(F.count(_finite(c)).alias(c) for c in columns)).first()
-    out = None
-    for c in columns:
-        m = min(max(counts[c], 2), q)
-        if exact and counts[c]:
-            fit = _exact_quantiles(df.select(_finite(c).alias("v")), counts[c], m)
-        elif counts[c]:
-            at = F.percentile_approx(_finite(c), [i / (m - 1) for i in range(m)], 100_000)
-            fit = df.agg(at.cast("array<double>").alias("quantiles"), F.percentile_approx(_finite(c), 0.5, 100_000).alias("fill_value"))
-        else:
-            fit = df.sparkSession.range(1).select(F.array(F.lit(0.0), F.lit(0.0)).alias("quantiles"), F.lit(0.0).alias("fill_value"))
-        refs = F.expr(f"transform(sequence(0, {m - 1}), i -> i / {m - 1}D)")
-        fit = fit.select(F.lit(c).alias("column_name"), "quantiles", refs.alias("references"), "fill_value")
-        out = fit if out is None else out.unionByName(fit)
-    return out
-
-
-def _exact_quantiles(values: DataFrame, n: int, m: int) -> DataFrame:
-    """``quantiles`` at k/(m-1) for k from 0, and the median, of ``n`` numbers ``v``.
+    if exact:
+        places, counts = value_places(df, {c: lenient_double(F.col(f"`{c}`")) for c in columns})
+    else:
+        counts = df.agg(*(F.count(_finite(c)).alias(c) for c in columns)).first().asDict()
+    steps = {c: min(max(n, 2), q) - 1 for c, n in counts.items()}
+    facts = df.sparkSession.createDataFrame([(c, counts[c], steps[c]) for c in columns], "column_name string, n long, steps long")
+    refs = F.expr("transform(sequence(0L, steps), i -> i / CAST(steps AS DOUBLE))").alias("references")
+    if exact:
+        got = facts.join(_exact_quantiles(places.join(F.broadcast(facts), "column_name")), "column_name", "left")  # a row a column
+    else:
+        lines = F.array(*(F.struct(F.lit(c).alias("column_name"), F.percentile_approx(_finite(c), [i / m for i in range(m + 1)], 100_000).cast("array<double>").alias("quantiles"), F.percentile_approx(_finite(c), 0.5, 100_000).alias("fill_value")) for c, m in steps.items()))
+        got = facts.join(df.agg(lines.alias("x")).select(F.explode("x").alias("x")).select("x.*"), "column_name", "left")
+    empty = F.col("n") == 0
+    line = F.when(empty, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.col("quantiles")).alias("quantiles")
+    return got.select("column_name", line, refs, F.when(empty, 0.0).otherwise(F.col("fill_value")).alias("fill_value"))
+
+
+def _exact_quantiles(run: DataFrame) -> DataFrame:
+    """``column_name, quantiles, fill_value``: the numbers at k/steps for k from 0, and the
+    median, from ``(column_name, v, lo, hi, n, steps)``.
 
     A distinct value fills the sorted places ``lo`` to ``hi - 1``; the quantiles that need
     one of these as their lower or upper neighbour follow by whole-number arithmetic."""
-    run = running(values.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c")), F.col("v"), {"hi": "c"})
-    run = run.select("v", (F.col("hi") - F.col("c")).alias("lo"), "hi")
-    top, steps = max(n - 1, 1), m - 1
-    first = lambda place: f"greatest(0L, (({place}) * {steps}L + {top - 1}L) div {top}L)"  # noqa: E731  the first k with floor(k top / steps) >= place
-    near = lambda lo, hi: F.expr(f"CASE WHEN least({first(hi)} - 1, {steps}L) >= {first(lo)} THEN sequence({first(lo)}, least({first(hi)} - 1, {steps}L)) ELSE array() END")
-    low = run.select("v", F.explode(near("lo", "hi")).alias("k")).select("k", F.col("v").alias("a"), F.lit(None).cast("double").alias("b"))
-    high = run.select("v", F.explode(near("lo - 1", "hi - 1")).alias("k")).select("k", F.lit(None).cast("double").alias("a"), F.col("v").alias("b"))
-    part = F.expr(f"(k * {n - 1}L % {steps}L) / {steps}D")
-    at = low.unionByName(high).groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    at = at.select("k", (F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * part).alias("x"))
-    line = F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("quantiles")
-    holds = lambda place: F.max(F.when((F.col("lo") <= place) & (F.col("hi") > place), F.col("v")))
-    middle = run.agg(((holds((n - 1) // 2) + holds(n // 2)) / 2).alias("fill_value"))
-    return at.agg(line).join(F.broadcast(middle))  # one row each
-
-
-def last_not_above(knots: list[float], x: Column) -> Column:
-    """Position (from 0) of the last of the sorted knots that is not above ``x``, 0 if none
-    is: a binary search as an expression over a constant array."""
-    table, steps = constants(knots), max(1, math.ceil(math.log2(max(len(knots), 2))))
-    state = F.struct(F.lit(0).alias("lo"), F.lit(len(knots)).alias("hi"))
-
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        up = F.element_at(table, mid + 1) <= x
-        move = (acc["hi"] - acc["lo"]) > 1
-        return F.struct(F.when(move & up, mid).otherwise(acc["lo"]).alias("lo"), F.when(move & ~up, mid).otherwise(acc["hi"]).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, halve, lambda acc: acc["lo"])
+    run = run.withColumn("top", F.greatest(F.col("n") - 1, F.lit(1)))
+    first = lambda place: f"greatest(0L, (({place}) * steps + top - 1L) div top)"  # noqa: E731  the first k with floor(k top / steps) >= place
+    near = lambda lo, hi: F.expr(f"CASE WHEN least({first(hi)} - 1, steps) >= {first(lo)} THEN sequence({first(lo)}, least({first(hi)} - 1, steps)) ELSE array() END")
+    own = ("column_name", "n", "steps")
+    low = run.select(*own, "v", F.explode(near("lo", "hi")).alias("k")).select(*own, "k", F.col("v").alias("a"), F.lit(None).cast("double").alias("b"))
+    high = run.select(*own, "v", F.explode(near("lo - 1", "hi - 1")).alias("k")).select(*own, "k", F.lit(None).cast("double").alias("a"), F.col("v").alias("b"))
+    part = F.expr("(k * (n - 1) % steps) / CAST(steps AS DOUBLE)")
+    at = low.unionByName(high).groupBy(*own, "k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    at = at.select("column_name", "k", (F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * part).alias("x"))
+    line = at.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("quantiles"))
+    holds = lambda place: F.max(F.when(F.expr(f"lo <= {place} AND hi > {place}"), F.col("v")))
+    middle = run.groupBy("column_name").agg(((holds("(n - 1) div 2") + holds("n div 2")) / 2).alias("fill_value"))
+    return line.join(middle, "column_name")
+
+
+def lookup(keys: list[float], value, kind: str):
+    """A column function: ``value(x, i)`` for each number, where ``i`` is the last of the
+    sorted ``keys`` that is not above ``x`` (0 if none is). One Arrow batch at a time: a
+    binary search as an expression would run row by row in the interpreter."""
+    table = np.array(keys, np.float64)
+
+    def run(x: pa.Array) -> pa.Array:
+        x = x.to_numpy(zero_copy_only=False)
+        return pa.array(value(x, np.maximum(np.searchsorted(table, x, side="right") - 1, 0)))
+
+    return F.arrow_udf(run, kind)
 
 
 @dataclass(frozen=True)
@@ -107,9 +102,8 @@ class Quantiles:
         return out
 
     def encode(self, col: Column) -> Column:
-        """Value to ``2p - 1``. A binary search over the knots, written as an expression;
-        a tied value gets the highest reference of its tie, and values below it lead up to
-        the lowest."""
+        """Value to ``2p - 1``. A tied value gets the highest reference of its tie, and
+        values below it lead up to the lowest."""
         x = lenient_double(col)
         x = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(self.fill)).otherwise(x)
         ks, firsts, rs = [], [], []
@@ -122,20 +116,26 @@ class Quantiles:
                 rs.append(r)
         if len(ks) == 1:
             return (F.when(x < ks[0], -1.0).otherwise(1.0)).cast("float")
-        knots, up, on = (constants(xs) for xs in (ks, firsts, rs))
-        i = last_not_above(ks[:-1], x)
-        k0, k1, r0, r1 = F.element_at(knots, i + 1), F.element_at(knots, i + 2), F.element_at(on, i + 1), F.element_at(up, i + 2)
-        p = F.when(x < ks[0], 0.0).when(x > ks[-1], 1.0).when(x == ks[-1], rs[-1]).when(x == k0, r0).otherwise(r0 + (x - k0) * ((r1 - r0) / (k1 - k0)))
-        return (p * 2 - 1).cast("float")
+        knots, on = np.array(ks), np.array(rs)
+        slope = np.r_[(np.array(firsts)[1:] - on[:-1]) / np.diff(knots), 0.0]
+
+        def place(x, i):
+            p = np.where(x < knots[0], 0.0, np.where(x > knots[-1], 1.0, on[i] + (x - knots[i]) * slope[i]))
+            return (p * 2 - 1).astype(np.float32)
+
+        return lookup(ks, place, "float")(x)
 
     def decode(self, col: Column) -> Column:
         """``2p - 1`` back to a value; the references are evenly spaced."""
         n = len(self.knots)
-        u = F.least(F.greatest((col.cast("double") + 1) / 2, F.lit(0.0)), F.lit(1.0)) * (n - 1)
-        i = F.least(F.floor(u), F.lit(n - 2)).cast("int")
-        knots = constants(self.knots)
-        a, b = F.element_at(knots, i + 1), F.element_at(knots, i + 2)
-        return a + (b - a) * (u - i)
+        knots, n = np.array(self.knots), len(self.knots)
+
+        def value(x, _):
+            u = np.clip((np.asarray(x, np.float64) + 1) / 2, 0.0, 1.0) * (n - 1)
+            i = np.minimum(np.floor(np.nan_to_num(u)), n - 2).astype(np.int64)
+            return knots[i] + (knots[i + 1] - knots[i]) * (u - i)
+
+        return F.when(col.isNotNull(), lookup([0.0], value, "double")(F.coalesce(col.cast("double"), F.lit(0.0))))
 
 
 def fit_vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:

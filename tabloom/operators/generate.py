@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import normal, uniform
 from ..functions.scalars import NULL_TOKEN, normal_cdf, normal_quantile, normalise_category
-from .encode import Quantiles, fit_quantiles, intervene, last_not_above
+from .encode import Quantiles, fit_quantiles, intervene, lookup
 from .sets import class_deficit, union_relaxed
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -53,10 +54,16 @@ def with_scores(df: DataFrame, model: Generator, key: str, seed: int, out: str =
 
 
 def _interval(part: tuple, token: Column) -> Column:
-    """The share of all rows before a token and up to it."""
+    """The share of all rows before a token and up to it; null for a token never met."""
     tokens, upto = part
-    places = zip(tokens, (0.0, *upto[:-1]), upto)
-    return F.create_map(*(x for t, a, b in places for x in (F.lit(t), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))))[token]
+    names, after = pa.array(tokens, pa.string()), pa.array(upto, pa.float64())
+    before = pa.array([0.0, *upto[:-1]], pa.float64())
+
+    def run(x: pa.Array) -> pa.Array:
+        at = pc.index_in(x.cast(pa.string()), names)
+        return pa.StructArray.from_arrays([before.take(at), after.take(at)], ["a", "b"])
+
+    return F.arrow_udf(run, "a double, b double")(token)
 
 
 def latent_moments(df: DataFrame, col: str, width: int) -> DataFrame:
@@ -131,8 +138,8 @@ def decode(df: DataFrame, model: Generator, z: str) -> DataFrame:
             out[c] = (F.round(x) if kind in INTEGERS else x).cast(kind)
         else:
             tokens, upto = model.tokens[c]
-            at = last_not_above([0.0, *upto[:-1]], p)
-            out[c] = F.element_at(F.array(*(F.lit(t) for t in tokens)), at + 1).try_cast(kind)
+            names = np.array(tokens, object)
+            out[c] = lookup([0.0, *upto[:-1]], lambda _, i, names=names: names[i], "string")(p).try_cast(kind)
     return step.withColumns({f"__new_{c}": col for c, col in out.items()}).drop(*(f"__{a}_{c}" for a in "up" for c in model.columns))
 
 

@@ -10,25 +10,73 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_ratio
 from ..sources.scratch import written
 
-RANGE_ROWS = 200_000
+RANGE_ROWS, MAX_RANGES = 200_000, 2000
 
 
-def running(df: DataFrame, order: Column, sums: dict[str, str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[Column], rows: int, range_rows: int) -> DataFrame:
+    """``df`` dealt to ranges of ``order``, numbered in ``__part``, written.
+
+    There are never more than 2,000 of them, so what is known of each may be broadcast."""
+    parts = min(MAX_RANGES, -(-rows // range_rows))
+    return written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, order: Column | list[Column], sums: dict[str, str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Running totals over the whole table in ``order``; long tables are summed by ranges
     of the order, and shifted by the totals of the ranges before."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    order = order if isinstance(order, list) else [order]
+    df = written(df, "totals")
     n = df.count()
     if n <= range_rows:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
-    dealt = written(df.repartitionByRange(-(-n // range_rows), order).withColumn("__part", F.spark_partition_id()), "running")
+    dealt = in_ranges(df, order, n, range_rows)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("__part").agg(*(F.sum(c).alias(f"__{o}") for o, c in sums.items()))
     totals = totals.select("__part", *(F.coalesce(F.sum(f"__{o}").over(before), F.lit(0)).alias(f"__{o}") for o in sums))
-    own = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.withColumns({o: F.sum(c).over(own) for o, c in sums.items()}).join(F.broadcast(totals), "__part")
     return out.withColumns({o: F.col(o) + F.col(f"__{o}") for o in sums}).drop("__part", *(f"__{o}" for o in sums))
 
 
+def value_places(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``(column_name, v, lo, hi)`` of each distinct number of each column, and how many
+    numbers each column has: in sorted order ``v`` fills the places ``lo`` to ``hi - 1``.
+
+    All columns go through one pre-aggregated shuffle. Nulls, NaN and infinities are left
+    out; nothing but a count a column reaches the driver.
+    """
+    known = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), known(x.cast("double")).alias("v")) for c, x in columns.items()))).alias("x")
+    counts = df.select(cells).select("x.*").where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
+    run = written(running(counts, [F.col("column_name"), F.col("v")], {"hi": "c"}), "places")
+    per = {r.column_name: (r.n, r.last) for r in run.groupBy("column_name").agg(F.sum("c").alias("n"), F.max("hi").alias("last")).collect()}
+    first = F.lit(0).cast("long")
+    for c, (n, last) in per.items():
+        first = F.when(F.col("column_name") == c, last - n).otherwise(first)
+    run = run.withColumn("hi", F.col("hi") - first)
+    return run.select("column_name", "v", (F.col("hi") - F.col("c")).alias("lo"), "hi"), {c: per[c][0] if c in per else 0 for c in columns}
+
+
+def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles of each column, linearly interpolated; None for a column without
+    numbers. They come from running counts, so no task holds a column's values."""
+    places, counts = value_places(df, columns)
+    picks, aggs = [], []
+    for c, n in counts.items():
+        for share in shares if n else []:
+            at = share * (n - 1)
+            for place in (math.floor(at), math.ceil(at)):
+                aggs.append(F.max(F.when((F.col("column_name") == c) & (F.col("lo") <= place) & (F.col("hi") > place), F.col("v"))).alias(f"x{len(aggs)}"))
+            picks.append((c, at - math.floor(at)))
+    got = list(places.agg(*aggs).first()) if aggs else []
+    out: dict[str, list[float | None]] = {c: [] if n else [None] * len(shares) for c, n in counts.items()}
+    for k, (c, part) in enumerate(picks):
+        low, high = got[2 * k], got[2 * k + 1]
+        out[c].append(low + (high - low) * part)
+    return out
+
+
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
 
@@ -56,7 +104,10 @@ def f1(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFra
 
 def distance_summary(df: DataFrame, col: str, threshold: float) -> DataFrame:
     """Median, 5th percentile and the share strictly below a threshold."""
-    return df.agg(F.median(col).alias("median"), F.percentile(col, F.lit(0.05)).alias("p5"), F.avg((F.col(col) < threshold).cast("double")).alias("share_below"))
+    df = written(df.select(col), "distances")
+    median, p5 = percentiles(df, {col: F.col(col)}, [0.5, 0.05])[col]
+    below = F.avg((F.col(col) < threshold).cast("double")).alias("share_below")
+    return df.agg(below).select(F.lit(median).cast("double").alias("median"), F.lit(p5).cast("double").alias("p5"), "share_below")
 
 
 def class_shares(real: DataFrame, other: DataFrame, label: str) -> DataFrame:

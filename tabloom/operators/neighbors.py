@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lenient_double, normalise_category
+from .metrics import percentiles
 
 BLOCK = 4096
 CODEBOOK = 4096
@@ -20,8 +21,9 @@ def scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, f
     if not columns:
         return {}
     x = {c: lenient_double(F.col(f"`{c}`")) for c in columns}
-    got = df.agg(*(f(x[c]).alias(f"{n}:{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop), ("d", F.median)))).first()
-    return {c: (got[f"m:{c}"] or 0.0, got[f"s:{c}"] or 1.0, got[f"d:{c}"] or 0.0) for c in columns}
+    got = df.agg(*(f(x[c]).alias(f"{n}:{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    middle = percentiles(df, x, [0.5])
+    return {c: (got[f"m:{c}"] or 0.0, got[f"s:{c}"] or 1.0, middle[c][0] or 0.0) for c in columns}
 
 
 def standardise(col: Column, fit: tuple[float, float, float]) -> Column:

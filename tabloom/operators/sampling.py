@@ -7,23 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import normal, uniform
 from ..sources.scratch import written
-
-RANGE_ROWS = 200_000
+from .metrics import RANGE_ROWS, in_ranges, running
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with a row number over the whole table, from 1.
 
-    Small tables use one sorted task. Larger ones are dealt to ranges of the order, ranked
-    inside, and shifted by the sizes of the ranges before (a table of one row a range).
+    Small tables use one sorted task. Larger ones are dealt to at most 2,000 ranges of the
+    order, ranked inside, and shifted by the sizes of the ranges before.
     ``order`` must be unique for the numbers to be the same each time.
     """
     n = df.count()
     if n <= range_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    parts = -(-n // range_rows)
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    dealt = written(dealt, "ranges")
+    dealt = in_ranges(df, order, n, range_rows)
     sizes = dealt.groupBy("__part").count()
     before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("bigint"))
@@ -37,8 +34,8 @@ def rank_within(df: DataFrame, group: str, order: list[Column], name: str, range
     before, so a group may hold most of the table."""
     rank = global_rank(df, [F.col(group).asc_nulls_first(), *order], "__all", range_rows)
     sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(F.col("__g").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("__start", F.coalesce(before, F.lit(0))).select("__g", "__start")
+    upto = running(sizes, F.col("__g").asc_nulls_first(), {"__upto": "__n"}, range_rows)
+    starts = written(upto.select("__g", (F.col("__upto") - F.col("__n")).alias("__start")), "starts")  # a written side lets the join split a large group
     return rank.join(starts, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__all") - F.col("__start")).drop("__all", "__g", "__start")
 
 

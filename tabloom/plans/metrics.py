@@ -67,7 +67,7 @@ def dcr_summary(spark, sf_dir):
 
     real = _real(spark, sf_dir)
     near, own = distances(real, synthetic(real), "c_custkey", NUM, CAT)
-    t = own.agg(F.percentile("dist", F.lit(0.01))).first()[0]
+    t = M.percentiles(own, {"dist": F.col("dist")}, [0.01])["dist"][0]
     return M.distance_summary(near, "dist", t).select(F.round("median", 6).alias("median"), F.round("p5", 6).alias("p5"), F.round("share_below", 9).alias("share_below"))
 
 
