@@ -21,12 +21,13 @@ def in_ranges(df: DataFrame, order: list[Column], rows: int, range_rows: int) ->
     return written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, order: Column | list[Column], sums: dict[str, str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def running(df: DataFrame, order: Column | list[Column], sums: dict[str, str], range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
     """Running totals over the whole table in ``order``; long tables are summed by ranges
-    of the order, and shifted by the totals of the ranges before."""
+    of the order, and shifted by the totals of the ranges before. The table is written
+    first, unless its number of ``rows`` is given."""
     order = order if isinstance(order, list) else [order]
-    df = written(df, "totals")
-    n = df.count()
+    df = written(df, "totals") if rows is None else df
+    n = df.count() if rows is None else rows
     if n <= range_rows:
         w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
@@ -49,13 +50,15 @@ def value_places(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame,
     known = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), known(x.cast("double")).alias("v")) for c, x in columns.items()))).alias("x")
     counts = df.select(cells).select("x.*").where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
-    run = written(running(counts, [F.col("column_name"), F.col("v")], {"hi": "c"}), "places")
-    per = {r.column_name: (r.n, r.last) for r in run.groupBy("column_name").agg(F.sum("c").alias("n"), F.max("hi").alias("last")).collect()}
-    first = F.lit(0).cast("long")
-    for c, (n, last) in per.items():
-        first = F.when(F.col("column_name") == c, last - n).otherwise(first)
+    counts = written(counts, "values")
+    per = {r.column_name: r for r in counts.groupBy("column_name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    run = running(counts, [F.col("column_name"), F.col("v")], {"hi": "c"}, rows=sum(r.rows for r in per.values()))
+    first, before = F.lit(0).cast("long"), 0
+    for c in sorted(per, key=str.encode):
+        first = F.when(F.col("column_name") == c, before).otherwise(first)
+        before += per[c].n
     run = run.withColumn("hi", F.col("hi") - first)
-    return run.select("column_name", "v", (F.col("hi") - F.col("c")).alias("lo"), "hi"), {c: per[c][0] if c in per else 0 for c in columns}
+    return run.select("column_name", "v", (F.col("hi") - F.col("c")).alias("lo"), "hi"), {c: per[c].n if c in per else 0 for c in columns}
 
 
 def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float | None]]:
