@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from .metrics import average_precision, distance_summary, f1, mle_ratio, percentiles, roc_auc
 from .neighbors import knn, knn_features
+from .profile import active_columns
 from .sampling import bootstrap_jitter, kfold, sample_n, split_random, split_stratified
 
 FEATURES = ["d_min", "d_mean", "d_std", "d_ratio"]
 Provider = Callable[[DataFrame, int, int], DataFrame]
 
 
+#: Acceptance limits and defaults of the attack.
 @dataclass(frozen=True)
 class Thresholds:
     memorization_ratio: float = 0.01
@@ -84,12 +86,21 @@ def bounded(df: DataFrame, key: str, rows: int | None, seed: int) -> DataFrame:
     return df if rows is None else sample_n(df, key, rows, seed, "bound")
 
 
-def shadow_set(real: DataFrame, key: str, numeric: list[str], categorical: list[str], config: ShadowConfig, provider: Provider | None = None, folds: bool = False) -> DataFrame:
+def audit_columns(profile_rows: list, real: DataFrame, synthetic: DataFrame) -> tuple[list[str], list[str]]:
+    """Numeric and categorical columns that an audit compares, from a collected profile (a
+    row a column): retained, encoded, not the target, and in both tables."""
+    both = set(real.columns) & set(synthetic.columns)
+    return active_columns([r for r in profile_rows if not r.is_target and r.column_name in both])
+
+
+def shadow_set(real: DataFrame, key: str, numeric: list[str], categorical: list[str], config: ShadowConfig, provider: Provider | None = None, folds: bool | None = None) -> DataFrame:
     """Features of members (1) and others (0) of every shadow, keyed by ``shadow_id``.
 
-    Each shadow splits the table anew (or by folds), gets a synthetic table made from its
-    members, and measures both parts against it."""
+    Each shadow splits the table anew, or takes a fold of a shuffled split as its others
+    (``folds``; by default in ``ci_lite``), gets a synthetic table made from its members,
+    and measures both parts against it."""
     c = config.effective()
+    folds = c.mode == "ci_lite" if folds is None else folds
     make = provider or jitter_provider(key, numeric)
     rows = written(bounded(real, key, c.max_rows, c.seed), "shadow-rows")
     dealt = kfold(rows, key, c.n_shadow_models + 1, c.seed) if folds else None
@@ -125,7 +136,7 @@ def mia_scores(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[st
         parts = split_random(bounded(real, key, c.max_rows, c.seed), key, 0.5, c.seed, "evidence")
         members, others = parts.where("in_train").drop("in_train"), parts.where("NOT in_train").drop("in_train")
     else:
-        members, others = bounded(real, key, c.max_rows, c.seed), bounded(holdout, key, c.max_rows, c.seed)
+        members, others = real, holdout  # a bound on rows is one on what the attack learns from
     near = [knn_features(part, synthetic, key, numeric, categorical, c.n_neighbors).withColumn("label", F.lit(y)) for part, y in ((members, 1), (others, 0))]
     scored = model.transform(near[0].unionByName(near[1]))
     return scored.select(key, "label", vector_to_array("probability")[1].alias("score"))

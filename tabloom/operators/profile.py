@@ -10,6 +10,7 @@ from ..functions.scalars import NULL_TOKEN
 
 #: Fixed value: names that mark an identifier.
 IDENTIFIER_NAME = r"(?i)(^id$|_id$|cpf|cnpj|cns|cartao|prontuario|aih|nis|sus|uuid|guid|email|telefone|phone)"
+#: The limits of the classifier; the names of topologies, strategies and reasons below are fixed too.
 RARE, HIGH, DISCRETE = 5, 50, 15
 LONG_TEXT, SPARSE_RATIO, UNIQUE_RATIO, UNIQUE_ROWS = 80, 0.95, 0.98, 1000
 
@@ -56,8 +57,11 @@ def column_stats(df: DataFrame, exact: bool = True, rare: int = RARE) -> DataFra
     rare categories of each column. ``exact=False`` counts distinct values by sketch, in
     one pass without a shuffle of values; it has no rare count."""
     if exact:
-        per = value_counts(df).groupBy("column_name")
-        length = F.sum(F.when(F.col("value").isNotNull(), F.length("value") * F.col("n"))) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+        # long texts travel as 128-bit digests with their length; short cells as they are
+        digest = F.when(F.length("value") > 32, F.md5(F.col("value").cast("binary"))).otherwise(F.col("value"))
+        cells = melt(df).select("column_name", digest.alias("value"), F.length("value").alias("size"))
+        per = cells.groupBy("column_name", "value", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("column_name")
+        length = F.sum(F.when(F.col("value").isNotNull(), F.col("size") * F.col("n"))) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
         got = per.agg(
             F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
             F.count(F.lit(1)).alias("cardinality"), length.alias("avg_length"), F.count_if(F.col("n") <= rare).alias("rare"),

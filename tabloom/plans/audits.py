@@ -25,15 +25,19 @@ def dcr_audit(spark, sf_dir):
     return got.select(F.round("dcr_threshold", 6).alias("dcr_threshold"), F.round("dcr_median", 6).alias("dcr_median"), F.round("dcr_p5", 6).alias("dcr_p5"), F.round("memorized_share", 9).alias("memorized_share"), "dcr_approved", "threshold_is_zero")
 
 
-def _shadow_sql(n: int | None = 512, k: int = 3, seed: int = 42, shadows: int = 2, share: float = 0.5) -> str:
-    """The shadows in SQL: the rows (bounded by ``n``), the split, the bootstrap, the features."""
+def _shadow_sql(n: int | None = 512, k: int = 3, seed: int = 42, shadows: int = 2, share: float = 0.5, folds: bool = True) -> str:
+    """The shadows in SQL: the rows (bounded by ``n``), the split (folds or random halves),
+    the bootstrap, the features."""
     u = lambda key, s, stream: uniform_sql(key, s, stream)
     parts = [f"WITH base AS (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_mktsegment FROM customer ORDER BY {u('c_custkey', seed, 'bound')}, c_custkey{f' LIMIT {n}' if n else ''})"]
     outs = []
     for s in range(shadows):
         z = seed + s
+        member = f"row_number() OVER (ORDER BY {u('c_custkey', z, 'split')}, c_custkey) <= floor(0.5 * (SELECT count(*) FROM base) + 1e-9)"
+        if folds:
+            member = f"ntile({shadows + 1}) OVER (ORDER BY {u('c_custkey', seed, 'fold')}, c_custkey) <> {s + 1}"
         parts.append(
-            f"""p{s} AS (SELECT *, row_number() OVER (ORDER BY {u('c_custkey', z, 'split')}, c_custkey) <= floor(0.5 * (SELECT count(*) FROM base) + 1e-9) AS m FROM base),
+            f"""p{s} AS (SELECT *, {member} AS m FROM base),
 r{s} AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM p{s} WHERE m),
 g{s} AS (SELECT c_acctbal + {normal_sql('i', z, 'jitter-c_acctbal')} * 0.01 * (SELECT stddev_samp(c_acctbal) FROM r{s}) AS a, c_nationkey + {normal_sql('i', z, 'jitter-c_nationkey')} * 0.01 * (SELECT stddev_samp(c_nationkey) FROM r{s}) AS n, c_mktsegment AS c
   FROM range((SELECT CAST(greatest(1, floor(count(*) * {share})) AS BIGINT) FROM r{s})) AS t(i) JOIN r{s} ON k = floor({u('i', z, 'boot')} * (SELECT count(*) FROM r{s})) + 1)"""
@@ -59,7 +63,7 @@ def shadow_set(spark, sf_dir):
     return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in A.FEATURES), "label", "shadow_id")
 
 
-@query(_shadow_sql(None, WHOLE.n_neighbors, WHOLE.seed, WHOLE.n_shadow_models, WHOLE.multiplier))
+@query(_shadow_sql(None, WHOLE.n_neighbors, WHOLE.seed, WHOLE.n_shadow_models, WHOLE.multiplier, folds=False))
 def shadow_set_whole(spark, sf_dir):
     got = A.shadow_set(_shadow_rows(spark, sf_dir), "c_custkey", NUM, CAT, WHOLE)
     return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in A.FEATURES), "label", "shadow_id")
@@ -99,6 +103,13 @@ def utility_audit(spark, sf_dir):
     return A.utility_audit(df, _made(df), "doc_id", "quality", ["n_chars"], ["lang", "source"])
 
 
+@query()
+def utility_audit_200(spark, sf_dir):
+    """At the full number of boosting rounds."""
+    df = _labelled(spark, sf_dir)
+    return A.utility_audit(df, _made(df), "doc_id", "quality", ["n_chars"], ["lang", "source"], rounds=200)
+
+
 @query()
 def full_audit(spark, sf_dir):
     df = _labelled(spark, sf_dir)

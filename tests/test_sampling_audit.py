@@ -57,6 +57,49 @@ def test_registered_audits_are_whole(spark, sf, monkeypatch):
     assert 0 <= row.mia_roc_auc <= 1 and row.mia_mode == "release" and row.shadow_models == 4
 
 
+def test_bound_is_on_what_the_attack_learns_from(spark):
+    real = spark.range(40).selectExpr("id AS k", "id * 3 AS age", "CASE WHEN id % 2 = 0 THEN 'M' ELSE 'F' END AS sex")
+    other = real.selectExpr("k + 100 AS k", "age + 1 AS age", "sex")
+    rows = A.mia_scores(real, real, "k", ["age"], ["sex"], A.ShadowConfig(mode="ci_lite", max_rows=10, trees=5), holdout=other).collect()
+    assert sorted((r.k, r.label) for r in rows) == [(k, 1) for k in range(40)] + [(k, 0) for k in range(100, 140)]
+
+
+def test_small_attack_takes_folds(pair):
+    got = A.shadow_set(pair[0], "k", ["age"], ["sex"], A.ShadowConfig(mode="ci_lite", trees=5)).collect()
+    others = [sorted(r.k for r in got if r.shadow_id == s and r.label == 0) for s in range(2)]
+    assert [len(x) for x in others] == [3, 3] and not set(others[0]) & set(others[1]) and len(got) == 16
+
+
+def test_audited_columns(spark, sf):
+    from tabloom.operators.profile import profile
+
+    df = spark.read.parquet(f"{sf}/customer.parquet")
+    names = lambda *x: tuple(sorted(c) for c in A.audit_columns(*x))
+    rows = profile(df, "c_mktsegment").collect()
+    assert names(rows, df, df) == (["c_acctbal", "c_custkey", "c_nationkey"], ["c_name"])  # not the target
+    assert names(rows, df, df.drop("c_acctbal")) == (["c_custkey", "c_nationkey"], ["c_name"])
+    assert names(profile(df.withColumn("doc_id", F.lit(1))).collect(), df, df) == (["c_acctbal", "c_custkey", "c_nationkey"], ["c_mktsegment", "c_name"])
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    x = [float(v) for v in np.random.default_rng(0).integers(0, 40, 301)]
+    df = spark.createDataFrame([(v, None if v > 20 else v * 2) for v in x] + [(float("nan"), float("inf")), (None, None)], "a double, b double")
+    got = M.percentiles(df.withColumn("c", F.lit(None).cast("double")), {c: F.col(c) for c in "abc"}, [0.0, 0.05, 0.5, 0.99, 1.0])
+    assert got["a"] == pytest.approx(list(np.quantile(x, [0, 0.05, 0.5, 0.99, 1])))
+    assert got["b"] == pytest.approx(list(np.quantile([2 * v for v in x if v <= 20], [0, 0.05, 0.5, 0.99, 1])))
+    assert got["c"] == [None] * 5
+    places = lambda n: sorted(map(tuple, M.running(df.groupBy("a").count(), [F.col("a")], {"t": "count"}, n).select("a", "t").collect()), key=str)
+    assert places(10**6) == places(3)
+
+
+def test_rank_within_one_large_group(spark):
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN id ELSE -1 END AS g")
+    got = {r.id: r.n for r in S.rank_within(df, "g", [F.col("id")], "n", 100).collect()}
+    assert all(got[i] == 1 if i % 4 == 0 else got[i] == i - i // 4 for i in range(2000))
+
+
 def test_provider_callback_and_folds(pair):
     seen = []
 
