@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage_table
+from .common import Workspace, connected_components, stage_table
 
 UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 RADIUS = 3
+PART_ROWS = 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -168,20 +170,28 @@ def links(fps: DataFrame, blocks: int = 3, bucket_limit: int = 512) -> DataFrame
     three blocks), rows are shuffled and sorted by variant, and colliding fingerprints are
     verified inside the sorted stream, which holds at most ``bucket_limit`` of them.
     Buckets beyond that are not cut: their members go through full balls of radius 1 and
-    2 around common points, which link them exactly in linear space.
+    2 around common points, which link them exactly in linear space (2,081 rows of 17 bytes
+    a member, dropped afterwards). The number of partitions follows the number of variants.
     """
-    spark = fps.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    balls = fps.select("fp").mapInArrow(_emit_balls(blocks), "variant long, fp long")
+    work = Workspace(fps.sparkSession, "simhash")
+    fps = work.table(fps.select("fp"), "fps")
+    variants = sum(len(flips) for _, _, flips in ball_blocks(blocks))
+    parts = max(1, math.ceil(fps.count() * variants / PART_ROWS))
+    # dealt before the balls are emitted, so that the emission is spread as well
+    balls = fps.repartition(parts, "fp").mapInArrow(_emit_balls(blocks), "variant long, fp long")
     found = balls.repartition(parts, "variant").sortWithinPartitions("variant").mapInArrow(_verify(bucket_limit), "u long, v long")
-    found = stage_table(found.distinct(), "simhash-links")
+    found = work.table(found.distinct(), "links")
+    work.drop("fps")
     edges = found.where("v IS NOT NULL")
     dense = found.where("v IS NULL").select(F.col("u").alias("fp"))
     if dense.isEmpty():
         return edges
-    stars = stage_table(dense.mapInArrow(_emit_stars, "point long, fp long, inner boolean"), "simhash-stars")
-    hub = stars.where("inner").groupBy("point").agg(F.min("fp").alias("hub"))
-    return edges.unionByName(stars.join(hub, "point").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct())
+    stars = dense.repartition(max(1, math.ceil(dense.count() * 2081 / PART_ROWS)), "fp").mapInArrow(_emit_stars, "point long, fp long, inner boolean")
+    stars = work.table(stars, "stars")
+    hub = work.table(stars.where("inner").groupBy("point").agg(F.min("fp").alias("hub")), "hubs")
+    far = work.table(stars.join(hub, "point").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "far")
+    work.drop("stars", "hubs")
+    return edges.unionByName(far)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, blocks: int = 3, bucket_limit: int = 512) -> DataFrame:
@@ -199,22 +209,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, blocks: int = 3, bucket_limit: int = 512) -> DataFrame:
     """The same with ``root``, which names a class even where classes share their smallest id."""
-    rows = stage_table(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    work = Workspace(docs.sparkSession, "classes")
+    rows = work.table(fingerprints(docs, id_col, text_col, shingle), "rows")
+    each = work.table(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "each")
     comp = connected_components(links(each, blocks, bucket_limit))
-    each = each.join(comp, each.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    roots = each.groupBy("root").agg(F.min("low").alias("component_id"))
-    lookup = each.join(roots, "root").select("fp", "component_id", "root")
+    named = work.table(each.join(comp, each.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "named")
+    roots = work.table(named.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
+    # written sides let the joins split the rows of a large class or of many copies
+    lookup = work.table(named.join(roots, "root").select("fp", "component_id", "root"), "lookup")
+    work.drop("each", "named", "roots")
     return rows.join(lookup, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but the smallest id of each near-duplicate class.
 
-    Of the rows of a repeated id one stays for each class that it stands for. Rows with a null id cannot stand for a class or
-    be named as a copy; they stay.
+    Of the rows of a repeated id one stays for each class that it stands for. Rows with a
+    null id cannot stand for a class or be named as a copy; they stay. Null and empty texts
+    are one class. An empty table gives an empty result.
     """
-    found = _classes(docs, id_col, text_col)
+    found = stage_table(_classes(docs, id_col, text_col), "keep-one")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
