@@ -15,36 +15,36 @@ from .common import stage_table
 from .multi_index import answers, distinct_keys, top_of, usable
 
 K = 20
-BITS = 64
-SEGMENTS = 4
+WIDTH = 16
 BLOCK_ROWS = 65536
-QUERY_ROWS = 16384
+QUERY_ROWS, LEAST_QUERIES = 16384, 256
 QUERY_EVERY = 20
 
 
-def sign_codes(flat: np.ndarray) -> list[int]:
-    """The signs of the first 64 components as a signed 64-bit code (bit 0 first)."""
-    bits = np.zeros((len(flat), BITS), np.uint8)
-    bits[:, : min(BITS, flat.shape[1])] = flat[:, :BITS] > 0
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+def sign_codes(flat: np.ndarray) -> list[bytes]:
+    """The signs of all components as a code: bit 0 first, filled up to whole segments."""
+    bits = np.zeros((len(flat), -(-flat.shape[1] // WIDTH) * WIDTH), np.uint8)
+    bits[:, : flat.shape[1]] = flat > 0
+    return [row.tobytes() for row in np.packbits(bits, axis=1, bitorder="little")]
+
+
+def code_array(codes: list[bytes]) -> np.ndarray:
+    """Codes as rows of segments of 16 bits."""
+    return np.frombuffer(b"".join(codes), np.uint16).reshape(len(codes), -1)
 
 
 class MultiIndex:
     """The codes of a block, findable by each of their segments."""
 
-    def __init__(self, codes: np.ndarray, segments: int = SEGMENTS):
-        self.codes, self.m, self.width = codes, segments, BITS // segments
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.m, self.width = codes, codes.shape[1], WIDTH
         self.order, self.cuts = [], []
-        for s in range(segments):
-            part = self.part(codes, s)
-            order = np.argsort(part, kind="stable")
+        for s in range(self.m):
+            order = np.argsort(codes[:, s], kind="stable")
             self.order.append(order)
-            self.cuts.append(np.searchsorted(part[order], np.arange((1 << self.width) + 1)))
+            self.cuts.append(np.searchsorted(codes[order, s], np.arange((1 << self.width) + 1)))
         self.masks: list[np.ndarray] = []
 
-    def part(self, codes, s: int):
-        return (codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)
-
     def ring(self, r: int) -> np.ndarray:
         """All segment values with ``r`` bits set."""
         while len(self.masks) <= r:
@@ -52,7 +52,7 @@ class MultiIndex:
             self.masks.append(np.array([sum(1 << b for b in c) for c in combinations(range(self.width), n)], np.int64))
         return self.masks[r]
 
-    def top(self, query: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and distances of all codes no farther than the k-th nearest.
 
         With every segment searched to radius r, all codes within ``m (r + 1) - 1`` bits
@@ -63,7 +63,7 @@ class MultiIndex:
         for r in range(self.width + 1):
             new = []
             for s in range(self.m):
-                keys = int(self.part(query, s)) ^ self.ring(r)
+                keys = int(query[s]) ^ self.ring(r)
                 lo, n = self.cuts[s][keys], self.cuts[s][keys + 1] - self.cuts[s][keys]
                 lo, n = lo[n > 0], n[n > 0]
                 if len(n):
@@ -72,7 +72,7 @@ class MultiIndex:
                     seen[hits] = True
                     new.append(hits)
             got = np.concatenate(new) if new else at[:0]
-            at, dist = np.r_[at, got], np.r_[dist, np.bitwise_count(self.codes[got] ^ query).astype(np.int64)]
+            at, dist = np.r_[at, got], np.r_[dist, np.bitwise_count(self.codes[got] ^ query).sum(1, dtype=np.int64)]
             covered = self.m * (r + 1) - 1
             if len(at) == len(self.codes) or (dist <= covered).sum() >= k:
                 break
@@ -86,10 +86,10 @@ def _search_block(keep: int):
     def run(key: tuple, queries: pa.Table, entries: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
         if queries.num_rows and entries.num_rows:
-            index = MultiIndex(entries["key"].to_numpy().view(np.uint64))
+            index = MultiIndex(code_array(entries["key"].to_pylist()))
             ids = entries["ids"].to_pylist()
             low = np.array([i[0] for i in ids])
-            for q, code in zip(queries["q"].to_pylist(), queries["key"].to_numpy().view(np.uint64)):
+            for q, code in zip(queries["q"].to_pylist(), code_array(queries["key"].to_pylist())):
                 at, dist = index.top(code, keep)
                 best = np.lexsort((low[at], dist))[:keep]
                 pairs = sorted((int(dist[b]), i) for b in best for i in ids[at[b]])[:keep]
@@ -105,7 +105,7 @@ def _name_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         if b.num_rows:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(sign_codes(flat), pa.int64()), b.column(0)], names=["key", "query_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(sign_codes(flat), pa.binary()), b.column(0)], names=["key", "query_id"])
 
 
 def exact_top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -113,18 +113,21 @@ def exact_top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     between sign codes, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``query_every``, candidates all other
-    rows. Equal codes are one entry with its ``k + 1`` smallest ids. The entries are
-    dealt to blocks; in each, queries are answered by incremental multi-index hashing,
+    rows. A code has a bit for every component, whatever their number. Equal codes are one
+    entry with its ``k + 1`` smallest ids. The entries are dealt to blocks; in each, queries are answered by incremental multi-index hashing,
     and the blocks' lists are merged. Rows that cannot be used (see
     ``multi_index.usable``) take no part; an empty table gives an empty result.
     """
     keep = k + 1
     rows = usable(table, id_col, vector_col)
-    entries = stage_table(distinct_keys(rows, sign_codes, "long", keep), "hamming-codes")
+    entries = stage_table(distinct_keys(rows, sign_codes, "binary", keep), "hamming-codes")
     blocks = max(1, math.ceil(entries.count() / block_rows))
-    asked = stage_table(rows.where(F.col("id") % query_every == 0).mapInArrow(_name_queries, "key long, query_id long"), "hamming-queries")
+    asked = stage_table(rows.where(F.col("id") % query_every == 0).mapInArrow(_name_queries, "key binary, query_id long"), "hamming-queries")
     lead = asked.groupBy("key").agg(F.min("query_id").alias("q"))
-    chunks = max(1, math.ceil(lead.count() / QUERY_ROWS))
+    lead = stage_table(lead, "hamming-leads")
+    asked_n, tasks = lead.count(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # large chunks of queries, but on few blocks enough of them that all cores have work
+    chunks = max(1, math.ceil(asked_n / QUERY_ROWS), min(math.ceil(asked_n / LEAST_QUERIES), math.ceil(tasks / blocks)))
     left = lead.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = entries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))

@@ -18,6 +18,7 @@ FIT_ROWS = 8192
 SCAN_SHARE = 0.45
 SCAN_LEAST = 6000
 SHARD_ROWS = 2048
+ROUTE_ROWS = 128
 QUERY_EVERY = 20
 
 
@@ -208,6 +209,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             block = (low * 2654435761 % (1 << 31)) % np.maximum(blocks[cell], 1)
             yield pa.RecordBatch.from_arrays([pa.array(shard_of(cell, block).astype(np.int32)), *b.columns], names=["shard", "key", "ids", "cell"])
 
+    lead = stage_table(lead, "ann-leads")
+    lead = lead.repartition(max(1, math.ceil(lead.count() / ROUTE_ROWS)), "q")  # walking the index is most of a query's work
     routed = lead.mapInArrow(route, "shard int, q long, key binary, cells array<int>")
     placed = entries.mapInArrow(place, "shard int, key binary, ids array<long>, cell int")
     parts = routed.groupBy("shard").cogroup(placed.groupBy("shard")).applyInArrow(_rerank(keep), "q long, ids array<long>, scores array<double>")

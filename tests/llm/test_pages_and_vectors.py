@@ -223,17 +223,30 @@ def test_multi_index_recall_and_exact_scores(spark):
 def test_hamming_is_exact(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ids, x = vectors(df)
-    code = np.array(hamming.sign_codes(x), np.int64).view(np.uint64)
     got = defaultdict(list)
     for r in hamming.exact_top_k(df, block_rows=600).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.distance))
     for q in np.flatnonzero(ids % 20 == 0):
-        d = np.bitwise_count(code ^ code[q]).astype(int)
+        d = ((x > 0) != (x[q] > 0)).sum(1)
         order = np.lexsort((ids, d))
         order = order[order != q][:20]
         assert sorted(got[ids[q]]) == [(n + 1, int(ids[j]), int(d[j])) for n, j in enumerate(order)]
 
 
+def test_hamming_takes_every_component(spark):
+    rng = np.random.default_rng(6)
+    for width in (5, 64, 150):
+        x = rng.normal(size=(300, width))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in hamming.exact_top_k(df, block_rows=70).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.distance))
+        for q in range(0, 300, 20):
+            d = ((x > 0) != (x[q] > 0)).sum(1)
+            order = np.lexsort((np.arange(300), d))
+            assert sorted(got[q]) == [(n + 1, int(j), int(d[j])) for n, j in enumerate(order[order != q][:20])]
+
+
 @pytest.mark.parametrize("search", [multi_index.search, hamming.exact_top_k])
 def test_search_edges(spark, search):
     """Copies of one vector in most rows, unusable vectors, few candidates."""
