@@ -79,14 +79,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The rows are those with the smallest hashed ids, so a rerun takes the same. An id with
     several labels counts as toxic if any says so; null ids, null labels and labels other
-    than 0 and 1 are left out; equal texts count once. Without both labels the model is
-    the leak alone, which rejects nothing.
+    than 0 and 1 are left out; equal texts count once, as toxic if any of them is. Without
+    both labels the model is the leak alone, which rejects nothing.
+
+    The sizes are the model's: words and stems are hashed to 2**20 places, of which the
+    ``max_features`` (20,000) that tell the labels apart best get a weight. Two words in one
+    place share a weight; with the 20,000 kept in a million places that is one in fifty.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("t"))
-    rows = rows.join(F.broadcast(sample), "__id").where("t IS NOT NULL").dropDuplicates(["t"])  # the bound of the broadcast is train_rows
+    rows = rows.join(F.broadcast(sample), "__id").where("t IS NOT NULL").groupBy("t").agg(F.max("y").alias("y"))  # the bound of the broadcast is train_rows
     got = rows.select("y", "t").mapInArrow(_bags, "y int, size binary, ids binary").toArrow()
     y = np.array(got["y"].to_pylist(), np.float64)
     if not len(y) or y.min() == y.max():
@@ -183,7 +187,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score under the threshold; no shuffle."""
+    """The rows of ``docs``, all columns, that score under the threshold; no shuffle.
+
+    Null and empty texts score the leak and stay; null ids do not matter; repeated rows
+    stay or go together; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
