@@ -1,4 +1,4 @@
-"""Nearest-neighbour joins over numbers and categories, in blocks."""
+"""Nearest-neighbour joins over numbers and categories, by cells of a k-d tree."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lenient_double, normalise_category
+from ..sources.scratch import Workspace
 from .metrics import percentiles
 
 BLOCK = 4096
+LEFT_ROWS = 8192
+CELL_ROWS, MAX_CELLS, SAMPLE = 1024, 1024, 16384
 CODEBOOK = 4096
 
 
@@ -78,24 +81,145 @@ def _nearest(k: int, exclude_self: bool):
     return run
 
 
-def knn(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int = 1, exclude_self: bool = False, fit: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+class Cells:
+    """A k-d tree of at most 1,024 cells over the scaled numbers of a table.
+
+    The cuts come from a bounded sample (the rows with the least hashes), the boxes, which
+    decide what may be left out, from all rows."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.cuts: list[tuple[int, float, int, int]] = []  # dimension, cut, and two nodes; a leaf is -1 - cell
+        self.leaves = 0
+        self.top = self._grow(sample, cells)
+        self.low = self.high = np.zeros((0, sample.shape[1]))
+        self.parts = np.zeros(0, np.int64)
+
+    def _grow(self, x: np.ndarray, cells: int) -> int:
+        if cells > 1 and len(x) > 1 and x.shape[1]:
+            j = int(np.argmax(x.max(0) - x.min(0)))
+            cut = float(np.median(x[:, j]))
+            cut = cut if (x[:, j] > cut).any() else float(np.nextafter(cut, -np.inf))
+            over = x[:, j] > cut
+            if over.any() and not over.all():
+                at = len(self.cuts)
+                self.cuts.append((j, cut, 0, 0))
+                self.cuts[at] = (j, cut, self._grow(x[~over], cells // 2), self._grow(x[over], cells - cells // 2))
+                return at
+        self.leaves += 1
+        return -self.leaves
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), self.top)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            for k in np.unique(at[inner]):
+                rows = inner[at[inner] == k]
+                j, cut, under, over = self.cuts[k]
+                at[rows] = np.where(x[rows, j] > cut, over, under)
+        return -1 - at
+
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        """Distance of each point to each box; no member of the box is nearer. 0 where a
+        number is not one, infinite for a cell without members."""
+        d = np.zeros((len(x), len(self.parts)))
+        for j in range(x.shape[1]):
+            out = np.maximum(np.maximum(self.low[None, :, j] - x[:, j : j + 1], x[:, j : j + 1] - self.high[None, :, j]), 0.0)
+            d += np.nan_to_num(out, nan=0.0) ** 2
+        d = np.sqrt(d)
+        d[:, self.parts == 0] = np.inf
+        return d
+
+
+POINT = "key {kind}, id long, num array<double>, cat array<bigint>, cost array<double>"
+
+
+def _numbers(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _visits(cells: Cells, first: bool):
+    """Sends each row to the blocks it must be compared with: to one block of the nearest
+    cell, or to all blocks of the cells within its bound (the last column)."""
+
+    def run(batches):
+        for b in (t.slice(at, 2048) for t in batches for at in range(0, t.num_rows, 2048)):
+            ids, gaps = b.column(1).to_numpy(), cells.gaps(_numbers(b.column(2), b.num_rows))
+            if first:
+                row, cell = np.arange(b.num_rows), gaps.argmin(1)
+                part = ids % cells.parts[cell]
+            else:
+                bound = b.column(5).to_numpy(zero_copy_only=False)
+                row, cell = np.nonzero(gaps <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                n = cells.parts[cell]
+                row, cell, part = np.repeat(row, n), np.repeat(cell, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            for at in range(0, len(row), 8192):
+                take = pa.array(row[at : at + 8192])
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[:5]), pa.array(cell[at : at + 8192], pa.int32()), pa.array(part[at : at + 8192], pa.int32())], names=["key", "id", "num", "cat", "cost", "cell", "part"])
+
+    return run
+
+
+def knn(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int = 1, exclude_self: bool = False, fit: DataFrame | None = None, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(key, near)``: ascending distances of each left row to its ``k`` nearest right rows.
 
     Numbers are scaled by ``fit`` (the right table by default), nulls are its medians; a
-    category costs nothing if equal. Both sides are dealt to blocks; a pair of blocks is
-    compared as arrays and hands on ``k`` numbers a row, so no pair of rows is ever a row
-    of a table. ``exclude_self`` leaves out the right row with the same key.
+    category costs nothing if equal. The right rows lie in cells of a k-d tree over the
+    numbers, in blocks of at most about ``block`` rows. Each left row is compared with one
+    block of its nearest cell, which bounds its distances, and then with all blocks of the
+    cells whose box is within the bound, so the result is exact and far cells are never
+    read. A pair of blocks is compared as arrays and hands on ``k`` numbers a row;
+    much-visited cells are dealt to several tasks. ``exclude_self`` leaves out the right
+    row with the same key. An empty right table gives an empty result.
     """
     base = right if fit is None else fit
     fits = scaler(base, numeric)
     seen = {c: base.select(normalise_category(F.col(f"`{c}`"), base.schema[c].dataType).alias("token")).distinct() for c in categorical}
-    a, b = _points(left, key, fits, categorical, seen), _points(right, key, fits, categorical, None)
-    na, nb = max(1, math.ceil(left.count() / block)), max(1, math.ceil(right.count() / block))
-    a = a.withColumn("ba", F.pmod("id", F.lit(na)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = b.withColumn("bb", F.pmod("id", F.lit(nb)).cast("int")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+    work = Workspace(left.sparkSession, "knn")
+    a = work.table(_points(left, key, fits, categorical, seen), "left")
+    b = work.table(_points(right, key, fits, categorical, None), "right")
     kind = left.schema[key].dataType.simpleString()
-    part = a.groupBy("ba", "bb").cogroup(b.groupBy("ba", "bb")).applyInArrow(_nearest(k, exclude_self), f"key {kind}, near array<double>")
-    return part.groupBy(F.col("key").alias(key)).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    sample = [r.num for r in b.select("num", "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()] if numeric else []
+    x = np.array(sample, np.float64).reshape(len(sample), len(numeric))
+    cells = Cells(x[np.isfinite(x).all(1)], max(1, min(MAX_CELLS, math.ceil(b.count() / cell_rows))))
+
+    def place(batches):
+        for t in batches:
+            cell = cells.of(_numbers(t.column(2), t.num_rows)) if t.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell, pa.int32())], names=[*t.schema.names, "cell"])
+
+    b = work.table(b.mapInArrow(place, POINT.format(kind=right.schema[key].dataType.simpleString()) + ", cell int"), "cells")
+    edges = [f(F.col("num")[j]).alias(f"{n}{j}") for j in range(len(numeric)) for n, f in (("l", F.min), ("h", F.max))]
+    boxes = b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges).collect()  # at most 1,024 rows
+    cells.low = np.zeros((cells.leaves, len(numeric)))
+    cells.high, cells.parts = np.zeros_like(cells.low), np.zeros(cells.leaves, np.int64)
+    for r in boxes:
+        cells.parts[r.cell] = -(-r.n // block)
+        for j in range(len(numeric)):
+            cells.low[r.cell, j], cells.high[r.cell, j] = r[f"l{j}"], r[f"h{j}"]
+    of_cell = lambda xs: F.element_at(F.array(*(F.lit(int(v)) for v in xs)), F.col("cell") + 1)
+    b = b.withColumn("part", F.pmod("id", of_cell(np.maximum(cells.parts, 1))).cast("int"))
+
+    def compare(rows: DataFrame, name: str) -> DataFrame:
+        rows = work.table(rows, name)
+        crowd = np.ones(cells.leaves, np.int64)
+        for r in rows.groupBy("cell").count().collect():  # at most 1,024 rows
+            crowd[r.cell] = max(1, math.ceil(r["count"] / max(1, cells.parts[r.cell]) / LEFT_ROWS))
+        by = ["cell", "part", "crowd"]
+        one = rows.withColumn("crowd", F.pmod(F.xxhash64("id"), of_cell(crowd)).cast("int"))
+        two = b.withColumn("crowd", F.explode(F.sequence(F.lit(0), of_cell(crowd) - 1)))
+        near = one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(_nearest(k, exclude_self), f"key {kind}, near array<double>")
+        return near.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+    fields = POINT.format(kind=kind) + ", cell int, part int"
+    if not boxes:
+        return left.where(F.lit(False)).select(key, F.array().cast("array<double>").alias("near"))
+    infinite = F.lit(float("inf"))
+    if cells.leaves > 1:
+        bound = compare(a.mapInArrow(_visits(cells, True), fields), "first")
+        bound = work.table(bound.select(F.col("key").alias("__key"), F.when(F.size("near") >= k, F.element_at("near", -1)).otherwise(infinite).alias("bound")), "bounds")
+        a = a.join(bound, F.col("key").eqNullSafe(F.col("__key")), "left").drop("__key").withColumn("bound", F.coalesce("bound", infinite))
+    else:
+        a = a.withColumn("bound", infinite)
+    return compare(a.mapInArrow(_visits(cells, False), fields), "second").withColumnRenamed("key", key)
 
 
 def knn_features(left: DataFrame, generated: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:

@@ -46,6 +46,14 @@ def quantile_encode(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", F.round(q.encode(F.col("l_extendedprice")).cast("double"), 4).alias("z"))
 
 
+@query(f"WITH x AS ({_encode_sql('lineitem', 'l_orderkey, l_linenumber', 'l_extendedprice', E.QUANTILES)}) SELECT l_orderkey, l_linenumber, round(z, 4) AS z FROM x")
+def quantile_encode_default(spark, sf_dir):
+    """With the default number of knots."""
+    df = table(spark, sf_dir, "lineitem")
+    q = E.Quantiles.collect(E.fit_quantiles(df, ["l_extendedprice"]))["l_extendedprice"]
+    return df.select("l_orderkey", "l_linenumber", F.round(q.encode(F.col("l_extendedprice")).cast("double"), 4).alias("z"))
+
+
 @query(
     f"""WITH k AS (SELECT quantile_cont(l_extendedprice, {_refs(LINE_Q)}) AS k FROM lineitem),
 v AS (SELECT l_orderkey, l_linenumber, {uniform_sql('(l_orderkey * 10 + l_linenumber)', 3, 'dec')} * {LINE_Q - 1} AS u FROM lineitem),

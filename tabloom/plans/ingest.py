@@ -132,6 +132,22 @@ def csv_typed(spark, sf_dir):
     return got.withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
 
 
+def _tsv(spark, sf_dir, suffix: str, **options):
+    path = fresh_path(spark, "typed") + suffix
+    table(spark, sf_dir, "supplier").write.options(header=True, sep="\t", **options).csv(path)
+    return files.scan(spark, path).withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
+
+
+@query("SELECT * FROM supplier")
+def tsv_typed(spark, sf_dir):
+    return _tsv(spark, sf_dir, ".tsv")
+
+
+@query("SELECT * FROM supplier")
+def tsv_gz_typed(spark, sf_dir):
+    return _tsv(spark, sf_dir, ".tsv.gz", compression="gzip")
+
+
 @query("SELECT * FROM (VALUES (',', ','), (';', ';'), (chr(9), chr(9)), ('|', '|')) AS v(written, detected)")
 def csv_delimiter(spark, sf_dir):
     rows = []

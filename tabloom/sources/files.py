@@ -34,7 +34,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 def delimiter_scores(spark: SparkSession, path: str) -> DataFrame:
     """``(delimiter, fields, lines)``: how many of the first lines (64 KiB, decompressed)
     agree on a number of separators above zero."""
-    head = spark.read.text(path).limit(2000).withColumn("n", F.monotonically_increasing_id())
+    head = spark.read.text(path).limit(SNIFF_BYTES).withColumn("n", F.monotonically_increasing_id())
     upto = F.sum(F.octet_length("value") + 1).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     head = head.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < SNIFF_BYTES)
     each = head.select(F.explode(F.array(*(F.struct(F.lit(d).alias("delimiter"), (F.length("value") - F.length(F.translate("value", d, ""))).alias("fields")) for d in DELIMITERS))).alias("x")).select("x.*")

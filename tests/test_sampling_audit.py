@@ -118,6 +118,27 @@ def test_blocks_do_not_change_neighbours(spark, sf):
     assert run(4096) == run(40)
 
 
+def test_cells_leave_out_nothing(spark):
+    """Clusters, ties, one point in half of the rows, nulls: as by comparing all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    point = lambda i: (None if i % 17 == 0 else float(rng.normal(i % 5 * 10, 1)) if i % 2 else 3.0, float(rng.integers(0, 4)), "abc"[i % 3])
+    a, b = ([(i, *point(i)) for i in range(n)] for n in (300, 500))
+    schema = "k long, x double, y double, c string"
+    fits = N.scaler(spark.createDataFrame(b, schema), ["x", "y"])
+    z = lambda v, f: ((f[2] if v is None else v) - f[0]) / f[1]
+    for k, self_too in ((1, False), (7, True)):
+        left = b if self_too else a
+        got = {r.k: r.near for r in N.knn(spark.createDataFrame(left, schema), spark.createDataFrame(b, schema), "k", ["x", "y"], ["c"], k, self_too, block=40, cell_rows=30).collect()}
+        assert len(got) == len(left)
+        for i, x, y, c in left:
+            want = sorted(math.sqrt((z(x, fits["x"]) - z(u, fits["x"])) ** 2 + (z(y, fits["y"]) - z(v, fits["y"])) ** 2 + 2 * (c != d)) for j, u, v, d in b if not (self_too and i == j))[:k]
+            assert got[i] == pytest.approx(want)
+    assert N.knn(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), "k", ["x"], ["c"]).count() == 0
+    assert N.knn(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "k", [], ["c"], 2).count() == 300
+
+
 def test_ranges_do_not_change_ranks(spark):
     df = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(10**6)))
     one = S.global_rank(df, [F.col("x"), F.col("id")], "r")
