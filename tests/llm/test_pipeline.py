@@ -84,3 +84,24 @@ def test_empty(spark, tmp_path, sf):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing columns."""
+    long = " ".join(f"w{i * 31 % 9973}" for i in range(60_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t", None, "a", 2), (4, long, "en", "a", 1), (5, long, "en", "b", 1), (6, "one two three four", "en", "b", 1), (6, "one two three four", "en", "b", 1),
+        (None, "five six seven eight", "en", "b", 1), (None, None, None, None, None), (7, 'token = "abcdefghijkl1234567" is mine', "en", "b", 1), (8, "other words entirely here", "de", "c", 1), (8, "and the same id again", "de", "c", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "doc", "src", "block", "doc_key", "fp", "u", "v", "h", "hits", "clear", "epoch", "piece", "shard"):
+        docs = docs.withColumn(c, docs.doc_id.cast("string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_packing(got)
+    # nulls and blanks are one class (1 leads it), the long text and the repeated row have one row left
+    assert {r.doc_id for r in got} == {1, 4, 6, None, 7, 8}
+    first = Counter(r.doc_id for r in got if r.piece == 0)
+    assert first[None] == 2 and first[8] == 2 and first[6] == 1
+    assert not [n for n in np.unique([r.length for r in got]) if not 1 <= n <= 1024]

@@ -329,6 +329,77 @@ def test_toxicity_locates_sentences():
     assert n == 3 and score > 0.9 and [text[a:b].strip() for a, b in spans] == ["You are an IDIOT and a clown!!"]
 
 
+def plain_train(y, docs, rounds, max_features=20000):
+    """Weights by plain loops: documents are lists of sentences, these lists of features."""
+    pos, neg = Counter(), Counter()
+    for label, doc in zip(y, docs):
+        (pos if label else neg).update({f for s in doc for f in s})
+    P, N = sum(y), len(y) - sum(y)
+    odds = {f: math.log((pos[f] + 0.5) / (P + 1)) - math.log((neg[f] + 0.5) / (N + 1)) for f in pos | neg if pos[f] + neg[f] >= 3}
+    keep = sorted(odds, key=lambda f: (-abs(odds[f]) * math.sqrt(pos[f] + neg[f]), f))[:max_features]
+    d, leak = len(y), 0.01
+    w, bias = dict.fromkeys(keep, 0.0), math.log(P / d / max(1.0, sum(map(len, docs)) / d))
+    gw, gb = dict.fromkeys(keep, 1e-6), 1e-6
+    for _ in range(rounds):
+        g, total = {f: -1e-4 * w[f] / d for f in keep}, 0.0
+        for label, doc in zip(y, docs):
+            ps = [1 / (1 + math.exp(-(bias + sum(w.get(f, 0.0) for f in s)))) for s in doc]
+            none = 1 - leak
+            for p in ps:
+                none *= 1 - p
+            up = none / max(1 - none, 1e-9) if label else -1.0
+            for p, s in zip(ps, doc):
+                total += up * p / d
+                for f in s:
+                    if f in g:
+                        g[f] += up * p / d
+        for f in keep:
+            gw[f] += g[f] ** 2
+            step = 0.5 / math.sqrt(gw[f])
+            x = w[f] + step * g[f]
+            w[f] = math.copysign(max(abs(x) - step * 0.05 / d, 0.0), x)
+        gb += total**2
+        bias = min(max(bias + 0.5 * total / math.sqrt(gb), -14.0), 0.0)
+    return bias, {f: x for f, x in w.items() if abs(x) > 1e-3}
+
+
+def test_toxicity_training_matches_plain():
+    rng = np.random.default_rng(5)
+    y = [int(i % 3 == 0) for i in range(30)]
+    docs = [[sorted({int(x) for x in rng.integers(0, 25, 6)} | ({40} if label and k == 0 else set())) for k in range(int(rng.integers(1, 5)))] for label in y]
+    sizes = [np.array([len(s) for s in doc], np.int32) for doc in docs]
+    ids = [np.array([f for s in doc for f in s], np.int32) for doc in docs]
+    model = toxicity._train(np.array(y, float), sizes, ids, 20000, 12)
+    bias, weights = plain_train(y, docs, 12)
+    assert model.bias == pytest.approx(bias) and set(model.weights) == set(weights)
+    assert all(model.weights[f] == pytest.approx(x, rel=1e-6, abs=1e-9) for f, x in weights.items())
+
+
+def test_toxicity_scores_match_plain(docs, texts, spark, sf):
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.weights
+    for r in toxicity.score(docs, model).collect():
+        none, offending = 1 - model.leak, []
+        for m in re.finditer(r"[^.!?\n]*[.!?\n]*", texts[r.doc_id] or ""):
+            words = set(re.findall(r"[^\W\d_]+", m[0].lower()))
+            if words:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.word_features(w))
+                p = 1 / (1 + math.exp(-min(max(z, -30), 30)))
+                none *= 1 - min(p, 1 - 1e-12)
+                offending.append(p >= 0.3)
+        assert r.score == pytest.approx(1 - none, rel=1e-6, abs=1e-9) and r.predicted == (r.score >= 0.3)
+        assert r.n_sentences == len(offending) and len([x for x in r.offending.split(",") if x]) == sum(offending)
+
+
+def test_toxicity_labels_that_disagree(spark):
+    """Equal texts under several labels count once, as toxic."""
+    rows = [(i, f"you are bad number {i % 4}", "en", "a", 0) for i in range(40)] + [(100 + i, f"a calm day {i}", "en", "a", 0) for i in range(40)]
+    labels = [(i, int(i % 8 == 0)) for i in range(40)] + [(100 + i, 0) for i in range(40)]
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    a, b = toxicity.fit(df, lab), toxicity.fit(df.repartition(7), lab.repartition(5))
+    assert a == b
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (4, 0), (4, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -372,6 +443,68 @@ def test_mixture_weights_and_budget(spark):
     assert got.sort_values(key)[key + ["block_order"]].values.tolist() == again.sort_values(key)[key + ["block_order"]].values.tolist()
 
 
+def plain_mix(rows, alpha, budget):
+    """Counter of ``(doc_id, epoch)``, from ``(doc_id, src, n_tokens, doc_key, block, block_key)``."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    tokens = {s: sum(r[2] for r in part) for s, part in by.items()}
+    total, out = sum(t**alpha for t in tokens.values() if t), Counter()
+    for s, part in by.items():
+        if not tokens[s]:
+            out.update((r[0], 0) for r in part)
+            continue
+        asked = math.floor(tokens[s] ** alpha / total * budget * (1 + 1e-12) + 1e-6)
+        epochs, rest = divmod(asked, tokens[s])
+        out.update((r[0], e) for r in part for e in range(epochs))
+        blocks = defaultdict(list)
+        for r in part:
+            blocks[(r[5], r[4])].append(r)
+        for b in sorted(blocks):
+            inside = sorted(blocks[b], key=lambda r: r[3])
+            if (n := sum(r[2] for r in inside)) <= rest:
+                out.update((r[0], epochs) for r in inside)
+                rest -= n
+                continue
+            for r in inside:
+                if r[2] > rest:
+                    break
+                out[(r[0], epochs)] += 1
+                rest -= r[2]
+            break
+    return out
+
+
+@pytest.mark.parametrize(("budget", "share", "most"), [(12_000, 0.98, 3.0), (30_000, None, 2.5), (5_000, 0.9, 50.0)])
+def test_mixture_matches_plain(spark, budget, share, most):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i * 7 % 11), "en", "big" if i < 1500 else None if i % 4 == 0 else f"s{i % 4}", 0) for i in range(2000)] + [(3000, "", "en", "empty", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    measured = mixing.measure(df, "text", "source", "doc_id", 17, [F.col("doc_id")])
+    key = F.xxhash64(F.lit(17), F.lit("block"), "src", "block")
+    facts = [tuple(r) for r in measured.select("doc_id", "src", "n_tokens", "doc_key", "block", key).collect()]
+    assert {f[0]: f[2] for f in facts} == {r[0]: len(r[1].split()) for r in rows}
+    got = mixing.mix(df, budget, share, most).collect()
+    alpha = got[0].alpha
+    tokens = Counter()
+    for f in facts:
+        tokens[f[1]] += f[2]
+    tokens = [n for n in tokens.values() if n]
+
+    def fits(a):
+        x = [n**a for n in tokens]
+        w = [v / sum(x) for v in x]
+        return max(p * budget / n for p, n in zip(w, tokens)) <= most and (share is None or -sum(p * math.log(p) for p in w) <= share * math.log(len(tokens)))
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    assert alpha == pytest.approx(0.0 if fits(0.0) else high, abs=1e-6)
+    assert Counter((r.doc_id, r.epoch) for r in got) == plain_mix(facts, alpha, budget)
+
+
 def test_mix_whole_keeps_every_document(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "big" if i < 300 else f"s{i % 4}", 0) for i in range(400)]
     df = spark.createDataFrame(rows, DOCS)
@@ -382,7 +515,7 @@ def test_mix_whole_keeps_every_document(spark):
 
 def test_mixing_edges(odd, none):
     got = mixing.mix(odd)
-    assert got.where("source IS NULL").count() >= 0 and got.count() > 0
+    assert got.where("source IS NULL").count() == 1 and {r.source for r in got.collect()} == {"a", "b", None}
     kept = mixing.mix_whole(odd)
     assert kept.columns == odd.columns and kept.count() >= 9
     assert kept.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
@@ -442,6 +575,55 @@ def test_best_two_fit_beats_first_choice():
     assert np.bincount(bins, sizes).max() <= 1024 and bins.max() + 1 <= math.ceil(sizes.sum() / 1024) * 1.01 + 1
 
 
+def plain_two_fit(lengths, limit):
+    """The same by trying everything: largest first, then the best exchange of the smallest."""
+    left, bins, n = list(range(len(lengths))), [0] * len(lengths), 0
+    earliest = lambda size: min(i for i in left if lengths[i] == size)
+    while left:
+        held, gap = [], limit
+        while any(lengths[i] <= gap for i in left):
+            i = earliest(max(lengths[i] for i in left if lengths[i] <= gap))
+            held.append(i)
+            left.remove(i)
+            gap -= lengths[i]
+        small = lengths[held[-1]]
+        sizes = [(lengths[i], lengths[j]) for i in left for j in left if i != j and lengths[i] >= lengths[j] and small < lengths[i] + lengths[j] <= gap + small]
+        if gap and sizes:
+            out = held.pop()
+            for size in max(sizes, key=lambda x: (sum(x), x[0])):
+                held.append(earliest(size))
+                left.remove(held[-1])
+            left.append(out)
+        for i in held:
+            bins[i] = n
+        n += 1
+    return bins
+
+
+def test_best_two_fit_matches_plain():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        limit = int(rng.integers(5, 40))
+        lengths = rng.integers(1, limit + 1, int(rng.integers(1, 26)))
+        assert packing.best_two_fit(lengths, limit)[0].tolist() == plain_two_fit(lengths.tolist(), limit)
+
+
+def test_both_forms_of_the_vocabulary_agree():
+    """Texts of letters, marks, digits, punctuation, spaces and controls of all planes."""
+    from tokenizers import Tokenizer
+
+    paths = packing.default_tokenizer()
+    encode = packing.make_encoder(*(open(p, "rb").read() for p in paths))
+    tok = Tokenizer.from_file(paths[0])
+    rng = np.random.default_rng(12)
+    ranges = [(0, 128), (128, 0x250), (0x300, 0x370), (0x370, 0x600), (0x600, 0x700), (0x900, 0xDFF), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x9FFF), (0xE000, 0xE010), (0xFE00, 0xFE10), (0x1F300, 0x1F700), (0x1D400, 0x1D7FF), (0xE0100, 0xE01F0)]
+    bits = ["'s", "'LL", "  ", "\n\n", "\r\n", "\u00a0", "\u2028", "\x85", "don't", "123456", " <|endoftext|>", "<|endo", "\u200d", "\ufeff"]
+    for _ in range(1500):
+        parts = [bits[rng.integers(len(bits))] if rng.random() < 0.3 else "".join(chr(rng.integers(*ranges[rng.integers(len(ranges))])) for _ in range(rng.integers(1, 9))) for _ in range(rng.integers(0, 9))]
+        text = "".join(parts)
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_special_token_text(spark):
     from tokenizers import Tokenizer
 
