@@ -1,19 +1,22 @@
-"""A Gaussian copula fitted by Spark: sampling, augmenting, balancing, filling, what-if."""
+"""A Gaussian copula, or a mixture, fitted by Spark: sampling, augmenting, balancing, filling, what-if."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import normal, uniform
 from ..functions.scalars import NULL_TOKEN, normal_cdf, normal_quantile, normalise_category
+from ..sources.scratch import written
 from .encode import Quantiles, fit_quantiles, intervene, lookup
 from .sets import class_deficit, union_relaxed
 
@@ -26,14 +29,16 @@ WIDE = 16
 
 @dataclass(frozen=True)
 class Generator:
-    """Marginals of each column and the covariance of their normal scores."""
+    """Marginals of each column, and the normal scores' distribution: one Gaussian, or a
+    mixture of several (a weight, a mean and a covariance each)."""
 
     columns: tuple[str, ...]
     types: dict[str, str]
     quantiles: dict[str, Quantiles]
     tokens: dict[str, tuple[tuple[str, ...], tuple[float, ...]]]
-    mean: np.ndarray
-    cov: np.ndarray
+    weights: np.ndarray
+    means: np.ndarray
+    covs: np.ndarray
 
 
 def _number(c: str, kind: str) -> Column:
@@ -98,8 +103,9 @@ def _wide_moments(df: DataFrame, col: str, width: int) -> DataFrame:
     return got.select("i", "j", mean[F.col("i")].alias("mean_i"), mean[F.col("j")].alias("mean_j"), F.when(F.col("n") > 0, F.col("c") / F.col("n") - F.col("si") / F.col("n") * (F.col("sj") / F.col("n"))).alias("cov"))
 
 
-def fit(df: DataFrame, key: str, columns: list[str], seed: int = 0, q: int = 200) -> Generator:
-    """Fits the marginals and the covariance. Rare categories keep intervals of their own."""
+def fit(df: DataFrame, key: str, columns: list[str], seed: int = 0, q: int = 200, components: int = 1) -> Generator:
+    """Fits the marginals and the scores' covariance, or a mixture of ``components``
+    Gaussians. Rare categories keep intervals of their own."""
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
     numeric = [c for c in columns if types[c] in (*INTEGERS, "float", "double", *TIMES)]
     numbers = df.select(*(_number(c, types[c]).alias(c) for c in numeric))
@@ -115,13 +121,20 @@ def fit(df: DataFrame, key: str, columns: list[str], seed: int = 0, q: int = 200
             run += r.n
             upto.append(run / total)
         tokens[c] = (tuple(r.t for r in rows) or (NULL_TOKEN,), tuple(upto) or (1.0,))
-    model = Generator(tuple(columns), types, quantiles, tokens, np.zeros(len(columns)), np.eye(len(columns)))
-    scored = with_scores(df, model, key, seed).select("z")
-    mean, cov = np.zeros(len(columns)), np.eye(len(columns))
-    for r in latent_moments(scored, "z", len(columns)).collect():
+    d = len(columns)
+    model = Generator(tuple(columns), types, quantiles, tokens, np.ones(1), np.zeros((1, d)), np.eye(d)[None])
+    scored = written(with_scores(df, model, key, seed).select("z"), "scores")
+    mean, cov = np.zeros(d), np.eye(d)
+    for r in latent_moments(scored, "z", d).collect():
         mean[r.i], mean[r.j] = r.mean_i or 0.0, r.mean_j or 0.0
         cov[r.i, r.j] = cov[r.j, r.i] = r["cov"] or 0.0
-    return Generator(model.columns, types, quantiles, tokens, mean, cov + RIDGE * np.eye(len(columns)))
+    weights, means, covs = np.ones(1), mean[None], cov[None]
+    if components > 1:
+        full = F.array(*(F.coalesce(F.col("z")[i], F.lit(float(mean[i]))) for i in range(d)))
+        mixture = GaussianMixture(k=components, seed=seed, featuresCol="v").fit(scored.select(array_to_vector(full).alias("v")))
+        parts = mixture.gaussiansDF.collect()  # one row a component
+        weights, means, covs = np.array(mixture.weights), np.array([r.mean.toArray() for r in parts]), np.array([r["cov"].toArray() for r in parts])
+    return replace(model, weights=weights, means=means, covs=covs + RIDGE * np.eye(d))
 
 
 def decode(df: DataFrame, model: Generator, z: str) -> DataFrame:
@@ -149,33 +162,58 @@ def _noise(key: str, seed: int, width: int) -> Column:
 
 def sample(spark: SparkSession, model: Generator, n: int, seed: int) -> DataFrame:
     """n rows; the same seed gives the same rows under any partitioning."""
-    lower, d = np.linalg.cholesky(model.cov), len(model.columns)
-    rows = spark.range(n).withColumn("e", _noise("id", seed, d))
-    z = F.array(*(F.lit(float(model.mean[i])) + sum((F.col("e")[j] * float(lower[i, j]) for j in range(1, i + 1)), F.col("e")[0] * float(lower[i, 0])) for i in range(d)))
-    out = decode(rows.withColumn("z", z), model, "z")
+    none = F.array_repeat(F.lit(None).cast("double"), len(model.columns))
+    out = decode(_drawn(spark.range(n).withColumn("z", none), model, "id", seed), model, "z")
     return out.select(*(F.col(f"__new_{c}").alias(c) for c in model.columns))
 
 
-def _conditional(mean: np.ndarray, cov: np.ndarray):
-    """Fills the unknown scores of each row given the known ones. The regression of a
-    pattern of unknown places is solved once a task; any number of patterns will do."""
+def _drawn(rows: DataFrame, model: Generator, key: str, seed: int) -> DataFrame:
+    """``rows`` with the unknown places of ``z`` drawn from keyed numbers."""
+    noise = rows.withColumn("e", _noise(key, seed, len(model.columns))).withColumn("u", uniform(key, seed, "component"))
+    return noise.mapInPandas(_conditional(model), noise.schema)
+
+
+def _conditional(model: Generator):
+    """Fills the unknown scores of each row given the known ones. The regressions of a
+    pattern of unknown places are solved once a task; any number of patterns will do. Of a
+    mixture, a row's component is drawn by how well each explains what is known."""
+    weights, means, covs = model.weights, model.means, model.covs
+    d = means.shape[1]
+
+    def regressions(u: np.ndarray, k: np.ndarray) -> list[tuple]:
+        out = []
+        for cov in covs:
+            b = np.linalg.solve(cov[np.ix_(k, k)], cov[np.ix_(k, u)]).T if len(k) else np.zeros((len(u), 0))
+            rest = cov[np.ix_(u, u)] - b @ cov[np.ix_(k, u)]
+            out.append((b, np.linalg.cholesky((rest + rest.T) / 2 + RIDGE * np.eye(len(u))), np.linalg.cholesky(cov[np.ix_(k, k)])))
+        return out
+
+    def components(x: np.ndarray, k: np.ndarray, solved: list[tuple], draw: np.ndarray) -> np.ndarray:
+        if len(weights) == 1:
+            return np.zeros(len(x), np.int64)
+        fit = []
+        for w, mean, (_, _, lower) in zip(weights, means, solved):
+            t = np.linalg.solve(lower, (x - mean[k]).T) if len(k) else np.zeros((0, len(x)))
+            fit.append(np.log(max(w, 1e-300)) - (t**2).sum(0) / 2 - np.log(np.diag(lower)).sum())
+        p = np.exp(np.array(fit) - np.max(fit, axis=0))
+        return ((p / p.sum(0)).cumsum(0) <= draw).sum(0).clip(max=len(weights) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        solved: dict[bytes, tuple] = {}
+        known: dict[bytes, list[tuple]] = {}
         for pdf in batches:
-            z = np.array([[np.nan if x is None else x for x in row] for row in pdf["z"]], dtype=np.float64).reshape(len(pdf), len(mean))
-            e = np.array(pdf["e"].tolist(), dtype=np.float64).reshape(len(pdf), len(mean))
+            z = np.array([[np.nan if x is None else x for x in row] for row in pdf["z"]], dtype=np.float64).reshape(len(pdf), d)
+            e, draw = np.array(pdf["e"].tolist(), dtype=np.float64).reshape(len(pdf), d), pdf["u"].to_numpy()
             unknown = np.isnan(z)
             for pattern in np.unique(unknown, axis=0) if len(pdf) else ():
                 rows, u, k = np.flatnonzero((unknown == pattern).all(1)), np.flatnonzero(pattern), np.flatnonzero(~pattern)
                 if not len(u):
                     continue
-                if pattern.tobytes() not in solved:
-                    b = np.linalg.solve(cov[np.ix_(k, k)], cov[np.ix_(k, u)]).T if len(k) else np.zeros((len(u), 0))
-                    rest = cov[np.ix_(u, u)] - b @ cov[np.ix_(k, u)]
-                    solved[pattern.tobytes()] = b, np.linalg.cholesky((rest + rest.T) / 2 + RIDGE * np.eye(len(u)))
-                b, lower = solved[pattern.tobytes()]
-                z[np.ix_(rows, u)] = mean[u] + (z[np.ix_(rows, k)] - mean[k]) @ b.T + e[np.ix_(rows, u)] @ lower.T
+                if (solved := known.get(pattern.tobytes())) is None:
+                    solved = known[pattern.tobytes()] = regressions(u, k)
+                which = components(z[np.ix_(rows, k)], k, solved, draw[rows])
+                for c in np.unique(which):
+                    own, (b, lower, _) = rows[which == c], solved[c]
+                    z[np.ix_(own, u)] = means[c][u] + (z[np.ix_(own, k)] - means[c][k]) @ b.T + e[np.ix_(own, u)] @ lower.T
             yield pdf.assign(z=list(z))
 
     return run
@@ -184,8 +222,7 @@ def _conditional(mean: np.ndarray, cov: np.ndarray):
 def inpaint(df: DataFrame, model: Generator, key: str, seed: int) -> DataFrame:
     """Null cells of the model's columns drawn given the row's known cells; known cells
     and all other columns are copied."""
-    rows = with_scores(df, model, key, seed).withColumn("e", _noise(key, seed, len(model.columns)))
-    filled = decode(rows.mapInPandas(_conditional(model.mean, model.cov), rows.schema), model, "z")
+    filled = decode(_drawn(with_scores(df, model, key, seed), model, key, seed), model, "z")
     return filled.select(*(F.coalesce(F.col(f"`{c}`"), F.col(f"__new_{c}")).alias(c) if c in model.columns else F.col(f"`{c}`") for c in df.columns))
 
 

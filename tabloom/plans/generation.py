@@ -23,6 +23,13 @@ def sample_rows(spark, sf_dir):
     return G.sample(spark, model, df.count(), 7)
 
 
+@query()
+def sample_mixture(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", *COLUMNS)
+    model = G.fit(df, "c_custkey", COLUMNS, seed=1, components=3)
+    return G.sample(spark, model, df.count(), 7)
+
+
 @query()
 def augment(spark, sf_dir):
     df, model = _model(spark, sf_dir)

@@ -184,6 +184,25 @@ def test_samples_stay_inside_the_fit(spark, fitted):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 
 
+def test_mixture_learns_two_clusters(spark):
+    """Two clouds of opposite slope: one Gaussian has no correlation left, a mixture has."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    t = rng.normal(size=1200)
+    rows = [(i, float(t[i] - 4 if i % 2 else t[i] + 4), float((t[i] if i % 2 else -t[i]) + rng.normal(0, 0.1))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    model = G.fit(df, "k", ["x", "y"], components=2)
+    assert model.weights == pytest.approx([0.5, 0.5], abs=0.1) and model.weights.sum() == pytest.approx(1)
+    got = G.sample(spark, model, 2000, 5).toPandas()
+    low, high = got[got.x < 0], got[got.x > 0]
+    assert low.x.corr(low.y) > 0.6 and high.x.corr(high.y) < -0.6 and 800 < len(low) < 1200
+    holes = df.withColumn("y", F.when(F.col("k") >= 400, F.col("y")))
+    done = G.inpaint(holes, model, "k", 2).where("k < 400").toPandas()
+    low, high = done[done.x < -1], done[done.x > 1]
+    assert done.y.notna().all() and low.x.corr(low.y) > 0.5 and high.x.corr(high.y) < -0.5
+
+
 def test_fill_keeps_known_cells(fitted):
     df, model = fitted
     holes = S.inject_nulls(df, "c_acctbal", "c_custkey", 0.5, 1)
