@@ -35,6 +35,9 @@ OTHER_WORDS = frozenset(
 )
 TAGS = ("article", "main", "section", "div", "p", "ul", "li", "nav", "footer", "header", "aside", "form", "table", "blockquote", "pre", "body", "html", "h1", "h2", "h3")
 
+NOWHERE = (False,) * len(TAGS)
+PLACES = {tag: tuple(t == tag for t in TAGS) for tag in TAGS}
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^>="']++|=\s*+(?:"[^"]*"|'[^']*')?+|["'])*+>""", re.S)
 OPENS = re.compile(r"</?[A-Za-z]|<[!?]")
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -124,7 +127,7 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(node.attrs)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Facts:
     """What the features of one node need about its subtree."""
 
@@ -168,8 +171,14 @@ def survey(root: Node) -> list[Facts]:
             f = out[item[1]]
             if f.parent >= 0:
                 p = out[f.parent]
-                for k in ("chars", "linked", "tags", "links", "paragraphs", "inputs", "stops", "words"):
-                    setattr(p, k, getattr(p, k) + getattr(f, k))
+                p.chars += f.chars
+                p.linked += f.linked
+                p.tags += f.tags
+                p.links += f.links
+                p.paragraphs += f.paragraphs
+                p.inputs += f.inputs
+                p.stops += f.stops
+                p.words += f.words
             continue
         node, depth, parent, index, siblings, same, in_link = item
         if isinstance(node, str):
@@ -197,7 +206,9 @@ def survey(root: Node) -> list[Facts]:
         f.links, f.paragraphs, f.inputs = int(node.tag == "a"), int(node.tag == "p"), int(node.tag == "input")
         kids = [k for k in node.kids if isinstance(k, str) or k.tag not in VOID or k.tag == "input"]
         tags = [k.tag for k in kids if not isinstance(k, str)]
-        counts = Counter(tags)
+        counts: dict[str, int] = {}
+        for t in tags:
+            counts[t] = counts.get(t, 0) + 1
         stack.append((None, node.at))
         k_index = len(tags)
         for k in reversed(kids):
@@ -220,7 +231,7 @@ def features(facts: list[Facts]) -> np.ndarray:
             (
                 f.chars, f.chars / f.tags, f.linked / c, f.links, f.paragraphs, f.inputs, f.stops / c, f.words / max(1, f.tags), f.own / c, f.chars / total, f.start / total,
                 f.depth, f.index / max(1, f.siblings), f.siblings, f.same / max(1, f.siblings), f.hits[0], f.hits[1], f.above[0], f.above[1],
-                p.linked / max(1, p.chars), f.chars / max(1, p.chars), *(f.node.tag == t for t in TAGS), any(p.node.tag == t for t in ("nav", "footer", "aside", "form", "header")), p.node.tag in ("article", "main"),
+                p.linked / max(1, p.chars), f.chars / max(1, p.chars), *PLACES.get(f.node.tag, NOWHERE), p.node.tag in ("nav", "footer", "aside", "form", "header"), p.node.tag in ("article", "main"),
             )
         )
     return np.array(rows, np.float64)
