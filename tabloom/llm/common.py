@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds on DataFrames until the edge table stops
     changing; then every node points straight at its component's smallest node. Nothing
-    but two numbers a round reaches the driver. The least neighbours are written before
-    they are joined, so that the join deals both sides anew and can split the rows of a
-    node that has very many neighbours. A finished round's tables are dropped.
+    but two numbers a round reaches the driver. The least neighbours are joined under a
+    new key (``_anew``), so that the rows of a node with very many neighbours can be split.
+    A finished round's table is dropped.
 
     Self loops, repeated and reversed edges are fine; null ends are ignored; no edges give
     an empty result. Returns ``(node, component)`` for every node that has an edge.
@@ -48,15 +48,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _digest(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{n}")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = work.table(large.where("u <> v").distinct(), f"large{n}")
-        low = work.table(large.groupBy("u").agg(F.min("v").alias("m")), f"low{n}")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(_anew(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(_anew(low), "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         pairs = work.table(small, f"pairs{n + 1}")
         before, state = state, _digest(pairs)
-        work.drop(f"pairs{n}", f"least{n}", f"large{n}", f"low{n}")
+        work.drop(f"pairs{n}")
         n += 1
         if state == before:
             break
@@ -64,6 +63,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _anew(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``u`` as an expression. A join would take an aggregate by ``u`` as it
+    is dealt, and could then split nothing; it deals the new key, and both sides, anew."""
+    return rows.withColumn("u", F.col("u").bitwiseXOR(F.lit(0).cast("long")))
+
+
 def _digest(pairs: DataFrame) -> tuple:
     row = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
