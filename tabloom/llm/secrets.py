@@ -109,8 +109,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     rows = _marked(work, docs, text_col, [id_col], repo_cols, owner_col)
     spans = F.array_sort(F.collect_list(F.struct("start", "no", "end", "live")))
     judged = work.table(_judged(work, rows, min_owners).groupBy("row").agg(spans.alias("found")), "judged")
-    out = rows.select("row", F.col(f"doc.`{id_col}`").alias("doc_id")).join(judged, "row", "left")
-    return out.select("doc_id", F.coalesce("found", F.array().cast(EMPTY)).alias("s")).select("doc_id", *_columns(F.col("s")))
+    own, empty = rows.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), "hits"), F.array().cast(EMPTY)
+    some = own.where(F.size("hits") > 0).join(judged, "row", "left").select("doc_id", F.coalesce("found", empty).alias("s"))
+    return some.unionByName(own.where(F.size("hits") == 0).select("doc_id", empty.alias("s"))).select("doc_id", *_columns(F.col("s")))
 
 
 def redact(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
@@ -129,12 +130,13 @@ def redact(docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] =
     marks = work.table(marks.select("row", "start", "end", spread).groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks")), "marks")
     touched = work.table(live.select("row").distinct(), "touched")
     text = F.col(f"doc.`{text_col}`")
-    blocks = rows.join(touched, "row", "left_semi").select("row", F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("k", "part"))
+    blocks = rows.where(F.size("hits") > 0).join(touched, "row", "left_semi").select("row", F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("k", "part"))
     blocks = blocks.select("row", F.col("k").cast("long").alias("k"), "part").join(marks, ["row", "k"], "left")
     clear = blocks.select("row", "k", F.when(F.col("marks").isNull(), F.col("part")).otherwise(_cleared(F.col("part"), F.col("k") * BLOCK, F.col("marks"))).alias("part"))
     clear = clear.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x.part), "").alias("clear"))
     clear = work.table(clear, "clear")
-    out = rows.select("doc", "row").join(clear, "row", "left")
+    some, none = rows.where(F.size("hits") > 0), rows.where(F.size("hits") == 0)
+    out = some.select("doc", "row").join(clear, "row", "left").select("doc", "clear").unionByName(none.select("doc", F.lit(None).cast("string").alias("clear")))
     return out.select(*(F.coalesce("clear", text).alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
