@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -18,6 +19,7 @@ from .neighbors import knn, knn_features
 from .profile import active_columns
 from .sampling import bootstrap_jitter, kfold, sample_n, split_random, split_stratified
 
+PART_ROWS = 50_000
 FEATURES = ["d_min", "d_mean", "d_std", "d_ratio"]
 Provider = Callable[[DataFrame, int, int], DataFrame]
 
@@ -123,7 +125,7 @@ def shadow_set(real: DataFrame, key: str, numeric: list[str], categorical: list[
 def fit_attack(features: DataFrame, config: ShadowConfig) -> PipelineModel:
     c = config.effective()
     forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=c.trees, maxDepth=c.depth, minInstancesPerNode=c.min_leaf, seed=c.seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="v"), forest]).fit(features)
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="v"), forest]).fit(_in_large_parts(features))
 
 
 def mia_scores(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str], config: ShadowConfig, holdout: DataFrame | None = None, provider: Provider | None = None) -> DataFrame:
@@ -156,7 +158,12 @@ def _classifier(train: DataFrame, label: str, numeric: list[str], categorical: l
     index = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep") for c in categorical]
     gather = VectorAssembler(inputCols=[*numeric, *(f"__{c}" for c in categorical)], outputCol="v", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="v", labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=seed, maxBins=256)
-    return Pipeline(stages=[*index, gather, trees]).fit(train)
+    return Pipeline(stages=[*index, gather, trees]).fit(_in_large_parts(train))
+
+
+def _in_large_parts(rows: DataFrame) -> DataFrame:
+    """Every round of a fit is a few jobs over all partitions; small ones only cost time."""
+    return written(rows.repartition(max(1, math.ceil(rows.count() / PART_ROWS))), "training")
 
 
 def utility_scores(real: DataFrame, synthetic: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], seed: int = 42, rounds: int = 20) -> DataFrame:
