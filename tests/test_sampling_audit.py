@@ -90,7 +90,8 @@ def test_exact_percentiles(spark):
     assert got["a"] == pytest.approx(list(np.quantile(x, [0, 0.05, 0.5, 0.99, 1])))
     assert got["b"] == pytest.approx(list(np.quantile([2 * v for v in x if v <= 20], [0, 0.05, 0.5, 0.99, 1])))
     assert got["c"] == [None] * 5
-    places = lambda n: sorted(map(tuple, M.running(df.groupBy("a").count(), [F.col("a")], {"t": "count"}, n).select("a", "t").collect()), key=str)
+    known = df.where("a < 1000")
+    places = lambda n: sorted(map(tuple, M.running(known.groupBy("a").count(), [F.col("a")], {"t": "count"}, n).select("a", "t").collect()), key=str)
     assert places(10**6) == places(3)
 
 
