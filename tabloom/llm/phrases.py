@@ -132,15 +132,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the pieces asked for: a digest of the words, where they are, and the
     piece (with its number of copies and its start)."""
     kinds = {"w": pa.binary(), "doc_id": pa.int64(), "s": pa.int32(), "h": pa.int64(), "p": pa.int64(), "c": pa.int64(), "lo": pa.int32()}
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], names=list(kinds))
+    rows: list[tuple] = []
     for b in slices(batches):
-        rows = []
         for d, t, spans in zip(*(c.to_pylist() for c in b.columns)):
             words = t.split()
             for x in spans:
                 for s in range(x["lo"], x["lo"] + x["n"]):
                     rows.append((xxhash.xxh3_128_digest(b" ".join(words[s : s + WINDOW])), d, s, x["h"], x["p"], x["c"], x["lo"]))
-        columns = zip(*rows) if rows else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+                if len(rows) >= 1 << 16:  # a long text may have very many
+                    yield batch(rows)
+                    rows = []
+    yield batch(rows)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import html
 import json
+import os
 import re
 import time
 from collections import defaultdict
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import hamming, html_main, multi_index, warc
 
+MEDIUM = os.environ.get("TEST_MEDIUM_DIR", "/root/testdata/sf0.1")
 PAGES = "page_id long, url string, html string"
 
 
@@ -204,7 +206,7 @@ def vectors(df):
 
 
 def test_multi_index_recall_and_exact_scores(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    df = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
     ids, x = vectors(df)
     got = defaultdict(list)
     for r in multi_index.search(df, scan_least=200).collect():
@@ -221,7 +223,7 @@ def test_multi_index_recall_and_exact_scores(spark):
 
 
 def test_hamming_is_exact(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    df = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
     ids, x = vectors(df)
     got = defaultdict(list)
     for r in hamming.exact_top_k(df, block_rows=600).collect():

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -311,7 +312,7 @@ def test_secret_scan_is_native(docs, monkeypatch):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
+    sf = os.environ.get("TEST_MEDIUM_DIR", "/root/testdata/sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
