@@ -191,10 +191,18 @@ def one_hot(vocabulary: DataFrame, column: str, col: Column) -> Column:
     1,000; a token that was not seen is all zeros."""
     tokens = [r.token for r in vocabulary.where((F.col("column_name") == column) & (F.col("idx") > 1)).orderBy("idx").limit(MAP_LIMIT + 1).collect()]
     if len(tokens) > MAP_LIMIT:
-        raise ValueError(f"{column} has more than {MAP_LIMIT} tokens")
+        raise ValueError(f"{column} has more than {MAP_LIMIT} tokens: with_one_hot takes any number")
     return F.array(*(F.coalesce((col.cast("string") == t).cast("double"), F.lit(0.0)) for t in tokens)).cast("array<double>")
 
 
+def with_one_hot(df: DataFrame, vocabulary: DataFrame, column: str, out: str) -> DataFrame:
+    """The same as a column ``out``, for any number of tokens: the place comes from a join."""
+    n = vocabulary.where((F.col("column_name") == column) & (F.col("idx") > 1)).count()
+    got = encode_category(df, vocabulary, column, "__place")
+    places = F.transform(F.sequence(F.lit(2), F.lit(n + 1)), lambda i: (i == F.col("__place")).cast("double")) if n else F.array().cast("array<double>")
+    return got.withColumn(out, places).drop("__place")
+
+
 def embedding_width(cardinality: int, rule: str = "log") -> int:
     """Width of a category's slice: by logarithm, or by the power rule up to 50."""
     if rule == "log":

@@ -163,3 +163,11 @@ def test_types_fit_all_rows(spark, tmp_path):
     assert dict(df.dtypes) == {"a": "string", "b": "double"} and df.where("a IS NULL OR b IS NULL").count() == 0
     early = files.read_delimited(spark, str(tmp_path / "late.csv"), ",", infer_rows=10_000)
     assert dict(early.dtypes) == {"a": "bigint", "b": "bigint"}
+
+
+def test_one_hot_of_any_width(spark):
+    df = spark.createDataFrame([("a",), ("c",), (None,), ("new",)], "x string")
+    vocab = E.fit_vocabulary(spark.createDataFrame([("a",), ("b",), ("c",)], "x string"), ["x"])
+    got = {r.x: r.p for r in E.with_one_hot(df, vocab, "x", "p").collect()}
+    assert got == {"a": [1.0, 0.0, 0.0], "c": [0.0, 0.0, 1.0], None: [0.0] * 3, "new": [0.0] * 3}
+    assert got == {r.x: r.p for r in df.select("x", E.one_hot(vocab, "x", F.col("x")).alias("p")).collect()}
