@@ -40,15 +40,18 @@ class _WordHashes:
     """Hashes of words, remembered by number."""
 
     def __init__(self):
-        self.number, self.known = _Numbers(), np.zeros(0, np.uint64)
+        self.number, self.known = _Numbers(), np.zeros(1 << 16, np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > MEMO:
-            self.__init__()
-        at = np.array([self.number[w] for w in words], np.int64)
-        if self.number.fresh:
-            self.known = np.r_[self.known, np.array([xxhash.xxh64_intdigest(w) for w in self.number.fresh], np.uint64)]
-            self.number.fresh.clear()
+            self.number = _Numbers()
+        number = self.number
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        if number.fresh:
+            if len(number) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros(len(number), np.uint64)])
+            self.known[len(number) - len(number.fresh) : len(number)] = np.fromiter(map(xxhash.xxh64_intdigest, number.fresh), np.uint64, len(number.fresh))
+            number.fresh.clear()
         return self.known[at]
 
 
@@ -184,7 +187,7 @@ class PhraseAutomaton:
         self.runs = [np.array(r, np.int32) for r in runs]
         self.width = max(1, math.ceil(math.log(len(number) + 1, DIGITS) + 1e-9))
         self.letters = ["".join(chr(1 + k * DIGITS + i // DIGITS**k % DIGITS) for k in range(self.width)) for i in range(len(number) + 1)]
-        self.unknown = chr(1 + self.width * DIGITS) * self.width
+        self.letters[0] = chr(1 + self.width * DIGITS) * self.width  # words of no passage
         self.auto, self.uses = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         for n, run in enumerate(runs):
             for at in range(0, len(run) - CHUNK + 1, STRIDE):
@@ -195,7 +198,6 @@ class PhraseAutomaton:
                     self.uses.append([(n, at)])
                 else:
                     self.uses[k].append((n, at))
-        self.code = {w: self.letters[i] for w, i in number.items()}
         if self.uses:
             self.auto.make_automaton()
 
@@ -203,16 +205,17 @@ class PhraseAutomaton:
         """Word spans, merged, covered by windows that start earlier in a passage."""
         if doc_id is None or len(words) < WINDOW or not self.uses:
             return []
-        text = "".join([self.code.get(w, self.unknown) for w in words])
+        number, letters = self.number, self.letters
+        known = [number.get(w, 0) for w in words]
         ids, upto, found = None, {}, []
-        for end, k in self.auto.iter(text):
+        for end, k in self.auto.iter("".join([letters[i] for i in known])):
             at = (end + 1) // self.width - CHUNK
             for n, off in self.uses[k]:
                 lead = at - off  # where the passage's first word would be
                 if upto.get((n, lead), 0) > at:
                     continue
                 if ids is None:
-                    ids = np.array([self.number.get(w, 0) for w in words], np.int32)
+                    ids = np.array(known, np.int32)
                 lo, hi = self._common(ids, self.runs[n], at, off)
                 upto[(n, lead)] = hi
                 if hi - lo >= WINDOW and (self.places[n][0], self.places[n][1] + lo - lead) < (doc_id, lo):
