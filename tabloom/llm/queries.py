@@ -112,12 +112,12 @@ a AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY rid, no ORDER BY j
 b AS (SELECT rid, no, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CASE WHEN no = 0 THEN regexp_extract(m, '{quote(secrets.ASSIGN)}', 2) ELSE m END AS v FROM a),
 c AS (SELECT * FROM b WHERE (no <> 0 OR length(v) >= 12) AND (no <> 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
 u AS (SELECT * FROM c WHERE no < 3 UNION ALL SELECT * FROM c o WHERE no = 3 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.rid = o.rid AND x.no < 3 AND x.s < o.e AND o.s < x.e)),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM u JOIN d USING (rid) GROUP BY 1),
-g AS (SELECT u.*, owners < {secrets.MIN_OWNERS} AS live, ['assign', 'access', 'hex', 'opaque'][no + 1] AS kind FROM u JOIN o USING (v) WHERE no < 3 OR owners = 1),
+o AS (SELECT v, count(*) AS n, count(DISTINCT (source, coalesce(lang, ''))) AS repos, count(DISTINCT source) AS owners FROM u JOIN d USING (rid) GROUP BY 1),
+g AS (SELECT u.*, owners < {secrets.MIN_OWNERS} AS live, n || '/' || repos || '/' || owners AS seen, ['assign', 'access', 'hex', 'opaque'][no + 1] AS kind FROM u JOIN o USING (v) WHERE no < 3 OR owners = 1),
 r AS (SELECT rid, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2, count(*) FILTER (no = 3) AS n3, count(*) FILTER (live) AS nl, count(*) FILTER (NOT live) AS nc,
-  {text(' FILTER (no < 3)')} AS base, {text('')} AS spans FROM g GROUP BY 1)
+  {text(' FILTER (no < 3)')} AS base, {text('')} AS spans, string_agg(seen, ',' ORDER BY s, no, e) AS seen FROM g GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n3, 0) AS n_opaque, coalesce(nl, 0) AS n_live, coalesce(nc, 0) AS n_copied FROM d LEFT JOIN r USING (rid)"""
+  coalesce(n3, 0) AS n_opaque, coalesce(nl, 0) AS n_live, coalesce(nc, 0) AS n_copied, coalesce(seen, '') AS seen FROM d LEFT JOIN r USING (rid)"""
 
 
 # The given pages name their article, hold paragraphs, headings, <b> and <br> in it, and
@@ -135,7 +135,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 9) AS score FROM r WHERE rank <= 20"""
 
 OP9_SQL = """
-WITH c AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding[1:64]] AS b FROM embeddings),
+WITH c AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([abs(z[1] - z[2]) FOR z IN list_zip(q.b, c.b)]) AS BIGINT) AS distance FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM r WHERE rank <= 20"""

@@ -70,14 +70,14 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _judged(work: Workspace, rows: DataFrame, min_owners: int) -> DataFrame:
-    """``(row, start, no, end, live)`` of each span; ``live`` is seen with fewer than
-    ``min_owners`` owners. The counts are written before they are joined, so that the join
+    """``(row, start, no, end, live, seen)`` of each span; ``live`` is seen with fewer than
+    ``min_owners`` owners, ``seen`` are its value's counts. The counts are written before they are joined, so that the join
     can split the rows of a value that is everywhere."""
     found = _candidates(work, rows)
     known = work.table(ownership(found), "ownership")
-    each = found.select("row", "start", "no", "end", "h").join(known.select("h", "owners"), "h")
+    each = found.select("row", "start", "no", "end", "h").join(known, "h")
     each = each.where((F.col("no") < 3) | (F.col("owners") == 1))  # an opaque token counts only as one owner's own
-    return each.select("row", "start", "no", "end", (F.col("owners") < min_owners).alias("live"))
+    return each.select("row", "start", "no", "end", (F.col("owners") < min_owners).alias("live"), F.concat_ws("/", "n", "repos", "owners").alias("seen"))
 
 
 def _columns(spans: Column) -> list[Column]:
@@ -88,15 +88,17 @@ def _columns(spans: Column) -> list[Column]:
         n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(text(F.filter(spans, lambda x: x.no < 3)), 256).alias("base_sha256"), text(spans).alias("spans"),
         n(3).alias("n_opaque"), F.size(F.filter(spans, lambda x: x.live)).cast("long").alias("n_live"), F.size(F.filter(spans, lambda x: ~x.live)).cast("long").alias("n_copied"),
+        F.array_join(F.transform(spans, lambda x: x.seen), ",").alias("seen"),
     ]
 
 
-EMPTY = "array<struct<start:int,no:int,end:int,live:boolean>>"
+EMPTY = "array<struct<start:int,no:int,end:int,live:boolean,seen:string>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
     """Secrets of every row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans,
-    n_opaque, n_live, n_copied``.
+    n_opaque, n_live, n_copied, seen`` (``occurrences/repositories/owners`` in the corpus
+    of each span's value, in the order of ``spans``).
 
     Candidates are hashed and counted over the corpus by distinct owner (``owner_col``)
     and repository (``repo_cols``): values seen with ``min_owners`` owners or more are
@@ -107,7 +109,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     """
     work = Workspace(docs.sparkSession, "secrets")
     rows = _marked(work, docs, text_col, [id_col], repo_cols, owner_col)
-    spans = F.array_sort(F.collect_list(F.struct("start", "no", "end", "live")))
+    spans = F.array_sort(F.collect_list(F.struct("start", "no", "end", "live", "seen")))
     judged = work.table(_judged(work, rows, min_owners).groupBy("row").agg(spans.alias("found")), "judged")
     own, empty = rows.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), "hits"), F.array().cast(EMPTY)
     some = own.where(F.size("hits") > 0).join(judged, "row", "left").select("doc_id", F.coalesce("found", empty).alias("s"))

@@ -241,6 +241,8 @@ def test_secret_ownership(spark):
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: (r.n_assign, r.n_opaque, r.n_live, r.n_copied) for r in secrets.scan(df).collect()}
     assert got[0] == (1, 0, 0, 1) and got[10] == (2, 0, 1, 1) and got[11] == (1, 0, 1, 0) and got[12] == (0, 1, 1, 0)
+    seen = {r.doc_id: r.seen for r in secrets.scan(df).collect()}
+    assert seen[0] == "6/5/5" and seen[10] == "2/1/1,6/5/5" and seen[12] == "1/1/1"
     clear = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clear[10] == f"<secret> and {common} x" and clear[0] == f"see {common}" and clear[12] == "<secret>"
 
@@ -401,6 +403,19 @@ def test_toxicity_labels_that_disagree(spark):
     assert a == b
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Texts over the bounds are not learned from, and are scored all the same."""
+    bad, calm = [f"you rotten fool {i}" for i in range(30)], [f"a calm quiet day {i}" for i in range(30)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(bad + calm)] + [(100, "you rotten fool. " * 2000, "en", "a", 0)]
+    labels = [(i, int(i < 30)) for i in range(60)] + [(100, 0)]
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TEXT_CHARS", 10_000)
+    model = toxicity.fit(df, lab)
+    assert model == toxicity.fit(df.where("doc_id < 100"), lab) and model.weights
+    assert toxicity.fit(df, lab, train_chars=0) == toxicity.ToxicityModel()
+    assert {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}[100] == 1
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (4, 0), (4, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
