@@ -43,6 +43,46 @@ def balance(spark, sf_dir):
     return G.balance(df, model, "c_mktsegment", {"BUILDING": n // 2, "MACHINERY": n // 3, "HOUSEHOLD": 1}, 7)
 
 
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM customer), g AS (SELECT c_mktsegment, count(*) AS k FROM customer GROUP BY 1)
+SELECT c_mktsegment, greatest(k, CASE c_mktsegment WHEN 'BUILDING' THEN n // 2 WHEN 'MACHINERY' THEN n // 3 ELSE 0 END) AS n FROM g, n"""
+)
+def balance_counts(spark, sf_dir):
+    """Every class has its target, none lost a row."""
+    return balance(spark, sf_dir).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) + count(*) // 2 AS n, CAST(0 AS BIGINT) AS lost FROM customer")
+def augment_kept(spark, sf_dir):
+    """The number of rows, and of the table's own rows that are not among them."""
+    got = augment(spark, sf_dir)
+    lost = table(spark, sf_dir, "customer").select(*COLUMNS).exceptAll(got.select(*COLUMNS)).agg(F.count(F.lit(1)).alias("lost"))
+    return got.agg(F.count(F.lit(1)).alias("n")).join(lost)
+
+
+def _within(rows, df):
+    """``rows`` with ``within``: every cell is there and lies in the table's range or tokens."""
+    lo = df.agg(F.min("c_acctbal").alias("a0"), F.max("c_acctbal").alias("a1"), F.min("c_nationkey").alias("n0"), F.max("c_nationkey").alias("n1"), F.collect_set("c_mktsegment").alias("tokens"))
+    ok = F.col("c_acctbal").between(F.col("a0"), F.col("a1")) & F.col("c_nationkey").between(F.col("n0"), F.col("n1")) & F.array_contains("tokens", F.col("c_mktsegment"))
+    return rows.join(F.broadcast(lo)).withColumn("within", F.coalesce(ok, F.lit(False)))  # one row
+
+
+@query("SELECT count(*) AS n, count(*) AS n_within FROM customer")
+def sample_within(spark, sf_dir):
+    """Sampled rows, and how many lie within the table's ranges and tokens."""
+    df, model = _model(spark, sf_dir)
+    got = _within(G.sample(spark, model, df.count(), 7), df)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_if("within").alias("n_within"))
+
+
+@query("SELECT c_custkey, 'BUILDING' AS c_mktsegment, true AS within FROM customer")
+def counterfactual_fixed(spark, sf_dir):
+    """One row a row, with the intervention in place and the other cells drawn anew."""
+    df, model = _model(spark, sf_dir)
+    got = G.counterfactual(df, model, "c_custkey", {"c_mktsegment": "BUILDING"}, 7)
+    return _within(got, df).select("c_custkey", "c_mktsegment", "within")
+
+
 def _holes(df):
     df = inject_nulls(df, "c_acctbal", "c_custkey", 0.5, 7)
     return inject_nulls(df, "c_mktsegment", "c_custkey", 0.3, 8)
