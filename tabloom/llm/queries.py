@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming, html_main, mixing, multi_index, packing, phrases, secrets, simhash, toxicity, warc
+from . import conversations, filter_audit, hamming, html_main, mixing, multi_index, packing, phrases, secrets, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_of_pages(_table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op12_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def ann_whole_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted multi-index walked to its end, which is exact at any size."""
     got = multi_index.search(_table(spark, sf_dir, "embeddings"), scan_share=1.0, shard_rows=128)
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_hamming_top_k": op9_hamming_top_k,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_minimax_shards": op12_minimax_shards,
+    "op13_filter_interactions": op13_filter_interactions,
     "ann_whole_scan": ann_whole_scan,
     "hamming_small_blocks": hamming_small_blocks,
 }
