@@ -244,7 +244,8 @@ def repair(rows: DataFrame) -> DataFrame:
     A row's first fault counts: ``blank`` (nothing but white space), ``duplicate`` (role and
     text met before), ``truncated`` (no ``.!?`` at the end). Blank and duplicate rows must
     go. Keeping costs 0, another role 3, deleting 4, an inserted empty turn 3, a truncated
-    row that stays 3 more. ``gaps`` are turns missing between the least and the greatest.
+    row that stays 3 more. An empty role, like any that begins with another letter, cannot be
+    kept. ``gaps`` are turns missing between the least and the greatest.
 
     Rows come by turn (nulls first), then role, then text, so repeated rows stand together;
     a null conversation is one of its own; one without rows has zeros and the hash of

@@ -155,4 +155,51 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([abs(z[1] - z[2]) FOR
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM r WHERE rank <= 20"""
 
-ORACLE_SQL: dict[str, str] = {"op1_main_text": OP1_SQL, "ann_whole_scan": ANN_SQL, "hamming_small_blocks": OP9_SQL, "op5_repeated_phrases": OP5_SQL, "op6_secret_scan": _op6_sql(), "op9_hamming_top_k": OP9_SQL}
+# CRC-32 has no function there; the decoding is a recursion over the rows of all conversations at once.
+OP11_SQL = r"""
+WITH RECURSIVE k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key, dense_rank() OVER (ORDER BY conv_id) AS g FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(key, '')]),
+  lambda h, x: list_reduce(list_prepend(xor(h, x), [CAST(0 AS BIGINT) FOR z IN range(8)]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 20 AS fate FROM k),
+e AS (SELECT g, turn, CASE WHEN fate = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+  unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+i AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM e),
+f AS (SELECT *, regexp_full_match(text, '[\x20\x09-\x0D]*') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_full_match(text, '(?s).*[.!?][\x20\x09-\x0D]*') AS cut, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) AS pair FROM i),
+n AS (SELECT *, blank OR again AS gone, CASE WHEN blank OR again OR NOT cut THEN 0 ELSE 3 END AS extra FROM f),
+t AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (extra = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM n GROUP BY 1),
+legal(f, x, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+put(f, made, t) AS (SELECT s, '', s FROM range(4) r(s) UNION ALL SELECT f, x, t FROM legal WHERE x <> 's' UNION ALL SELECT a.f, a.x || b.x, b.t FROM legal a JOIN legal b ON a.t = b.f WHERE a.x = 'u' AND a.f < 2),
+act(f, edit, x, t, cost) AS (SELECT s, 'D', NULL, s, 4 FROM range(4) r(s) UNION ALL SELECT f, 'K', x, t, 0 FROM legal UNION ALL SELECT f, 'R', x, t, 3 FROM legal WHERE x <> 's'),
+v AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS made FROM (SELECT DISTINCT g FROM k)
+  UNION ALL SELECT g, i, s, cost, audit, made FROM (
+    SELECT n.g, n.i, act.t AS s, v.cost + 3 * length(put.made) + act.cost + CASE WHEN edit = 'D' THEN 0 ELSE extra END AS cost, v.audit || repeat('I', length(put.made)) || edit AS audit,
+      v.made || [CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END FOR x IN string_split(put.made, '') IF x <> ''] || CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE act.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] END AS made
+    FROM v JOIN n ON n.g = v.g AND n.i = v.i + 1 JOIN put ON put.f = v.s JOIN act ON act.f = put.t
+    WHERE CASE edit WHEN 'D' THEN true WHEN 'K' THEN NOT gone AND left(role, 1) = act.x ELSE NOT gone END)
+    QUALIFY row_number() OVER (PARTITION BY g, s ORDER BY cost, audit) = 1),
+z AS (SELECT v.g, v.cost + 3 * length(put.made) AS cost, audit || repeat('I', length(put.made)) AS audit, v.made || [CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END FOR x IN string_split(put.made, '') IF x <> ''] AS made
+  FROM v LEFT JOIN t USING (g) JOIN put ON put.f = v.s WHERE v.i = coalesce(t.n, 0) AND put.t IN (0, 3) QUALIFY row_number() OVER (PARTITION BY v.g ORDER BY v.cost + 3 * length(put.made), v.audit || repeat('I', length(put.made))) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(made, chr(10))) AS repaired_sha256
+FROM z JOIN (SELECT DISTINCT g, conv_id FROM k) USING (g) LEFT JOIN t USING (g)"""
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY 1),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > first, false) AS INT) AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w JOIN f USING (t) LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL),
+i AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string([chr(CAST(65 + x AS INT)) FOR x IN o], '') AS filter_order, unnest(range(1, 6)) AS step, o FROM o),
+b AS (SELECT filter_order, step, 1 << o[step] AS own, CAST(list_sum([1 << x FOR x IN o[1:step]]) AS BIGINT) AS upto FROM s),
+r AS (SELECT part, filter_order, step, own,
+  sum(n) FILTER (mask & upto = 0) AS kept, sum(n) FILTER (mask & own <> 0 AND mask & (upto - own) = 0) AS removed, sum(n) FILTER (mask & own <> 0 AND mask & (upto - own) <> 0) AS redundant,
+  sum(n) FILTER (mask = own) AS unique_fails, sum(g) FILTER (mask & own <> 0 AND mask & (upto - own) = 0) AS good_lost, sum(x) FILTER (mask & own <> 0 AND mask & (upto - own) = 0) AS toxic_lost
+  FROM n CROSS JOIN b GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op1_main_text": OP1_SQL, "ann_whole_scan": ANN_SQL, "hamming_small_blocks": OP9_SQL, "op5_repeated_phrases": OP5_SQL, "op6_secret_scan": _op6_sql(), "op9_hamming_top_k": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op13_filter_interactions": OP13_SQL}

@@ -263,13 +263,13 @@ def _slices(found: list[Gap]):
 
     def run(batches):
         for b in batches:
-            at = b.column(0).to_numpy()
+            at = np.sort(b.column(0).to_numpy())  # a task may read several parts
             gap = np.searchsorted(low, at, side="right") - 1
             inside = (gap >= 0) & (at > low[gap]) & (at < high[gap])
             at, gap = at[inside], gap[inside]
             part = ((at - low[gap]) / (high[gap] - low[gap]) * SLICES).astype(np.int64)
             key, first, n = np.unique(gap * (SLICES + 2) + part, return_index=True, return_counts=True)
-            a, z = (f.reduceat(at, np.sort(first)) if len(at) else at for f in (np.minimum, np.maximum))
+            a, z = (f.reduceat(at, first) if len(at) else at for f in (np.minimum, np.maximum))
             yield pa.RecordBatch.from_arrays([pa.array((key // (SLICES + 2)).astype(np.int32)), pa.array((key % (SLICES + 2)).astype(np.int32)), pa.array(a), pa.array(z), pa.array(n)], names=["gap", "slice", "a", "b", "n"])
 
     return run
