@@ -242,13 +242,15 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     offsets = spark.createDataFrame(parts, "part int, rows_before long, size_before long, fresh boolean")
     # one row a part of about a million rows
     placed = ordered.join(F.broadcast(offsets), "part").withColumns({"at": F.col("before") + F.col("size_before"), "no": F.col("idx") + F.col("rows_before")})
-    starts = placed.where("start AND (idx > 0 OR fresh)")
+    starts = ordered.where("start").select("part", "idx", "before")
     known = Boundaries(total, groups)
 
     def refine(found: list[Gap]) -> None:
         """Looks between known boundaries: one pass, at most SLICES + 1 rows a gap."""
         found = sorted(set(found), key=lambda g: g.low)
-        got = starts.select("at").mapInArrow(_slices(found), "gap int, slice int, a long, b long, n long")
+        where = [p[0] for p, after in zip(parts, [*(q[2] for q in parts[1:]), total]) if any(g.low < after and p[2] < g.high for g in found)]
+        read = starts.where(F.col("part").between(where[0], where[-1]))
+        got = read.mapInArrow(_slices(found, parts), "gap int, slice int, a long, b long, n long")
         got = got.groupBy("gap", "slice").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).collect()
         for i, g in enumerate(found):
             known.learn(g, [(r.a, r.b, r.n) for r in got if r.gap == i])
@@ -257,18 +259,21 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     return assign(placed, cuts)
 
 
-def _slices(found: list[Gap]):
+def _slices(found: list[Gap], parts: list[tuple]):
     """Sums up the boundaries inside the gaps by slices of equal width, a batch at a time."""
     low, high = (np.array([getattr(g, k) for g in found]) for k in ("low", "high"))
+    number, _, before, fresh = (np.array(c) for c in zip(*parts))
 
     def run(batches):
         for b in batches:
-            at = np.sort(b.column(0).to_numpy())  # a task may read several parts
+            part, idx, own = (c.to_numpy() for c in b.columns)
+            part = np.searchsorted(number, part)
+            at = np.sort((own + before[part])[(idx > 0) | fresh[part]])  # a task may read several parts
             gap = np.searchsorted(low, at, side="right") - 1
             inside = (gap >= 0) & (at > low[gap]) & (at < high[gap])
             at, gap = at[inside], gap[inside]
-            part = ((at - low[gap]) / (high[gap] - low[gap]) * SLICES).astype(np.int64)
-            key, first, n = np.unique(gap * (SLICES + 2) + part, return_index=True, return_counts=True)
+            place = ((at - low[gap]) / (high[gap] - low[gap]) * SLICES).astype(np.int64)
+            key, first, n = np.unique(gap * (SLICES + 2) + place, return_index=True, return_counts=True)
             a, z = (f.reduceat(at, first) if len(at) else at for f in (np.minimum, np.maximum))
             yield pa.RecordBatch.from_arrays([pa.array((key // (SLICES + 2)).astype(np.int32)), pa.array((key % (SLICES + 2)).astype(np.int32)), pa.array(a), pa.array(z), pa.array(n)], names=["gap", "slice", "a", "b", "n"])
 
