@@ -43,6 +43,7 @@ OPENS = re.compile(r"</?[A-Za-z]|<[!?]")
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTR = re.compile(r"""(?<![\w:.@-])([A-Za-z_:@][\w:.@-]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+LONG_NUMBER = re.compile(r"&#0*+([0-9]*+);?")
 
 
 STOPS = SCOPE | frozenset(SELF_CLOSING) | {"p"}
@@ -123,8 +124,18 @@ def parse(page: str) -> Node:
     return root
 
 
+def unescape(text: str) -> str:
+    """Character references decoded. A number of thousands of digits, which the library
+    function refuses to read, is U+FFFD like any other that names nothing."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = LONG_NUMBER.sub(lambda m: m[0] if len(m[0]) < 16 else "\ufffd" if len(m[1]) > 7 or not m[1] else f"&#{m[1]};", text)
+    return html.unescape(text)
+
+
 def attributes(node: Node) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(node.attrs)}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(node.attrs)}
 
 
 @dataclass(slots=True)
@@ -337,7 +348,7 @@ def blocks_of(root: Node, keep=None) -> list[str]:
         if k is None:
             flush()
         elif isinstance(k, str):
-            run.append(html.unescape(k) if "&" in k else k)
+            run.append(unescape(k))
         elif k.tag == "br":
             run.append(" ")
         elif k.tag not in SKIP and (keep is None or k.tag in VOID or keep[k.at]):

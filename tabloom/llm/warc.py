@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import json
 import re
 import uuid
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_main import attributes, blocks_of, parse
+from .html_main import attributes, blocks_of, parse, unescape
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:derivative-records")
 DATE = "2024-01-01T00:00:00Z"
@@ -63,10 +62,9 @@ def derive_one(source_id: str, uri: str, date: str, block: bytes, source_digest:
         node = stack.pop()
         if node.tag in ("a", "area", "link", "img", "script", "iframe"):
             a = attributes(node)
-            if url := a.get("href", a.get("src")):
-                links.append({"path": f"{node.tag}@/{'href' if 'href' in a else 'src'}", "url": url})
+            links += [{"path": f"{node.tag}@/{k}", "url": a[k]} for k in ("href", "src") if a.get(k)][:1]
         if node.tag == "title" and not title:
-            title = " ".join(html.unescape("".join(k for k in node.kids if isinstance(k, str))).split())
+            title = " ".join(unescape("".join(k for k in node.kids if isinstance(k, str))).split())
         stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
     block_sum, payload_sum = digest(block), digest(body)
     envelope = {

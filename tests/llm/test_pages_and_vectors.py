@@ -80,6 +80,17 @@ def test_references_are_of_one_text_node(trees):
     assert html_main.main_text("<p>&am<b>p;</b> &lt;i&gt; &#x41;&notit; &nosuch; x&nbsp;y</p>", trees) == "&amp; <i> A¬it; &nosuch; x y"
 
 
+def test_references_of_very_many_digits(spark, trees):
+    """The library's own decoder raises on a decimal number of more than 4,300 digits."""
+    many, zeros = "&#" + "7" * 5000 + ";", "&#" + "0" * 5000 + "65;"
+    page = f'<title>A {many}</title><article class="{many}"><p id="x{many}">One {many} two {zeros}.</p><a href="" src="/y{zeros}">z</a></article>'
+    rows = [(1, "u", page), (2, "u", many), (3, "u", "&#" + "0" * 5000)]
+    assert [r.text for r in html_main.extract(spark.createDataFrame(rows, PAGES), model=trees).collect()] == ["One \ufffd two A.\nz", "\ufffd", "\ufffd"]
+    got = {r.record_type: r for r in warc.derive(warc.responses_of_pages(spark.createDataFrame(rows[:1], PAGES))).collect()}
+    assert got["metadata"].title == "A \ufffd" and json.loads(got["metadata"].block)["links"] == [{"path": "a@/src", "url": "/yA"}]
+    assert [html_main.unescape(x) for x in ("&#65;&amp;#66;&#x41;&#233", "&#", "&#;", "&#x" + "0" * 5000 + "41;")] == ["A&#66;Aé", "&#", "&#;", "A"]
+
+
 # Pages written by hand in other styles than the grammar's: what is kept, and all the rest.
 STYLES = [
     ("""<html><body><table><tr><td id="sidebar"><a href="/">Home</a> <a href="/x">Archive</a></td><td id="content"><h2>The river at dawn</h2><p>The river rises in the hills, and by the time it meets the town it is wide and slow.</p><p>Boats lie along the bank; few of them move before noon.</p></td></tr></table><div id="footer">All rights reserved</div></body></html>""", ["The river at dawn", "wide and slow", "before noon"], ["Archive", "rights reserved"]),
