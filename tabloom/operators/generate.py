@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import GaussianMixture
@@ -24,6 +22,7 @@ INTEGERS = ("tinyint", "smallint", "int", "bigint")
 TIMES = ("date", "timestamp", "timestamp_ntz")
 CATEGORIES = 10_000
 RIDGE = 1e-6
+PATTERNS = 1024
 WIDE = 16
 
 
@@ -163,19 +162,21 @@ def _noise(key: str, seed: int, width: int) -> Column:
 def sample(spark: SparkSession, model: Generator, n: int, seed: int) -> DataFrame:
     """n rows; the same seed gives the same rows under any partitioning."""
     none = F.array_repeat(F.lit(None).cast("double"), len(model.columns))
-    out = decode(_drawn(spark.range(n).withColumn("z", none), model, "id", seed), model, "z")
+    out = decode(_drawn(spark.range(n).withColumn("__z", none), model, "id", seed), model, "__z")
     return out.select(*(F.col(f"__new_{c}").alias(c) for c in model.columns))
 
 
 def _drawn(rows: DataFrame, model: Generator, key: str, seed: int) -> DataFrame:
-    """``rows`` with the unknown places of ``z`` drawn from keyed numbers."""
-    noise = rows.withColumn("e", _noise(key, seed, len(model.columns))).withColumn("u", uniform(key, seed, "component"))
-    return noise.mapInPandas(_conditional(model), noise.schema)
+    """``rows`` with the unknown places of ``__z`` drawn from keyed numbers. Only those go
+    through the Arrow function; no other column leaves the JVM."""
+    given = F.arrow_udf(_conditional(model), "array<double>")
+    return rows.withColumn("__z", given("__z", _noise(key, seed, len(model.columns)), uniform(key, seed, "component")))
 
 
 def _conditional(model: Generator):
     """Fills the unknown scores of each row given the known ones. The regressions of a
-    pattern of unknown places are solved once a task; any number of patterns will do. Of a
+    pattern of unknown places are kept for later batches (up to ``PATTERNS``); any number
+    of patterns will do. Of a
     mixture, a row's component is drawn by how well each explains what is known."""
     weights, means, covs = model.weights, model.means, model.covs
     d = means.shape[1]
@@ -198,23 +199,24 @@ def _conditional(model: Generator):
         p = np.exp(np.array(fit) - np.max(fit, axis=0))
         return ((p / p.sum(0)).cumsum(0) <= draw).sum(0).clip(max=len(weights) - 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, list[tuple]] = {}
-        for pdf in batches:
-            z = np.array([[np.nan if x is None else x for x in row] for row in pdf["z"]], dtype=np.float64).reshape(len(pdf), d)
-            e, draw = np.array(pdf["e"].tolist(), dtype=np.float64).reshape(len(pdf), d), pdf["u"].to_numpy()
-            unknown = np.isnan(z)
-            for pattern in np.unique(unknown, axis=0) if len(pdf) else ():
-                rows, u, k = np.flatnonzero((unknown == pattern).all(1)), np.flatnonzero(pattern), np.flatnonzero(~pattern)
-                if not len(u):
-                    continue
-                if (solved := known.get(pattern.tobytes())) is None:
-                    solved = known[pattern.tobytes()] = regressions(u, k)
-                which = components(z[np.ix_(rows, k)], k, solved, draw[rows])
-                for c in np.unique(which):
-                    own, (b, lower, _) = rows[which == c], solved[c]
-                    z[np.ix_(own, u)] = means[c][u] + (z[np.ix_(own, k)] - means[c][k]) @ b.T + e[np.ix_(own, u)] @ lower.T
-            yield pdf.assign(z=list(z))
+    known: dict[bytes, list[tuple]] = {}
+
+    def run(z: pa.Array, e: pa.Array, draw: pa.Array) -> pa.Array:
+        z, e = (c.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).copy() for c in (z, e))
+        draw, unknown = draw.to_numpy(zero_copy_only=False), np.isnan(z)
+        for pattern in np.unique(unknown, axis=0) if len(z) else ():
+            rows, u, k = np.flatnonzero((unknown == pattern).all(1)), np.flatnonzero(pattern), np.flatnonzero(~pattern)
+            if not len(u):
+                continue
+            if (solved := known.get(pattern.tobytes())) is None:
+                if len(known) >= PATTERNS:
+                    known.clear()
+                solved = known[pattern.tobytes()] = regressions(u, k)
+            which = components(z[np.ix_(rows, k)], k, solved, draw[rows])
+            for c in np.unique(which):
+                own, (b, lower, _) = rows[which == c], solved[c]
+                z[np.ix_(own, u)] = means[c][u] + (z[np.ix_(own, k)] - means[c][k]) @ b.T + e[np.ix_(own, u)] @ lower.T
+        return pa.array(list(z), pa.list_(pa.float64()))
 
     return run
 
@@ -222,7 +224,7 @@ def _conditional(model: Generator):
 def inpaint(df: DataFrame, model: Generator, key: str, seed: int) -> DataFrame:
     """Null cells of the model's columns drawn given the row's known cells; known cells
     and all other columns are copied."""
-    filled = decode(_drawn(with_scores(df, model, key, seed), model, key, seed), model, "z")
+    filled = decode(_drawn(with_scores(df, model, key, seed, "__z"), model, key, seed), model, "__z")
     return filled.select(*(F.coalesce(F.col(f"`{c}`"), F.col(f"__new_{c}")).alias(c) if c in model.columns else F.col(f"`{c}`") for c in df.columns))
 
 

@@ -96,16 +96,18 @@ def inpaint(spark, sf_dir):
 
 @query(
     f"""SELECT c_custkey, c_nationkey, CASE WHEN {uniform_sql('c_custkey', 7, 'null-c_acctbal')} > 0.5 THEN c_acctbal END AS known_acctbal,
-CASE WHEN {uniform_sql('c_custkey', 8, 'null-c_mktsegment')} > 0.3 THEN c_mktsegment END AS known_segment, true AS filled FROM customer"""
+CASE WHEN {uniform_sql('c_custkey', 8, 'null-c_mktsegment')} > 0.3 THEN c_mktsegment END AS known_segment,
+CASE WHEN c_custkey % 3 > 0 THEN 9007199254740993 + 2 * c_custkey END AS large, true AS filled FROM customer"""
 )
 def inpaint_known_kept(spark, sf_dir):
+    """Known cells, and a column beside the model's with nulls and numbers no double holds."""
     df, model = _model(spark, sf_dir)
-    holes = _holes(df)
+    holes = _holes(df).withColumn("large", F.expr("CASE WHEN c_custkey % 3 > 0 THEN 9007199254740993 + 2 * c_custkey END"))
     done = G.inpaint(holes, model, "c_custkey", 7)
     known = holes.select("c_custkey", F.col("c_acctbal").isNotNull().alias("a"), F.col("c_mktsegment").isNotNull().alias("m"))
     got = done.join(known, "c_custkey")
     full = F.col("c_acctbal").isNotNull() & F.col("c_mktsegment").isNotNull()
-    return got.select("c_custkey", "c_nationkey", F.when(F.col("a"), F.col("c_acctbal")).alias("known_acctbal"), F.when(F.col("m"), F.col("c_mktsegment")).alias("known_segment"), full.alias("filled"))
+    return got.select("c_custkey", "c_nationkey", F.when(F.col("a"), F.col("c_acctbal")).alias("known_acctbal"), F.when(F.col("m"), F.col("c_mktsegment")).alias("known_segment"), "large", full.alias("filled"))
 
 
 @query()

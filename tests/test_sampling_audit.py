@@ -213,6 +213,25 @@ def test_fill_keeps_known_cells(fitted):
         assert r.c_acctbal is None or r == done[r.c_custkey]
 
 
+def test_fill_hands_on_other_cells_bit_for_bit(spark, fitted):
+    """Large longs beside nulls, decimals, bytes, nested cells, and names used inside."""
+    from decimal import Decimal
+
+    model = fitted[1]
+    kind = "c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string, big long, d decimal(38,9), b binary, s struct<x:long,y:array<long>>, z long, e long, u long"
+    cells = lambda i: (None, None, None, None) if i % 3 == 0 else ((1 << 53) + 2 * i + 1, Decimal("12345678901234567890123456789.123456789"), bytes(range(i)), ((1 << 53) + 1, [None, (1 << 61) + 1]))
+    rows = [(i, None if i % 2 else float(i), i % 25, None if i % 5 == 0 else "BUILDING", *cells(i), i, (1 << 60) + i if i % 4 else None, -i) for i in range(40)]
+    df = spark.createDataFrame(rows, kind)
+    other = ["big", "d", "b", "s", "z", "e", "u"]
+    for done in (G.inpaint(df, model, "c_custkey", 2), G.counterfactual(df, model, "c_custkey", {"c_mktsegment": "MACHINERY"}, 2)):
+        assert done.dtypes == df.dtypes
+        assert done.select("c_custkey", *other).exceptAll(df.select("c_custkey", *other)).count() == 0 and done.count() == 40
+        assert done.where("c_acctbal IS NULL OR c_mktsegment IS NULL").count() == 0
+    own = spark.range(300).selectExpr("id AS k", "CASE WHEN id % 3 > 0 THEN 9007199254740993 + 2 * id END AS big", "id % 7 AS w")
+    filled = {r.k: r.big for r in G.inpaint(own, G.fit(own, "k", ["big", "w"]), "k", 1).collect()}
+    assert all(filled[k] == 9007199254740993 + 2 * k if k % 3 else filled[k] is not None for k in range(300))
+
+
 def test_counterfactual_and_augment(fitted):
     df, model = fitted
     got = G.counterfactual(df, model, "c_custkey", {"c_mktsegment": "BUILDING"}, 2, hold=("c_nationkey",)).collect()
