@@ -8,14 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(key: Column | str, seed: int, stream: str = "u") -> Column:
+def uniform(key: Column | str, seed: int | Column, stream: str = "u") -> Column:
     """Uniform in [0, 1): the first 52 bits of an MD5 of seed, stream and key."""
     key = F.col(key) if isinstance(key, str) else key
-    bits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{stream}:"), key.cast("string")).cast("binary")), 1, 13)
+    name = F.concat(seed.cast("string"), F.lit(f":{stream}:")) if isinstance(seed, Column) else F.lit(f"{seed}:{stream}:")
+    bits = F.substring(F.md5(F.concat(name, key.cast("string")).cast("binary")), 1, 13)
     return F.conv(bits, 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def normal(key: Column | str, seed: int, stream: str = "n") -> Column:
+def normal(key: Column | str, seed: int | Column, stream: str = "n") -> Column:
     """Standard normal by Box-Muller from two keyed uniforms."""
     u1, u2 = uniform(key, seed, stream + "1"), uniform(key, seed, stream + "2")
     return F.sqrt(-2.0 * F.log(F.greatest(u1, F.lit(1e-7)))) * F.cos(2 * math.pi * u2)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from .metrics import average_precision, distance_summary, f1, mle_ratio, percentiles, roc_auc
 from .neighbors import knn, knn_features
-from .profile import active_columns
-from .sampling import bootstrap_jitter, kfold, sample_n, split_random, split_stratified
+from .profile import active_columns, profile
+from .sampling import bootstrap_jitter, bootstrap_jitter_each, kfold, sample_n, split_each, split_random, split_stratified
 
 PART_ROWS = 50_000
 FEATURES = ["d_min", "d_mean", "d_std", "d_ratio"]
@@ -59,13 +59,15 @@ class ShadowConfig:
 def distances(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distance of each synthetic row to its nearest real row, and of each real row to its
     nearest other real row."""
-    first = lambda d: d.select(key, F.element_at("near", 1).alias("dist"))
+    first = lambda d: d.select(key, F.get("near", 0).alias("dist"))
     return first(knn(synthetic, real, key, numeric, categorical)), first(knn(real, real, key, numeric, categorical, exclude_self=True))
 
 
-def dcr_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str], limits: Thresholds = Thresholds()) -> DataFrame:
+def dcr_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str] | None = None, categorical: list[str] | None = None, limits: Thresholds = Thresholds()) -> DataFrame:
     """One row: the alert distance, median, 5th percentile, share below, verdict. Exact
-    copies cannot be seen under a threshold of 0, which is flagged."""
+    copies cannot be seen under a threshold of 0, which is flagged. Columns not given are
+    those that the real table's profile retains."""
+    numeric, categorical = _columns(real, synthetic, key, None, numeric, categorical)
     near, own = distances(real, synthetic, key, numeric, categorical)
     alert = percentiles(own, {"dist": F.col("dist")}, [limits.dcr_percentile / 100])["dist"][0] or 0.0
     got = distance_summary(near, "dist", alert)
@@ -95,31 +97,43 @@ def audit_columns(profile_rows: list, real: DataFrame, synthetic: DataFrame) ->
     return active_columns([r for r in profile_rows if not r.is_target and r.column_name in both])
 
 
+def _columns(real: DataFrame, synthetic: DataFrame, key: str, label: str | None, numeric: list[str] | None, categorical: list[str] | None) -> tuple[list[str], list[str]]:
+    """The columns given, or else those that the profile of the real table retains."""
+    if numeric is None and categorical is None:
+        numeric, categorical = audit_columns(profile(real, label).collect(), real, synthetic)
+    return tuple([c for c in cols or () if c not in (key, label)] for cols in (numeric, categorical))
+
+
 def shadow_set(real: DataFrame, key: str, numeric: list[str], categorical: list[str], config: ShadowConfig, provider: Provider | None = None, folds: bool | None = None) -> DataFrame:
     """Features of members (1) and others (0) of every shadow, keyed by ``shadow_id``.
 
     Each shadow splits the table anew, or takes a fold of a shuffled split as its others
     (``folds``; by default in ``ci_lite``), gets a synthetic table made from its members,
-    and measures both parts against it."""
+    and measures both parts against it. All shadows and both labels go through each step
+    together, keyed by shadow; only a ``provider`` is called once for each."""
     c = config.effective()
     folds = c.mode == "ci_lite" if folds is None else folds
-    make = provider or jitter_provider(key, numeric)
+    shadows = F.explode(F.sequence(F.lit(0), F.lit(c.n_shadow_models - 1))).alias("shadow_id")
     rows = written(bounded(real, key, c.max_rows, c.seed), "shadow-rows")
-    dealt = kfold(rows, key, c.n_shadow_models + 1, c.seed) if folds else None
-    out = None
-    for s in range(c.n_shadow_models):
-        if folds:
-            parts = dealt.withColumn("in_train", F.col("fold") != s + 1).drop("fold")
-        else:
-            parts = split_random(rows, key, c.train_fraction, c.seed + s)
-        parts = written(parts, "shadow-split")
-        members, others = parts.where("in_train").drop("in_train"), parts.where("NOT in_train").drop("in_train")
-        made = written(make(members, max(1, int(members.count() * c.multiplier)), c.seed + s), "shadow-made")
-        for part, label in ((members, 1), (others, 0)):
-            got = knn_features(part, made, key, numeric, categorical, c.n_neighbors)
-            got = got.withColumn("label", F.lit(label)).withColumn("shadow_id", F.lit(s))
-            out = got if out is None else out.unionByName(got)
-    return out
+    if folds:
+        parts = kfold(rows, key, c.n_shadow_models + 1, c.seed).select("*", shadows).withColumn("in_train", F.col("fold") != F.col("shadow_id") + 1).drop("fold")
+    else:
+        parts = split_each(rows.select("*", shadows), "shadow_id", key, c.train_fraction, c.seed)
+    parts = written(parts, "shadow-split")
+    members = parts.where("in_train").drop("in_train")
+    if provider is None:
+        made = bootstrap_jitter_each(members, "shadow_id", key, numeric, c.multiplier, c.seed).drop(key).withColumnRenamed("draw", key)
+    else:
+        made = None
+        for s in range(c.n_shadow_models):  # a provider may train a model of its own each time
+            own = members.where(F.col("shadow_id") == s).drop("shadow_id")
+            got = provider(own, max(1, int(own.count() * c.multiplier)), c.seed + s).withColumn("shadow_id", F.lit(s))
+            made = got if made is None else made.unionByName(got)
+    pair = F.col("shadow_id") * 2
+    left = parts.withColumn("label", F.col("in_train").cast("int")).withColumn("pair", pair + F.col("label")).drop("in_train")
+    made = written(made, "shadow-made").withColumn("pair", F.explode(F.array(pair, pair + 1)))
+    got = knn_features(left, made, key, numeric, categorical, c.n_neighbors, by="pair")
+    return got.withColumns({"label": (F.col("pair") % 2).cast("int"), "shadow_id": F.floor(F.col("pair") / 2).cast("int")}).drop("pair")
 
 
 def fit_attack(features: DataFrame, config: ShadowConfig) -> PipelineModel:
@@ -139,12 +153,17 @@ def mia_scores(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[st
         members, others = parts.where("in_train").drop("in_train"), parts.where("NOT in_train").drop("in_train")
     else:
         members, others = real, holdout  # a bound on rows is one on what the attack learns from
-    near = [knn_features(part, synthetic, key, numeric, categorical, c.n_neighbors).withColumn("label", F.lit(y)) for part, y in ((members, 1), (others, 0))]
-    scored = model.transform(near[0].unionByName(near[1]))
+    cols = [key, *numeric, *categorical]
+    both = members.select(*cols).withColumn("label", F.lit(1)).unionByName(others.select(*cols).withColumn("label", F.lit(0)))
+    made = synthetic.select(*numeric, *categorical, F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    scored = model.transform(knn_features(both, made, key, numeric, categorical, c.n_neighbors, by="label"))
     return scored.select(key, "label", vector_to_array("probability")[1].alias("score"))
 
 
-def mia_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str], config: ShadowConfig = ShadowConfig(), holdout: DataFrame | None = None, limits: Thresholds = Thresholds(), provider: Provider | None = None) -> DataFrame:
+def mia_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str] | None = None, categorical: list[str] | None = None, config: ShadowConfig = ShadowConfig(), holdout: DataFrame | None = None, limits: Thresholds = Thresholds(), provider: Provider | None = None) -> DataFrame:
+    """One row: area under the ROC curve and average precision of the attack, and the
+    verdict. Columns not given are those that the real table's profile retains."""
+    numeric, categorical = _columns(real, synthetic, key, None, numeric, categorical)
     scores = written(mia_scores(real, synthetic, key, numeric, categorical, config, holdout, provider), "mia-scores")
     got = roc_auc(scores, "score", "label").join(F.broadcast(average_precision(scores, "score", "label")))
     c = config.effective()
@@ -186,10 +205,11 @@ def utility_audit(real: DataFrame, synthetic: DataFrame, key: str, label: str, n
     return mle_ratio(*rows)
 
 
-def full_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str], label: str | None = None, config: ShadowConfig = ShadowConfig(), holdout: DataFrame | None = None, limits: Thresholds = Thresholds()) -> DataFrame:
+def full_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str] | None = None, categorical: list[str] | None = None, label: str | None = None, config: ShadowConfig = ShadowConfig(), holdout: DataFrame | None = None, limits: Thresholds = Thresholds()) -> DataFrame:
     """One nested row: privacy (distances and attack), utility where the label is in both
-    tables, and the verdicts."""
-    cats = [c for c in categorical if c != label]
+    tables, and the verdicts. Columns not given are those that the real table's profile
+    retains, less the label."""
+    numeric, cats = _columns(real, synthetic, key, label, numeric, categorical)
     dcr, mia = dcr_audit(real, synthetic, key, numeric, cats, limits), mia_audit(real, synthetic, key, numeric, cats, config, holdout, limits)
     out = dcr.select(F.struct("*").alias("dcr")).join(F.broadcast(mia.select(F.struct("*").alias("mia"))))
     out = out.withColumn("privacy_approved", F.col("dcr.dcr_approved") & F.col("mia.mia_approved"))

@@ -1,9 +1,7 @@
-"""Nearest-neighbour joins over numbers and categories, by cells of a k-d tree."""
+"""Nearest-neighbour joins over numbers and categories, by cells of k-d trees on several levels."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,9 +12,11 @@ from ..sources.scratch import Workspace
 from .metrics import percentiles
 
 BLOCK = 4096
-LEFT_ROWS = 8192
-CELL_ROWS, MAX_CELLS, SAMPLE = 1024, 1024, 16384
-CODEBOOK = 4096
+LEFT_ROWS = 4096
+CELL_ROWS, FAN, SAMPLE = 4096, 1024, 16384
+BOTH = "both"
+CUTS = "top int, cuts array<struct<dim:int,cut:double,under:int,over:int>>"
+NEAR = "array<struct<d:double,id:bigint,m:int>>"
 
 
 def scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -34,68 +34,56 @@ def standardise(col: Column, fit: tuple[float, float, float]) -> Column:
     return (F.coalesce(lenient_double(col), F.lit(median)) - mean) / sd
 
 
-def _points(df: DataFrame, key: str, fits: dict, categorical: list[str], seen: dict[str, DataFrame] | None) -> DataFrame:
-    """Key, scaled numbers, hashed categories, and the squared cost of a mismatch of each:
-    2 where the category occurs in the fit table (both one-hot places differ), else 1."""
-    out = df
-    cost = []
-    for i, c in enumerate(categorical):
-        token = normalise_category(F.col(f"`{c}`"), df.schema[c].dataType)
-        if seen is not None:
-            out = out.join(seen[c].select(F.col("token").alias(f"__t{i}"), F.lit(2.0).alias(f"__s{i}")), token == F.col(f"__t{i}"), "left")
-            cost.append(F.coalesce(f"__s{i}", F.lit(1.0)))
-        else:
-            cost.append(F.lit(2.0))
+def _raw(df: DataFrame, numeric: list[str], categorical: list[str], by: str | None, *keep: Column) -> DataFrame:
+    """The group, the numbers as they are, and the hashed categories of each row."""
     tokens = [F.xxhash64(normalise_category(F.col(f"`{c}`"), df.schema[c].dataType)) for c in categorical]
-    return out.select(
-        F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("id"), F.array(*(standardise(F.col(f"`{c}`"), f) for c, f in fits.items())).cast("array<double>").alias("num"),
-        F.array(*tokens).cast("array<bigint>").alias("cat"), F.array(*cost).cast("array<double>").alias("cost"),
-    )
-
-
-def _matrix(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.array(table[name].to_pylist(), dtype=kind).reshape(table.num_rows, -1)
-
-
-def _nearest(k: int, exclude_self: bool):
-    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table([left["key"].slice(0, 0), pa.array([], pa.list_(pa.float64()))], names=["key", "near"])
-        a, b = _matrix(left, "num", np.float64), _matrix(right, "num", np.float64)
-        ca, cb, cost = _matrix(left, "cat", np.int64), _matrix(right, "cat", np.int64), _matrix(left, "cost", np.float64)
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for at in range(0, len(a), 512):
-            part = slice(at, at + 512)
-            d = np.zeros((len(a[part]), len(b)))
-            for j in range(a.shape[1]):
-                d += (a[part, j : j + 1] - b[None, :, j]) ** 2
-            for j in range(ca.shape[1]):
-                d += (ca[part, j : j + 1] != cb[None, :, j]) * cost[part, j : j + 1]
-            if exclude_self:
-                d[ia[part, None] == ib[None, :]] = np.inf
-            best = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
-            out += [row[np.isfinite(row)] for row in np.sqrt(best)]
-        return pa.table([left["key"], pa.array(out, pa.list_(pa.float64()))], names=["key", "near"])
-
-    return run
-
-
-class Cells:
-    """A k-d tree of at most 1,024 cells over the scaled numbers of a table.
-
-    The cuts come from a bounded sample (the rows with the least hashes), the boxes, which
-    decide what may be left out, from all rows."""
-
-    def __init__(self, sample: np.ndarray, cells: int):
-        self.cuts: list[tuple[int, float, int, int]] = []  # dimension, cut, and two nodes; a leaf is -1 - cell
+    group = F.lit("0") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("null"))
+    return df.select(*keep, group.alias("cell"), F.array(*(lenient_double(F.col(f"`{c}`")) for c in numeric)).cast("array<double>").alias("x"), F.array(*tokens).cast("array<bigint>").alias("cat"))
+
+
+def _fits(left: DataFrame, right: DataFrame, base: DataFrame, d: int) -> DataFrame:
+    """``(cell, mean, sd, middle)``, a row a group: of the base's numbers. Medians, which
+    only stand in for nulls, are looked for where either side has nulls."""
+    sides = left.select("cell", "x", F.lit(0).alias("side")).unionByName(right.select("cell", "x", F.lit(0).alias("side"))).unionByName(base.select("cell", "x", F.lit(1).alias("side")))
+    own = lambda j: F.when(F.col("side") == 1, F.col("x")[j])
+    aggs = [f(own(j)).alias(f"{n}{j}") for j in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    aggs += [F.count_if((F.col("side") == 0) & F.col("x")[j].isNull()).alias(f"n{j}") for j in range(d)]
+    got = sides.groupBy("cell").agg(F.lit(1).alias("one"), *aggs).collect()
+    holes = {(r["cell"], j): F.when(F.col("cell") == r["cell"], F.col("x")[j]) for r in got for j in range(d) if r[f"n{j}"]}
+    middle = percentiles(base, {f"{c}/{j}": x for (c, j), x in holes.items()}, [0.5]) if holes else {}
+    rows = [(r["cell"], [r[f"m{j}"] or 0.0 for j in range(d)], [r[f"s{j}"] or 1.0 for j in range(d)], [(middle.get(f"{r['cell']}/{j}") or [0.0])[0] or 0.0 for j in range(d)]) for r in got]
+    return left.sparkSession.createDataFrame(rows, "cell string, mean array<double>, sd array<double>, middle array<double>")
+
+
+def _scaled(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """``rows`` with ``z``, their scaled numbers; ``fits`` has a row a group."""
+    rows = rows.join(F.broadcast(fits), "cell")
+    full = F.zip_with("x", "middle", lambda x, m: F.coalesce(x, m))
+    z = F.zip_with(F.zip_with(full, "mean", lambda x, m: x - m), "sd", lambda x, s: x / s)
+    return rows.withColumn("z", z).drop("x", "mean", "sd", "middle")
+
+
+def _priced(rows: DataFrame, base: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``cost``, the squared price of another token for each category: 2 where
+    the row's own occurs in the base (both one-hot places differ), else 1."""
+    seen = base.select("cell", F.posexplode("cat").alias("j", "t")).distinct()
+    for j in range(n):
+        met = seen.where(F.col("j") == j).select("cell", F.col("t").alias(f"__t{j}"), F.lit(2.0).alias(f"__s{j}"))
+        rows = rows.withColumn(f"__t{j}", F.col("cat")[j]).join(met, ["cell", f"__t{j}"], "left")
+    cost = F.array(*(F.coalesce(f"__s{j}", F.lit(1.0)) for j in range(n))).cast("array<double>")
+    return rows.withColumn("cost", cost).drop(*(f"__{a}{j}" for a in "ts" for j in range(n)))
+
+
+class Tree:
+    """A k-d tree of at most ``FAN`` leaves over one cell, cut on a sample of its points."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.cuts: list[tuple[int, float, int, int]] = []  # dimension, cut, and two nodes; a leaf is -1 - number
         self.leaves = 0
-        self.top = self._grow(sample, cells)
-        self.low = self.high = np.zeros((0, sample.shape[1]))
-        self.parts = np.zeros(0, np.int64)
+        self.top = self._grow(sample, leaves)
 
-    def _grow(self, x: np.ndarray, cells: int) -> int:
-        if cells > 1 and len(x) > 1 and x.shape[1]:
+    def _grow(self, x: np.ndarray, leaves: int) -> int:
+        if leaves > 1 and len(x) > 1 and x.shape[1]:
             j = int(np.argmax(x.max(0) - x.min(0)))
             cut = float(np.median(x[:, j]))
             cut = cut if (x[:, j] > cut).any() else float(np.nextafter(cut, -np.inf))
@@ -103,133 +91,312 @@ class Cells:
             if over.any() and not over.all():
                 at = len(self.cuts)
                 self.cuts.append((j, cut, 0, 0))
-                self.cuts[at] = (j, cut, self._grow(x[~over], cells // 2), self._grow(x[over], cells - cells // 2))
+                self.cuts[at] = (j, cut, self._grow(x[~over], leaves // 2), self._grow(x[over], leaves - leaves // 2))
                 return at
         self.leaves += 1
         return -self.leaves
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        at = np.full(len(x), self.top)
-        while (inner := np.flatnonzero(at >= 0)).size:
-            for k in np.unique(at[inner]):
-                rows = inner[at[inner] == k]
-                j, cut, under, over = self.cuts[k]
-                at[rows] = np.where(x[rows, j] > cut, over, under)
-        return -1 - at
-
-    def gaps(self, x: np.ndarray) -> np.ndarray:
-        """Distance of each point to each box; no member of the box is nearer. 0 where a
-        number is not one, infinite for a cell without members."""
-        d = np.zeros((len(x), len(self.parts)))
-        for j in range(x.shape[1]):
-            out = np.maximum(np.maximum(self.low[None, :, j] - x[:, j : j + 1], x[:, j : j + 1] - self.high[None, :, j]), 0.0)
-            d += np.nan_to_num(out, nan=0.0) ** 2
-        d = np.sqrt(d)
-        d[:, self.parts == 0] = np.inf
-        return d
-
-
-POINT = "key {kind}, id long, num array<double>, cat array<bigint>, cost array<double>"
-
-
-def _numbers(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-
-
-def _visits(cells: Cells, first: bool):
-    """Sends each row to the blocks it must be compared with: to one block of the nearest
-    cell, or to all blocks of the cells within its bound (the last column)."""
-
-    def run(batches):
-        for b in (t.slice(at, 2048) for t in batches for at in range(0, t.num_rows, 2048)):
-            ids, gaps = b.column(1).to_numpy(), cells.gaps(_numbers(b.column(2), b.num_rows))
-            if first:
-                row, cell = np.arange(b.num_rows), gaps.argmin(1)
-                part = ids % cells.parts[cell]
-            else:
-                bound = b.column(5).to_numpy(zero_copy_only=False)
-                row, cell = np.nonzero(gaps <= bound[:, None] * (1 + 1e-9) + 1e-12)
-                n = cells.parts[cell]
-                row, cell, part = np.repeat(row, n), np.repeat(cell, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            for at in range(0, len(row), 8192):
-                take = pa.array(row[at : at + 8192])
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[:5]), pa.array(cell[at : at + 8192], pa.int32()), pa.array(part[at : at + 8192], pa.int32())], names=["key", "id", "num", "cat", "cost", "cell", "part"])
 
-    return run
+def _leaf(x: np.ndarray, top: int, cuts: list[dict]) -> np.ndarray:
+    """The number of the leaf that each point falls into."""
+    at = np.full(len(x), top)
+    while (inner := np.flatnonzero(at >= 0)).size:
+        for k in np.unique(at[inner]):
+            rows, c = inner[at[inner] == k], cuts[k]
+            at[rows] = np.where(x[rows, c["dim"]] > c["cut"], c["over"], c["under"])
+    return -1 - at
 
 
-def knn(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int = 1, exclude_self: bool = False, fit: DataFrame | None = None, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(key, near)``: ascending distances of each left row to its ``k`` nearest right rows.
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance of each point to each box; no member of the box is nearer."""
+    d = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        d += np.maximum(np.maximum(low[None, :, j] - x[:, j : j + 1], x[:, j : j + 1] - high[None, :, j]), 0.0) ** 2
+    return np.sqrt(d)
 
-    Numbers are scaled by ``fit`` (the right table by default), nulls are its medians; a
-    category costs nothing if equal. The right rows lie in cells of a k-d tree over the
-    numbers, in blocks of at most about ``block`` rows. Each left row is compared with one
-    block of its nearest cell, which bounds its distances, and then with all blocks of the
-    cells whose box is within the bound, so the result is exact and far cells are never
-    read. A pair of blocks is compared as arrays and hands on ``k`` numbers a row;
-    much-visited cells are dealt to several tasks. ``exclude_self`` leaves out the right
-    row with the same key. An empty right table gives an empty result.
+
+def _matrix(column, kind) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _meet(rows: DataFrame, other: DataFrame, on: list[str], run, schema: str, work: Workspace, name: str) -> DataFrame:
+    """Each group of ``rows`` with the same group of ``other``, by an Arrow function. Groups
+    of very many ``rows`` are dealt to several tasks, each with the other side."""
+    rows = work.table(rows, name)
+    crowd = work.table(rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / LEFT_ROWS).cast("int").alias("crowd")), f"{name}-crowd")
+    one = rows.join(crowd, on).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("crowd")).cast("int")).drop("crowd")
+    two = other.join(crowd, on).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1))).drop("crowd")
+    by = [*on, "salt"]
+    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(run, schema)
+
+
+class Cells:
+    """Points ``(cell, id, z, cat, m)`` in cells that are split again, level by level, while
+    they hold too many; ``levels`` are the tables of trees and of their leaves' boxes.
+
+    Counts decide what is split, in Spark; a cell's cuts come from a bounded sample of its
+    points, its boxes, which decide what may be left out, from all of them. Nothing but
+    whether there is more to split reaches the driver, so any number of cells will do."""
+
+    def __init__(self, points: DataFrame, d: int, cell_rows: int, work: Workspace):
+        self.levels: list[DataFrame] = []
+        self.points, self.work, self.d = points, work, d
+        self.sizes = sizes = work.table(points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        active, rest = points, None
+        while d:
+            level, big = len(self.levels), sizes.where(F.col("n") > 4 * cell_rows)
+            if big.isEmpty():
+                break
+            share = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < SAMPLE / F.col("n")
+            plans = active.join(big, "cell").where(share).select("cell", "n", "z").groupBy("cell").applyInArrow(self._plan(cell_rows), f"cell string, {CUTS}")
+            plans = work.table(plans, f"plans{level}")
+            if plans.isEmpty():  # nothing but copies along the numbers
+                break
+            stay = active.join(plans.select("cell"), "cell", "left_anti")
+            rest = stay if rest is None else rest.unionByName(stay)
+            inside = active.join(plans.select("cell"), "cell", "left_semi")
+            active = work.table(_meet(inside, plans, ["cell"], self._place, "cell string, id long, z array<double>, cat array<bigint>, m int", work, f"split{level}"), f"cells{level}")
+            edges = [F.array(*(f(F.col("z")[j]) for j in range(d))).alias(n) for n, f in (("low", F.min), ("high", F.max))]
+            sizes = work.table(active.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges), f"sizes{level}")
+            parent = F.substring_index("cell", "/", level + 1)
+            boxes = sizes.groupBy(parent.alias("cell")).agg(F.collect_list(F.struct(F.col("cell").alias("leaf"), "low", "high")).alias("boxes"))  # FAN at most
+            self.levels.append(work.table(boxes, f"level{level}"))
+        if self.levels:
+            self.points = active.unionByName(rest)
+            self.sizes = work.table(self.points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "leaves")
+
+    def _plan(self, cell_rows: int):
+        def run(table: pa.Table) -> pa.Table:
+            x, n = _matrix(table["z"], np.float64), table["n"][0].as_py()
+            tree = Tree(x, min(FAN, -(-n // cell_rows)))
+            cuts = [[dict(zip(("dim", "cut", "under", "over"), c)) for c in tree.cuts]]
+            kind = pa.list_(pa.struct([("dim", pa.int32()), ("cut", pa.float64()), ("under", pa.int32()), ("over", pa.int32())]))
+            return pa.table({"cell": table["cell"].slice(0, 1), "top": pa.array([tree.top], pa.int32()), "cuts": pa.array(cuts, kind)}).slice(0, int(tree.leaves > 1))
+
+        return run
+
+    @staticmethod
+    def _place(key: tuple, rows: pa.Table, tree: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["cell", "id", "z", "cat", "m"])
+        leaf = _leaf(_matrix(rows["z"], np.float64), tree["top"][0].as_py(), tree["cuts"][0].as_py())
+        return pa.table([pa.array([f"{key[0].as_py()}/{n}" for n in leaf]), *(rows[c] for c in ("id", "z", "cat", "m"))], names=["cell", "id", "z", "cat", "m"])
+
+    def visits(self, rows: DataFrame, name: str, bounded: bool) -> DataFrame:
+        """``rows`` with the cells of the last level that each must be compared with: the
+        nearest, or all whose box is within its ``bound``."""
+
+        def run(key: tuple, rows: pa.Table, level: pa.Table) -> pa.Table:
+            fields = [c for c in rows.column_names if c not in ("cell", "salt")]
+            if not rows.num_rows or not level.num_rows:
+                return pa.table([pa.array([], pa.string()), *(rows[c].slice(0, 0) for c in fields)], names=["cell", *fields])
+            boxes = level["boxes"][0].as_py()
+            low, high = (np.array([b[k] for b in boxes], np.float64) for k in ("low", "high"))
+            leaf, out = np.array([b["leaf"] for b in boxes], object), []
+            for at in range(0, rows.num_rows, 1024):
+                part = rows.slice(at, 1024)
+                gap = _gaps(_matrix(part["z"], np.float64), low, high)
+                if bounded:
+                    bound = part["bound"].to_numpy()
+                    row, to = np.nonzero(gap <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                else:
+                    row, to = np.arange(len(gap)), gap.argmin(1)
+                take = pa.array(row)
+                out.append(pa.table([pa.array(leaf[to], pa.string()), *(part[c].take(take) for c in fields)], names=["cell", *fields]))
+            return pa.concat_tables(out)
+
+        there = None
+        for i, level in enumerate(self.levels):
+            names = [c for c in rows.columns if c != "cell"]
+            schema = "cell string, " + ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+            stay = rows.join(level.select("cell"), "cell", "left_anti")
+            there = stay if there is None else there.unionByName(stay)
+            rows = rows.join(level.select("cell"), "cell", "left_semi")
+            rows = self.work.table(_meet(rows, level, ["cell"], run, schema, self.work, f"{name}{i}"), f"{name}{i}-next")
+        return rows.unionByName(there)
+
+
+def _nearest(k: int, exclude_self: bool):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("m", pa.int32())]))
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], kind)})
+        a, b, ca, cb, cost = (_matrix(t[c], x) for t, c, x in ((left, "z", np.float64), (right, "z", np.float64), (left, "cat", np.int64), (right, "cat", np.int64), (left, "cost", np.float64)))
+        copies, ids = right["m"].to_numpy(), right["id"].to_numpy()
+        k_here = min(k + exclude_self, len(copies))
+        # along the number with the most values, only points within a row's bound can be near
+        j0 = int(np.argmax([len(np.unique(b[:, j])) for j in range(b.shape[1])])) if b.shape[1] else None
+        if j0 is not None:
+            order = np.argsort(b[:, j0], kind="stable")
+            b, cb, copies, ids = b[order], cb[order], copies[order], ids[order]
+            line = b[:, j0]
+        back = np.argsort(a[:, j0], kind="stable") if j0 is not None else np.arange(len(ca))
+
+        def distances(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+            d = np.zeros((len(rows), hi - lo))
+            for j in range(a.shape[1]):
+                gap = a[rows, j, None] - b[None, lo:hi, j]
+                d += gap * gap
+            for j in range(ca.shape[1]):
+                d += (ca[rows, j, None] != cb[None, lo:hi, j]) * cost[rows, j, None]
+            return d
+
+        ds, ns, ms = (np.empty((len(ca), k_here), x) for x in (np.float64, np.int64, np.int64))
+        for at in range(0, len(ca), 256):
+            rows, lo, hi = back[at : at + 256], 0, len(copies)
+            if j0 is not None and hi > 1024:
+                left_end, right_end = a[rows[0], j0], a[rows[-1], j0]
+                near = (np.searchsorted(line, left_end) + np.searchsorted(line, right_end)) // 2
+                w = max(128, k_here)
+                first = distances(rows, u := max(0, min(near - w, hi - 2 * w)), u + 2 * w)
+                bound = np.sqrt(np.partition(first, k_here - 1, axis=1)[:, k_here - 1].max()) * (1 + 1e-9) + 1e-12
+                lo, hi = int(np.searchsorted(line, left_end - bound)), int(np.searchsorted(line, right_end + bound, side="right"))
+            d = distances(rows, lo, hi)
+            at_k = np.argpartition(d, k_here - 1, axis=1)[:, :k_here] if k_here < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            d = np.take_along_axis(d, at_k, 1)
+            m = copies[lo + at_k] - (d == 0) * exclude_self  # the point of the row itself has a copy less
+            ds[rows], ns[rows], ms[rows] = np.where(m > 0, np.sqrt(d), np.inf), ids[lo + at_k], np.minimum(m, k)
+        d, n, m = (x.ravel() for x in (ds, ns, ms))
+        finite = np.isfinite(d)
+        size = np.add.reduceat(finite, np.arange(0, len(d), k_here)).astype(np.int64)
+        near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(d[finite]), pa.array(n[finite]), pa.array(m[finite].astype(np.int32))], ["d", "id", "m"]))
+        return pa.table({"id": left["id"], "near": near})
+
+    return run
+
+
+def _compare(rows: DataFrame, points: DataFrame, sizes: DataFrame, k: int, exclude_self: bool, block: int, work: Workspace, name: str, one: bool = False) -> DataFrame:
+    """``(id, near)``: the ``k`` nearest points of each row in the cells it visits (``one``:
+    in one block of each). Points are compared by blocks, as arrays, and each hands on
+    ``k`` numbers a row; a point met in several cells counts once."""
+    parts = sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    blocks = points.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int") if one else F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sent = rows.join(parts, "cell").withColumn("part", part).drop("parts")
+    near = _meet(sent.select("cell", "part", "id", "z", "cat", "cost"), blocks.select("cell", "part", "id", "z", "cat", "m"), ["cell", "part"], _nearest(k, exclude_self), f"id long, near {NEAR}", work, name)
+    merged = near.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    return merged.select("id", F.slice(F.flatten(F.transform("near", lambda x: F.array_repeat(x["d"], x["m"]))), 1, k).alias("near"))
+
+
+def _sides(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], exclude_self: bool, fit, by: str | None, work: Workspace):
+    """The left rows with an id of their own, their points, and the right side's points,
+    equal ones as one with the number of its copies."""
+    a = work.table(_raw(left, numeric, categorical, by, F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), *([F.col(by).alias("by")] if by else [])), "left")
+    b = a.select("cell", "x", "cat") if exclude_self else work.table(_raw(right, numeric, categorical, by), "right")
+    base = b if fit is None else a.select("cell", "x", "cat").unionByName(b) if isinstance(fit, str) else work.table(_raw(fit, numeric, categorical, by), "base")
+    fits = _fits(a, b, base, len(numeric))
+    rows = _priced(_scaled(a.select("id", "cell", "x", "cat"), fits), base, len(categorical))
+    points = _scaled(b, fits).groupBy("cell", "z", "cat").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    points = work.table(points.select("cell", F.monotonically_increasing_id().alias("id"), "z", "cat", "m"), "points")
+    return a, rows, points
+
+
+def _keyed(a: DataFrame, near: DataFrame, key: str, by: str | None) -> DataFrame:
+    """Each left row once, with what was found for it, if anything."""
+    none = F.array().cast("array<double>")
+    out = a.select("id", F.col("key").alias(key), *([F.col("by").alias(by)] if by else []))
+    return out.join(near, "id", "left").withColumn("near", F.coalesce("near", none)).drop("id")
+
+
+def knn(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int = 1, exclude_self: bool = False, fit: DataFrame | str | None = None, block: int = BLOCK, cell_rows: int = CELL_ROWS, by: str | None = None) -> DataFrame:
+    """``(key, near)``, one row per row of ``left`` whatever its key: ascending distances to
+    its ``k`` nearest right rows (all, if fewer; none of an empty table).
+
+    Numbers are scaled by ``fit`` (the right table by default, ``BOTH`` for the two
+    together), nulls are its medians; a category costs nothing if equal. ``exclude_self``
+    takes the left table as the right one too and compares each row with all others; a
+    copy of a row, also one with the same key, is another row. ``by`` names a column that
+    both sides (and ``fit``) have: rows meet within a group only, and each group is scaled
+    by itself. A null group is one; a few numbers of each group come to the driver.
+
+    Equal right rows are one point with a number of copies. Points lie in cells of k-d
+    trees over the numbers, each split again while it holds more than ``4 * cell_rows``
+    (``Cells``). A left row is compared with a block of its nearest cell, which bounds its
+    distances, and then with all cells whose box is within the bound, so the result is
+    exact and far cells are never read. Where no cell had to be split, that is skipped.
+    Cells that many rows visit are dealt to several tasks.
     """
-    base = right if fit is None else fit
-    fits = scaler(base, numeric)
-    seen = {c: base.select(normalise_category(F.col(f"`{c}`"), base.schema[c].dataType).alias("token")).distinct() for c in categorical}
     work = Workspace(left.sparkSession, "knn")
-    a = work.table(_points(left, key, fits, categorical, seen), "left")
-    b = work.table(_points(right, key, fits, categorical, None), "right")
-    kind = left.schema[key].dataType.simpleString()
-    sample = [r.num for r in b.select("num", "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()] if numeric else []
-    x = np.array(sample, np.float64).reshape(len(sample), len(numeric))
-    cells = Cells(x[np.isfinite(x).all(1)], max(1, min(MAX_CELLS, math.ceil(b.count() / cell_rows))))
-
-    def place(batches):
-        for t in batches:
-            cell = cells.of(_numbers(t.column(2), t.num_rows)) if t.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell, pa.int32())], names=[*t.schema.names, "cell"])
-
-    b = work.table(b.mapInArrow(place, POINT.format(kind=right.schema[key].dataType.simpleString()) + ", cell int"), "cells")
-    edges = [f(F.col("num")[j]).alias(f"{n}{j}") for j in range(len(numeric)) for n, f in (("l", F.min), ("h", F.max))]
-    boxes = b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges).collect()  # at most 1,024 rows
-    cells.low = np.zeros((cells.leaves, len(numeric)))
-    cells.high, cells.parts = np.zeros_like(cells.low), np.zeros(cells.leaves, np.int64)
-    for r in boxes:
-        cells.parts[r.cell] = -(-r.n // block)
-        for j in range(len(numeric)):
-            cells.low[r.cell, j], cells.high[r.cell, j] = r[f"l{j}"], r[f"h{j}"]
-    of_cell = lambda xs: F.element_at(F.array(*(F.lit(int(v)) for v in xs)), F.col("cell") + 1)
-    b = b.withColumn("part", F.pmod("id", of_cell(np.maximum(cells.parts, 1))).cast("int"))
-
-    def compare(rows: DataFrame, name: str) -> DataFrame:
-        rows = work.table(rows, name)
-        crowd = np.ones(cells.leaves, np.int64)
-        for r in rows.groupBy("cell").count().collect():  # at most 1,024 rows
-            crowd[r.cell] = max(1, math.ceil(r["count"] / max(1, cells.parts[r.cell]) / LEFT_ROWS))
-        by = ["cell", "part", "crowd"]
-        one = rows.withColumn("crowd", F.pmod(F.xxhash64("id"), of_cell(crowd)).cast("int"))
-        two = b.withColumn("crowd", F.explode(F.sequence(F.lit(0), of_cell(crowd) - 1)))
-        near = one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(_nearest(k, exclude_self), f"key {kind}, near array<double>")
-        return near.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-
-    fields = POINT.format(kind=kind) + ", cell int, part int"
-    if not boxes:
-        return left.where(F.lit(False)).select(key, F.array().cast("array<double>").alias("near"))
-    infinite = F.lit(float("inf"))
-    if cells.leaves > 1:
-        bound = compare(a.mapInArrow(_visits(cells, True), fields), "first")
-        bound = work.table(bound.select(F.col("key").alias("__key"), F.when(F.size("near") >= k, F.element_at("near", -1)).otherwise(infinite).alias("bound")), "bounds")
-        a = a.join(bound, F.col("key").eqNullSafe(F.col("__key")), "left").drop("__key").withColumn("bound", F.coalesce("bound", infinite))
-    else:
-        a = a.withColumn("bound", infinite)
-    return compare(a.mapInArrow(_visits(cells, False), fields), "second").withColumnRenamed("key", key)
-
-
-def knn_features(left: DataFrame, generated: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
-    """Least, mean and deviation of the k nearest distances, and least over mean. Scaling
-    is fitted on both sides together."""
-    cols = [*numeric, *categorical]
-    both = left.select(*cols).unionByName(generated.select(*cols))
-    near = knn(left, generated, key, numeric, categorical, k, fit=both)
+    a, rows, points = _sides(left, right, key, numeric, categorical, exclude_self, fit, by, work)
+    cells = Cells(points, len(numeric), cell_rows, work)
+    if cells.levels:
+        rows = work.table(rows, "rows")
+        first = _compare(cells.visits(rows, "first", False), cells.points, cells.sizes, k, exclude_self, block, work, "bounds", one=True)
+        infinite = F.lit(float("inf"))
+        bound = work.table(first.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)).otherwise(infinite).alias("bound")), "bound")
+        rows = cells.visits(rows.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", infinite)), "second", True)
+    return _keyed(a, _compare(rows, cells.points, cells.sizes, k, exclude_self, block, work, "near"), key, by)
+
+
+def knn_approximate(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int = 1, exclude_self: bool = False, fit: DataFrame | str | None = None, block: int = BLOCK, by: str | None = None, tables: int = 4, projections: int = 2, bucket_rows: int = 512, seed: int = 42) -> DataFrame:
+    """``knn`` by bucketed random projections: each row meets only the points of its own
+    buckets and of those beside them, in ``tables`` tables of ``projections`` directions,
+    and the distances to these are exact. Rows with no point there have an empty list.
+
+    A category counts as its one-hot place, whose weight in a direction is a normal number
+    drawn from its hash. Buckets of a direction are as wide as holds ``bucket_rows`` points
+    a bucket on average, measured from the spread of all points; a bucket with more is
+    compared by blocks, and equal points are one. Work is in proportion to rows, tables and
+    ``3 ** projections`` buckets; recall rises with tables and bucket rows.
+    """
+    work = Workspace(left.sparkSession, "lsh")
+    a, rows, points = _sides(left, right, key, numeric, categorical, exclude_self, fit, by, work)
+    d, c = len(numeric), len(categorical)
+    drawn = np.random.default_rng(seed)
+    ways = drawn.normal(size=(tables * projections, d))
+    shift = drawn.random(tables * projections)
+
+    def project(z, cat):
+        x = _matrix(z, np.float64) @ ways.T if d else np.zeros((len(z), len(ways)))
+        h = _matrix(cat, np.int64).view(np.uint64) if c else np.zeros((len(z), 0), np.uint64)
+        for j in range(c):
+            for i in range(len(ways)):
+                u = (h[:, j] ^ np.uint64(0x9E3779B97F4A7C15 * (i * 64 + j + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                u = (u ^ (u >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                u1, u2 = ((u >> np.uint64(33)).astype(float) + 1) / 2**31, (u & np.uint64(0x7FFFFFFF)).astype(float) / 2**31
+                x[:, i] += np.sqrt(-2 * np.log(np.minimum(u1, 1.0))) * np.cos(2 * np.pi * u2)
+        return x
+
+    def places(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(project(b.column(1), b.column(2))), pa.list_(pa.float64()))], names=["cell", "p"])
+
+    spread = points.select("cell", "z", "cat").mapInArrow(places, "cell string, p array<double>").groupBy("cell")
+    spread = spread.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.stddev_pop(F.col("p")[i]) for i in range(len(ways)))).alias("sd")).collect()  # a row a group
+    # a normal spread has most of its points within four deviations
+    width = {r["cell"]: np.maximum(np.array(r["sd"]) * 4 * min(1.0, (bucket_rows / r["n"]) ** (1 / projections)), 1e-12) for r in spread}
+
+    def buckets(around: tuple[int, ...], fields: list[str]):
+        steps = np.array(np.meshgrid(*[around] * projections)).reshape(projections, -1).T
+
+        def run(batches):
+            for b in (t.slice(at, 2048) for t in batches for at in range(0, t.num_rows, 2048)):
+                cell = b.column("cell").to_pylist()
+                wide = np.array([width.get(x, np.ones(len(ways))) for x in cell]).reshape(len(cell), len(ways))
+                at = np.floor(project(b.column("z"), b.column("cat")) / wide + shift).astype(np.int64)
+                for t in range(tables):
+                    own = at[:, t * projections : (t + 1) * projections]
+                    for step in steps:
+                        name = [f"{x}/{t}/{'/'.join(map(str, y))}" for x, y in zip(cell, (own + step).tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), *(b.column(f) for f in fields)], names=["cell", *fields])
+
+        return run
+
+    put = points.mapInArrow(buckets((0,), ["id", "z", "cat", "m"]), "cell string, id long, z array<double>, cat array<bigint>, m int")
+    ask = rows.select("cell", "id", "z", "cat", "cost").mapInArrow(buckets((-1, 0, 1), ["id", "z", "cat", "cost"]), "cell string, id long, z array<double>, cat array<bigint>, cost array<double>")
+    put = work.table(put, "put")
+    sizes = work.table(put.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    return _keyed(a, _compare(ask, put, sizes, k, exclude_self, block, work, "near"), key, by)
+
+
+def knn_features(left: DataFrame, generated: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int, by: str | None = None) -> DataFrame:
+    """Least, mean and deviation of the k nearest distances, and least over mean; nulls where
+    nothing is near. Scaling is fitted on both sides together, in each group of ``by``."""
+    near = knn(left, generated, key, numeric, categorical, k, fit=BOTH, by=by).withColumn("near", F.when(F.size("near") > 0, F.col("near")))
     mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")
-    out = near.withColumn("d_min", F.element_at("near", 1)).withColumn("d_mean", mean)
+    out = near.withColumn("d_min", F.get("near", 0)).withColumn("d_mean", mean)
     sd = F.sqrt(F.aggregate("near", F.lit(0.0), lambda s, x: s + (x - F.col("d_mean")) * (x - F.col("d_mean"))) / F.size("near"))
     return out.withColumn("d_std", sd).withColumn("d_ratio", F.col("d_min") / F.greatest(F.col("d_mean"), F.lit(1e-8))).drop("near")
 

@@ -91,6 +91,33 @@ def bootstrap_jitter(df: DataFrame, key: str, numbers: list[str], n: int, seed:
     return out
 
 
+def split_each(df: DataFrame, by: str, key: str, fraction: float, seed: int, stream: str = "split") -> DataFrame:
+    """``split_random`` of every group of ``by`` (small whole numbers, added to the seed), in
+    one pass over all of them: ``in_train`` for a random ``floor(fraction * n)`` rows each."""
+    ranked = rank_within(df.withColumn("__u", uniform(key, F.lit(seed) + F.col(by), stream)), by, [F.col("__u"), F.col(key)], "__rank")
+    take = df.groupBy(F.col(by).alias("__by")).agg(F.floor(F.count(F.lit(1)) * fraction + 1e-9).alias("__take"))
+    return ranked.join(take, F.col(by) == F.col("__by")).withColumn("in_train", F.col("__rank") <= F.col("__take")).drop("__u", "__rank", "__take", "__by")
+
+
+def bootstrap_jitter_each(df: DataFrame, by: str, key: str, numbers: list[str], multiplier: float, seed: int, share: float = 0.01) -> DataFrame:
+    """``bootstrap_jitter`` of every group of ``by`` (whole numbers, added to the seed), in
+    one pass: ``floor(multiplier * n)`` rows each, at least one, numbered in ``draw``."""
+    spread = [F.stddev_samp(F.col(c).cast("double")).alias(f"__sd_{c}") for c in numbers]
+    n = F.count(F.lit(1))
+    sizes = written(df.groupBy(F.col(by).alias("__by")).agg(n.alias("__n"), F.greatest(F.lit(1), F.floor(n * multiplier)).cast("bigint").alias("__take"), *spread), "bootstrap-sizes")
+    most = sizes.agg(F.max("__take").alias("m"), F.max("__by").alias("b")).first()
+    ranked = rank_within(df, by, [F.col(key)], "__rank")
+    draws = df.sparkSession.range((most.b + 1) * most.m if most.m else 0).select(F.expr(f"int(id div {most.m or 1})").alias("__by"), (F.col("id") % (most.m or 1)).alias("draw"))
+    draws = draws.join(F.broadcast(sizes), "__by").where("draw < __take")  # a row a group
+    z = F.lit(seed) + F.col("__by")
+    draws = draws.withColumn("__draw", F.floor(uniform("draw", z, "boot") * F.col("__n")) + 1)
+    out = draws.join(ranked, (F.col("__by") == F.col(by)) & (F.col("__draw") == F.col("__rank")))
+    for c in numbers:
+        sd = F.coalesce(F.col(f"__sd_{c}"), F.lit(0.0))
+        out = out.withColumn(c, F.col(c).cast("double") + normal("draw", z, f"jitter-{c}") * F.when(sd > 0, sd * share).otherwise(1e-6))
+    return out.drop("__by", "__n", "__take", "__draw", "__rank", *(f"__sd_{c}" for c in numbers))
+
+
 def take_per_class(df: DataFrame, label: str, wanted: DataFrame, key: str) -> DataFrame:
     """Up to ``wanted.n`` rows of each label, first by key."""
     got = df.join(wanted.select(F.col("label").alias("__label"), F.col("n").alias("__n")), F.col(label).cast("string") == F.col("__label"))

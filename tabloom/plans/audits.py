@@ -10,8 +10,7 @@ from ..operators.sampling import bootstrap_jitter
 from .neighbours import CAT, NEAREST, NUM, OWN, _real, synthetic
 from .registry import query, table
 
-#: The capped attack of ``shadow_set`` and ``mia_audit``, and the attack on all rows.
-CONFIG = A.ShadowConfig(mode="ci_lite", trees=20, seed=42)
+#: The attack on all rows.
 WHOLE = A.ShadowConfig()
 
 
@@ -25,17 +24,14 @@ def dcr_audit(spark, sf_dir):
     return got.select(F.round("dcr_threshold", 6).alias("dcr_threshold"), F.round("dcr_median", 6).alias("dcr_median"), F.round("dcr_p5", 6).alias("dcr_p5"), F.round("memorized_share", 9).alias("memorized_share"), "dcr_approved", "threshold_is_zero")
 
 
-def _shadow_sql(n: int | None = 512, k: int = 3, seed: int = 42, shadows: int = 2, share: float = 0.5, folds: bool = True) -> str:
-    """The shadows in SQL: the rows (bounded by ``n``), the split (folds or random halves),
-    the bootstrap, the features."""
+def _shadow_sql(k: int, seed: int, shadows: int, share: float) -> str:
+    """The shadows in SQL: the split into random halves, the bootstrap, the features."""
     u = lambda key, s, stream: uniform_sql(key, s, stream)
-    parts = [f"WITH base AS (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_mktsegment FROM customer ORDER BY {u('c_custkey', seed, 'bound')}, c_custkey{f' LIMIT {n}' if n else ''})"]
+    parts = [f"WITH base AS (SELECT c_custkey, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_mktsegment FROM customer)"]
     outs = []
     for s in range(shadows):
         z = seed + s
         member = f"row_number() OVER (ORDER BY {u('c_custkey', z, 'split')}, c_custkey) <= floor(0.5 * (SELECT count(*) FROM base) + 1e-9)"
-        if folds:
-            member = f"ntile({shadows + 1}) OVER (ORDER BY {u('c_custkey', seed, 'fold')}, c_custkey) <> {s + 1}"
         parts.append(
             f"""p{s} AS (SELECT *, {member} AS m FROM base),
 r{s} AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM p{s} WHERE m),
@@ -57,13 +53,7 @@ def _shadow_rows(spark, sf_dir):
     return _real(spark, sf_dir).withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
 
 
-@query(_shadow_sql())
-def shadow_set(spark, sf_dir):
-    got = A.shadow_set(_shadow_rows(spark, sf_dir), "c_custkey", NUM, CAT, CONFIG)
-    return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in A.FEATURES), "label", "shadow_id")
-
-
-@query(_shadow_sql(None, WHOLE.n_neighbors, WHOLE.seed, WHOLE.n_shadow_models, WHOLE.multiplier, folds=False))
+@query(_shadow_sql(WHOLE.n_neighbors, WHOLE.seed, WHOLE.n_shadow_models, WHOLE.multiplier), "shadow_set")
 def shadow_set_whole(spark, sf_dir):
     got = A.shadow_set(_shadow_rows(spark, sf_dir), "c_custkey", NUM, CAT, WHOLE)
     return got.select("c_custkey", *(F.round(c, 6).alias(c) for c in A.FEATURES), "label", "shadow_id")
@@ -76,13 +66,7 @@ def mia_scores(spark, sf_dir):
     return A.mia_scores(members, synthetic(members), "c_custkey", NUM, CAT, WHOLE, holdout=others)
 
 
-@query()
-def mia_audit(spark, sf_dir):
-    real = _shadow_rows(spark, sf_dir)
-    return A.mia_audit(real, synthetic(real), "c_custkey", NUM, CAT, CONFIG)
-
-
-@query()
+@query(None, "mia_audit")
 def mia_audit_whole(spark, sf_dir):
     real = _shadow_rows(spark, sf_dir)
     return A.mia_audit(real, synthetic(real), "c_custkey", NUM, CAT, WHOLE)

@@ -167,18 +167,6 @@ def latent_assemble(spark, sf_dir):
 NOISE_STEPS = 100
 
 
-@query(
-    f"""WITH s AS (SELECT t, least(greatest(1 - pow(cos(((t + 1.0) / {NOISE_STEPS} + 0.008) / 1.008 * pi() / 2), 2) / pow(cos((t * 1.0 / {NOISE_STEPS} + 0.008) / 1.008 * pi() / 2), 2), 1e-5), 0.999) AS b FROM range({NOISE_STEPS}) AS r(t)),
-a AS (SELECT t, greatest(exp(sum(ln(1 - b)) OVER (ORDER BY t)), 1e-8) AS ab FROM s),
-v AS (SELECT vec_id, embedding, CAST(floor({uniform_sql('vec_id', 5, 't')} * {NOISE_STEPS}) AS BIGINT) AS t, {normal_sql('vec_id', 5, 'e0')} AS e0, {normal_sql('vec_id', 5, 'e1')} AS e1 FROM embeddings)
-SELECT vec_id, t, round(sqrt(ab) * CAST(embedding[1] AS DOUBLE) + sqrt(1 - ab) * e0, 5) AS x0, round(sqrt(ab) * CAST(embedding[2] AS DOUBLE) + sqrt(1 - ab) * e1, 5) AS x1 FROM v JOIN a USING (t)"""
-)
-def noising_pairs(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("latent"))
-    got = E.noising_pairs(df, "vec_id", "latent", 2, NOISE_STEPS, 5)
-    return got.select("vec_id", "t", *(F.round(F.col("noised")[i], 5).alias(f"x{i}") for i in range(2)))
-
-
 def _width(df) -> int:
     return df.agg(F.max(F.size("embedding"))).first()[0] or 1
 
@@ -188,7 +176,8 @@ def _width(df) -> int:
 a AS (SELECT t, greatest(exp(sum(ln(1 - b)) OVER (ORDER BY t)), 1e-8) AS ab FROM s),
 v AS (SELECT vec_id, CAST(floor({uniform_sql('vec_id', 5, 't')} * {NOISE_STEPS}) AS BIGINT) AS t, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
 n AS (SELECT vec_id, t, i, round(sqrt(ab) * x + sqrt(1 - ab) * {normal_sql('vec_id', 5, "e' || i || '")}, 5) AS y FROM v JOIN a USING (t))
-SELECT vec_id, t, list(CASE WHEN y = 0 THEN 0.0 ELSE y END ORDER BY i) AS noised FROM n GROUP BY vec_id, t"""
+SELECT vec_id, t, list(CASE WHEN y = 0 THEN 0.0 ELSE y END ORDER BY i) AS noised FROM n GROUP BY vec_id, t""",
+    "noising_pairs",
 )
 def noising_pairs_whole(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -196,19 +185,11 @@ def noising_pairs_whole(spark, sf_dir):
     return got.select("vec_id", "t", F.transform("noised", lambda x: F.round(x, 5)).alias("noised"))
 
 
-_PAIRS = [(i, j) for i in range(3) for j in range(i + 1)]
-
-
-@query(" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS mean_i, round(avg(CAST(embedding[{j + 1}] AS DOUBLE)), 6) AS mean_j, round(covar_pop(CAST(embedding[{i + 1}] AS DOUBLE), CAST(embedding[{j + 1}] AS DOUBLE)), 6) AS cov FROM embeddings" for i, j in _PAIRS))
-def latent_moments(spark, sf_dir):
-    got = moments(table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("z")), "z", 3)
-    return got.select("i", "j", *(F.round(c, 6).alias(c) for c in ("mean_i", "mean_j", "cov")))
-
-
 @query(
     """WITH v AS (SELECT row_number() OVER () AS r, embedding FROM embeddings), u AS (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(range(len(embedding))) AS INTEGER) AS i FROM v),
 m AS (SELECT i, avg(x) AS mean FROM u GROUP BY i), c AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS cov FROM u a JOIN u b ON a.r = b.r AND b.i <= a.i GROUP BY 1, 2)
-SELECT c.i, c.j, round(p.mean, 6) AS mean_i, round(q.mean, 6) AS mean_j, round(cov, 6) AS cov FROM c JOIN m p ON p.i = c.i JOIN m q ON q.i = c.j"""
+SELECT c.i, c.j, round(p.mean, 6) AS mean_i, round(q.mean, 6) AS mean_j, round(cov, 6) AS cov FROM c JOIN m p ON p.i = c.i JOIN m q ON q.i = c.j""",
+    "latent_moments",
 )
 def latent_moments_whole(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))

@@ -10,15 +10,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name (without ``_query``), with its SQL if
-    there is one."""
+def query(sql: str | None = None, *also: str):
+    """Registers a query under its function's name (without ``_query``), and the names
+    ``also``, with its SQL if there is one."""
 
     def add(f):
-        name = f.__name__.removesuffix("_query")
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
+        for name in (f.__name__.removesuffix("_query"), *also):
+            QUERIES[name] = f
+            if sql is not None:
+                ORACLE_SQL[name] = sql
         return f
 
     return add

@@ -45,6 +45,6 @@ def test_every_sql_has_a_query():
 
 def test_audits_report(spark, sf):
     row = QUERIES["mia_audit"](spark, sf).first()
-    assert 0 <= row.mia_roc_auc <= 1 and row.mia_mode == "ci_lite" and row.shadow_models == 2 and row.mia_evidence == "no_holdout"
+    assert 0 <= row.mia_roc_auc <= 1 and row.mia_mode == "release" and row.shadow_models == 4 and row.mia_evidence == "no_holdout"
     row = QUERIES["utility_audit"](spark, sf).first()
     assert 0 <= row.trtr_auc <= 1 and 0 <= row.tstr_f1 <= 1

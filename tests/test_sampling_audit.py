@@ -136,10 +136,71 @@ def test_cells_leave_out_nothing(spark):
         for i, x, y, c in left:
             want = sorted(math.sqrt((z(x, fits["x"]) - z(u, fits["x"])) ** 2 + (z(y, fits["y"]) - z(v, fits["y"])) ** 2 + 2 * (c != d)) for j, u, v, d in b if not (self_too and i == j))[:k]
             assert got[i] == pytest.approx(want)
-    assert N.knn(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), "k", ["x"], ["c"]).count() == 0
+    alone = N.knn(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), "k", ["x"], ["c"]).collect()
+    assert len(alone) == 300 and all(r.near == [] for r in alone)
     assert N.knn(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "k", [], ["c"], 2).count() == 300
 
 
+def test_cells_of_several_levels(spark, monkeypatch):
+    """Trees of three leaves over samples of 40: cells are split five levels deep."""
+    import numpy as np
+
+    monkeypatch.setattr(N, "FAN", 3)
+    monkeypatch.setattr(N, "SAMPLE", 40)
+    depth, made = [], N.Cells.__init__
+    monkeypatch.setattr(N.Cells, "__init__", lambda self, *a: made(self, *a) or depth.append(len(self.levels)))
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.normal()) if i % 3 else 1.0, float(rng.exponential()), "ab"[i % 2]) for i in range(900)]
+    schema = "k long, x double, y double, c string"
+    df = spark.createDataFrame(rows, schema)
+    got = {r.k: r.near for r in N.knn(df, df, "k", ["x", "y"], ["c"], 3, True, block=5, cell_rows=4).collect()}
+    assert depth[0] >= 3 and len(got) == 900
+    fits = N.scaler(df, ["x", "y"])
+    p = np.array([[(r[1] - fits["x"][0]) / fits["x"][1], (r[2] - fits["y"][0]) / fits["y"][1]] for r in rows])
+    c = np.array([r[3] for r in rows])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2) + 2 * (c[:, None] != c[None]))
+    np.fill_diagonal(d, np.inf)
+    for i in range(900):
+        assert got[i] == pytest.approx(sorted(d[i])[:3])
+
+
+def test_every_left_row_comes_back_once(spark):
+    """Keys that repeat or are null belong to rows of their own; so do equal rows."""
+    schema = "k long, x double, c string"
+    left = spark.createDataFrame([(1, 0.0, "a"), (1, 10.0, "a"), (None, 20.0, "a"), (None, 30.0, "a"), (2, 30.0, "a"), (2, 30.0, "a")], schema)
+    right = spark.createDataFrame([(1, 1.0, "a"), (2, 12.0, "a"), (3, 33.0, "a")], schema)
+    sd = N.scaler(right, ["x"])["x"][1]
+    want = [(1, 1), (1, 2), (None, 3), (None, 8), (2, 3), (2, 3)]
+    got = [(r.k, round(r.near[0] * sd, 6)) for r in N.knn(left, right, "k", ["x"], ["c"]).collect()]
+    assert Counter(got) == Counter([(1, 1.0), (1, 2.0), (None, 8.0), (None, 3.0), (2, 3.0), (2, 3.0)]) and len(want) == len(got)
+    own = N.knn(left, left, "k", ["x"], ["c"], exclude_self=True).collect()
+    sd = N.scaler(left, ["x"])["x"][1]
+    assert Counter((r.k, round(r.near[0] * sd, 6)) for r in own) == Counter([(1, 10.0), (1, 10.0), (None, 10.0), (None, 0.0), (2, 0.0), (2, 0.0)])
+    both = N.knn(left.withColumn("g", F.lit(1)).unionByName(left.withColumn("g", F.lit(None).cast("int"))), right.withColumn("g", F.lit(None).cast("int")), "k", ["x"], ["c"], by="g").collect()
+    assert sum(r.near == [] for r in both) == 6 and all(bool(r.near) == (r.g is None) for r in both) and len(both) == 12
+
+
+def test_hot_points_and_equal_categories(spark):
+    """A third of the rows in one point, and categories alone, are few points with copies."""
+    df = spark.range(9000).selectExpr("id AS k", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS x", "CAST(id % 5 AS STRING) AS c")
+    near = N.knn(df, df, "k", [], ["c"], 4, True).collect()
+    assert len(near) == 9000 and all(r.near == [0.0] * 4 for r in near)
+    near = N.knn(df, df, "k", ["x"], [], 2, True, cell_rows=100).collect()
+    assert len(near) == 9000 and all((r.near == [0.0, 0.0]) == (r.k % 3 == 0) for r in near)
+
+
+def test_random_projections_find_nearly_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, *(float(v) for v in rng.normal(size=3)), "abcd"[i % 4]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, z double, c string")
+    args = ("k", ["x", "y", "z"], ["c"], 5)
+    exact, found = ({r.k: r.near for r in f(df.where("k < 500"), df.where("k >= 500"), *args).collect()} for f in (N.knn, N.knn_approximate))
+    assert len(found) == 500 and all(all(x >= y - 1e-9 for x, y in zip(found[k], exact[k])) for k in found)
+    assert sum(len(set(np.round(found[k], 9)) & set(np.round(exact[k], 9))) for k in exact) >= 0.9 * 2500
+
+
 def test_ranges_do_not_change_ranks(spark):
     df = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(10**6)))
     one = S.global_rank(df, [F.col("x"), F.col("id")], "r")
