@@ -7,13 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .boosting import ROUNDS, TRAIN_ROWS, fit_models, score_models
 from .metrics import average_precision, distance_summary, f1, mle_ratio, percentiles, roc_auc
 from .neighbors import knn, knn_features
 from .profile import active_columns, profile
@@ -173,34 +174,28 @@ def mia_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str
     )
 
 
-def _classifier(train: DataFrame, label: str, numeric: list[str], categorical: list[str], seed: int, rounds: int) -> PipelineModel:
-    index = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep") for c in categorical]
-    gather = VectorAssembler(inputCols=[*numeric, *(f"__{c}" for c in categorical)], outputCol="v", handleInvalid="keep")
-    trees = GBTClassifier(featuresCol="v", labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=seed, maxBins=256)
-    return Pipeline(stages=[*index, gather, trees]).fit(_in_large_parts(train))
-
-
 def _in_large_parts(rows: DataFrame) -> DataFrame:
     """Every round of a fit is a few jobs over all partitions; small ones only cost time."""
     return written(rows.repartition(max(1, math.ceil(rows.count() / PART_ROWS))), "training")
 
 
-def utility_scores(real: DataFrame, synthetic: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], seed: int = 42, rounds: int = 20) -> DataFrame:
+def utility_scores(real: DataFrame, synthetic: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], seed: int = 42, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``(source, label, score)``: the same real test rows scored by a model trained on
-    real and one trained on synthetic rows."""
+    real and one trained on synthetic rows. Each is leaf-wise boosted trees, fitted on at
+    most ``train_rows`` rows; all test rows are scored. Null numbers are 0."""
     keep = lambda d: d.select(key, F.col(label).cast("double").alias(label), *(F.col(c).cast("double").alias(c) for c in numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("__NULL__")).alias(c) for c in categorical)).fillna(0.0, numeric)
     parts = written(split_stratified(keep(real), key, label, 0.2, seed), "utility-split")
     train, test = parts.where("NOT in_test").drop("in_test"), parts.where("in_test").drop("in_test")
-    out = None
-    for name, rows in (("real", train), ("synthetic", keep(synthetic))):
-        got = _classifier(rows, label, numeric, categorical, seed, rounds).transform(test)
-        got = got.select(F.lit(name).alias("source"), F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    both = train.withColumn("__source", F.lit("real")).unionByName(keep(synthetic).withColumn("__source", F.lit("synthetic")))
+    models, tokens = fit_models(both, "__source", label, key, numeric, categorical, seed, rounds, train_rows)
+    return score_models(test, models, tokens, label, numeric, categorical)
 
 
-def utility_audit(real: DataFrame, synthetic: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], seed: int = 42, rounds: int = 20) -> DataFrame:
-    scores = written(utility_scores(real, synthetic, key, label, numeric, categorical, seed, rounds), "utility-scores")
+def utility_audit(real: DataFrame, synthetic: DataFrame, key: str, label: str, numeric: list[str] | None = None, categorical: list[str] | None = None, seed: int = 42, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """One row: area under the ROC curve and F1 of both models, their ratios, the verdict.
+    Columns not given are those that the real table's profile retains."""
+    numeric, categorical = _columns(real, synthetic, key, label, numeric, categorical)
+    scores = written(utility_scores(real, synthetic, key, label, numeric, categorical, seed, rounds, train_rows), "utility-scores")
     rows = [roc_auc(scores.where(F.col("source") == s), "score", "label").join(F.broadcast(f1(scores.where(F.col("source") == s), "score", "label"))) for s in ("real", "synthetic")]
     return mle_ratio(*rows)
 

@@ -97,5 +97,5 @@ def utility_audit_200(spark, sf_dir):
 @query()
 def full_audit(spark, sf_dir):
     df = _labelled(spark, sf_dir)
-    got = A.full_audit(df, _made(df).select(*df.columns), "doc_id", ["n_chars"], ["lang"], "quality", WHOLE)
+    got = A.full_audit(df, _made(df).select(*df.columns), "doc_id", label="quality", config=WHOLE)
     return got.select("overall_verdict", "privacy_approved", F.to_json(F.struct("dcr", "mia", "utility")).alias("report"))

@@ -47,16 +47,82 @@ def test_registered_attacks_see_all_rows(spark):
 def test_registered_audits_are_whole(spark, sf, monkeypatch):
     from tabloom.plans.registry import QUERIES
 
-    made, rounds = A._classifier, []
-    monkeypatch.setattr(A, "_classifier", lambda *a: rounds.append(a[-1]) or made(*a))
-    mia = json.loads(QUERIES["full_audit"](spark, sf).first().report)["mia"]
-    assert mia["mia_mode"] == "release" and mia["shadow_models"] == 4
+    made, rounds = A.fit_models, []
+    monkeypatch.setattr(A, "fit_models", lambda *a: rounds.append(a[7]) or made(*a))
+    report = json.loads(QUERIES["full_audit"](spark, sf).first().report)
+    assert report["mia"]["mia_mode"] == "release" and report["mia"]["shadow_models"] == 4 and 0 <= report["utility"]["tstr_auc"] <= 1
     QUERIES["utility_audit"](spark, sf)
-    assert rounds == [20] * 4
+    assert rounds == [200, 200]
     row = QUERIES["mia_audit_whole"](spark, sf).first()
     assert 0 <= row.mia_roc_auc <= 1 and row.mia_mode == "release" and row.shadow_models == 4
 
 
+def plain_trees(x, y, rounds, leaves, min_rows):
+    """The same trees without histograms: every cut of every leaf tried on its own rows."""
+    import numpy as np
+
+    from tabloom.operators.boosting import MIN_HESSIAN, RATE, edges
+
+    score, out = np.full(len(y), np.log(y.mean() / (1 - y.mean()))), []
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+        parts, splits = {0: np.arange(len(y))}, []
+
+        def best(own):
+            found = (0.0,)
+            for j in range(x.shape[1]):
+                for cut in edges(x[:, j]):
+                    up = x[own, j] > cut
+                    a, b = own[~up], own[up]
+                    if min(len(a), len(b)) >= min_rows and min(h[a].sum(), h[b].sum()) >= MIN_HESSIAN:
+                        gain = g[a].sum() ** 2 / h[a].sum() + g[b].sum() ** 2 / h[b].sum() - g[own].sum() ** 2 / h[own].sum()
+                        if gain > found[0] + 1e-10:
+                            found = (gain, j, cut)
+            return found
+
+        gains, n = {0: best(parts[0])}, 1
+        while len(parts) < leaves:
+            leaf = max(gains, key=lambda k: (gains[k][0], -k))
+            if not gains[leaf][0]:
+                break
+            _, j, cut = gains.pop(leaf)
+            own = parts.pop(leaf)
+            splits.append((leaf, j, round(float(cut), 9)))
+            for side in (x[own, j] <= cut, x[own, j] > cut):
+                parts[n] = own[side]
+                gains[n] = best(parts[n])
+                n += 1
+        for own in parts.values():
+            score[own] += RATE * g[own].sum() / h[own].sum()
+        out.append(sorted(splits))
+    return out, 1 / (1 + np.exp(-score))
+
+
+def test_trees_agree_with_a_plain_version():
+    import numpy as np
+
+    from tabloom.operators.boosting import fit
+
+    rng = np.random.default_rng(1)
+    x = np.c_[rng.normal(size=160).round(1), rng.integers(0, 4, 160), rng.exponential(size=160).round(1)]
+    y = (x[:, 0] + (x[:, 1] == 2) + rng.normal(0, 0.7, 160) > 0.6).astype(float)
+    got = fit(x, y, rounds=6, leaves=7, min_rows=8)
+    splits, score = plain_trees(x, y, 6, 7, 8)
+    mine = [sorted((n, int(f), round(float(c), 9)) for n, (f, c) in enumerate(zip(t[0], t[1])) if f >= 0) for t in got.trees]
+    assert mine == splits and got(x) == pytest.approx(score)
+    assert fit(x, np.ones(160), rounds=3)(x) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_utility_sees_what_a_table_tells(spark):
+    """A copy of the table teaches as much as the table; one with shuffled labels nothing."""
+    real = spark.range(3000).selectExpr("id AS k", "CAST(pmod(xxhash64(id), 1000) AS DOUBLE) AS x", "CAST(id % 5 AS STRING) AS c").selectExpr("*", "CAST((x > 500) = (c IN ('1', '2')) AS INT) AS y")
+    good = A.utility_audit(real, real, "k", "y", ["x"], ["c"]).first()
+    assert good.trtr_auc > 0.99 and good.tstr_auc > 0.99 and good.approved
+    bad = A.utility_audit(real, real.withColumn("y", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(2))), "k", "y", ["x"], ["c"], train_rows=500).first()
+    assert bad.trtr_auc > 0.9 and bad.tstr_auc < 0.7 and not bad.approved
+
+
 def test_bound_is_on_what_the_attack_learns_from(spark):
     real = spark.range(40).selectExpr("id AS k", "id * 3 AS age", "CASE WHEN id % 2 = 0 THEN 'M' ELSE 'F' END AS sex")
     other = real.selectExpr("k + 100 AS k", "age + 1 AS age", "sex")
