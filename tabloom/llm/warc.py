@@ -56,22 +56,22 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
 def derive_one(source_id: str, uri: str, date: str, block: bytes, source_digest: str | None) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, headers, body = read_response(block)
-    root = parse(decoded(headers, body))
-    links, title, stack = [], "", [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("a", "area", "link", "img", "script", "iframe"):
-            a = attributes(node)
-            links += [{"path": f"{node.tag}@/{k}", "url": a[k]} for k in ("href", "src") if a.get(k)][:1]
-        if node.tag == "title" and not title:
-            title = " ".join(unescape("".join(k for k in node.kids if isinstance(k, str))).split())
-        stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
+    dom = parse([decoded(headers, body)])
+    names, links, title = list(dom.names), [], None
+    for node, tag in enumerate(dom.tag):
+        if names[tag] in ("a", "area", "link", "img", "script", "iframe"):
+            a = attributes(dom, node)
+            links += [{"path": f"{names[tag]}@/{k}", "url": a[k]} for k in ("href", "src") if a.get(k)][:1]
+        if names[tag] == "title" and not title:
+            own = range(dom.text_at[node], len(dom.owner) if node + 1 == len(dom.tag) else dom.text_at[node + 1])
+            title = " ".join(unescape("".join(dom.source[dom.text_start[i] : dom.text_end[i]] for i in own if dom.owner[i] == node)).split())
+    title = title or ""
     block_sum, payload_sum = digest(block), digest(body)
     envelope = {
         "status": status, "headers": headers, "length": len(block), "payload_length": len(body), "block_digest": block_sum, "payload_digest": payload_sum,
         "digest_matches": None if not source_digest else source_digest == block_sum, "title": title, "links": links,
     }
-    texts = (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", "\n".join(blocks_of(root))))
+    texts = (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", "\n".join(blocks_of(dom)[0])))
     out = []
     for kind, content_type, text in texts:
         data = text.encode()

@@ -33,16 +33,63 @@ def test_extract_article_of_every_page(spark, sf, trees):
 
 
 def test_held_out_layouts(trees):
-    make, right, n = html_main._Layouts(77), 0, 0
-    for _ in range(150):
-        page, labels = html_main.labelled(make.page())
-        facts = html_main.survey(html_main.parse(page))
-        keep, order = html_main.decode(facts, trees(html_main.features(facts))), html_main._tag_order(facts)
-        for i, f in enumerate(facts):
-            if i in order and f.node.tag in html_main.BLOCK and f.own and labels[order[i]] < 2:
-                right, n = right + (keep[i] == bool(labels[order[i]])), n + 1
-            assert keep[i] <= (i == 0 or keep[f.parent])  # nothing is kept under a rejected node
-    assert right / n > 0.97
+    make = html_main._Layouts(77)
+    survey, labels = html_main.labelled_survey([make.page() for _ in range(150)])
+    keep = html_main.decode(survey, trees)
+    rows = np.flatnonzero(survey.judged & (survey.own > 0) & (labels < 2))
+    assert (keep[rows] == labels[rows]).mean() > 0.97
+    assert not (keep & ~keep[survey.parent]).any()  # nothing is kept under a rejected element
+
+
+class OtherGrammar:
+    """Pages of another kind than those learned from: nested boxes named by block and
+    element, several columns, other wordings, adverts by data attributes and networks."""
+
+    def __init__(self, seed):
+        import random
+
+        self.r = random.Random(seed)
+
+    def text(self, n):
+        return " ".join(self.r.choice("It was seen that many people of the town had come by train, and some on foot; nobody knew why.".split()) for _ in range(self.r.randint(2, n))) + "."
+
+    def page(self):
+        r, t = self.r, self.text
+        keep, gone = (lambda x: f"<!--a-->{x}<!--b-->"), (lambda x: f"<!--x-->{x}<!--y-->")
+        nav = f'<div class="{r.choice(["l-header__nav", "main-navigation", "globalNav", "menu-primary"])}"><ul>' + "".join(f'<li class="item-{i}"><a href="/{i}">{t(3)}</a></li>' for i in range(r.randint(3, 8))) + "</ul></div>"
+        ad = lambda: r.choice(['<div class="c-ad__slot" data-ad-unit="7">{}</div>', '<ins class="adsbygoogle">{}</ins>', '<div id="dfp-ad-3">{}</div>', '<div class="sponsored-links"><p>{}</p></div>', '<aside class="promoBox">{}</aside>']).format(t(20))
+        paragraphs = [f'<p class="{r.choice(["article__paragraph", "para", "has-drop-cap", ""])}">{t(60)}</p>' for _ in range(r.randint(3, 9))]
+        paragraphs.insert(1, f'<h2 id="{r.choice(["legal-questions", "the-side-road", "notice-of-change", "form-and-style"])}">{t(6)}</h2>')
+        paragraphs.insert(2, f'<section class="{r.choice(["menu-of-the-day", "social-history", "search-and-find", "header-text"])}"><p>{t(50)}</p><p>{t(40)}</p></section>')
+        if r.random() < 0.5:
+            paragraphs.insert(r.randint(1, len(paragraphs)), gone(ad()))
+        body = keep(r.choice(['<div class="article__body">{}</div>', '<div class="post-content">{}</div>', "<article>{}</article>", '<main id="main-content"><div class="entry">{}</div></main>']).format(f"<h1>{t(8)}</h1>" + "".join(paragraphs)))
+        side = gone(f'<div class="{r.choice(["l-sidebar", "sidebar-right", "rightRail", "widget-area"])}"><h3>{t(3)}</h3><ul>' + "".join(f'<li><a href="/x{i}">{t(6)}</a></li>' for i in range(4)) + "</ul></div>")
+        end = gone(f'<div class="{r.choice(["l-footer", "site-footer", "footerMain"])}"><p>{t(12)}</p></div>')
+        extra = gone(r.choice([f'<div class="cookie-banner__inner"><p>{t(30)}</p><button>OK</button></div>', f'<div class="newsletterSignup"><p>{t(20)}</p><form><input name="e"></form></div>', ad()]))
+        says = gone('<div class="comments-area">' + "".join(f'<div class="comment__item"><p>{t(30)}</p></div>' for _ in range(r.randint(1, 4))) + "</div>")
+        return f'<html><body><div class="layout"><div class="row">{gone(nav)}</div>{extra}<div class="columns">{body}{side}</div>{says if r.random() < 0.5 else ""}{end}</div></body></html>'
+
+
+def test_another_grammar(trees):
+    make = OtherGrammar(5)
+    survey, labels = html_main.labelled_survey([make.page() for _ in range(150)])
+    keep = html_main.decode(survey, trees)
+    rows = np.flatnonzero(~survey.hidden & (survey.own > 0) & (labels < 2))
+    assert (keep[rows] == labels[rows]).mean() > 0.97
+
+
+ARTICLES = [
+    ('<h1>Title</h1><section class="side-effects"><p>Most people who take it sleep well, but some report headaches.</p><p>Tell your doctor.</p></section><p>More text follows here.</p>', "Title\nMost people who take it sleep well, but some report headaches.\nTell your doctor.\nMore text follows here."),
+    ('<div class="search-and-rescue"><p>The search and rescue team went out at dawn, and came back.</p></div>', "The search and rescue team went out at dawn, and came back."),
+    ('<p>This is <span class="text-legal">the legal side</span> of the <em id="social">social</em> matter, and it goes on.</p>', "This is the legal side of the social matter, and it goes on."),
+    ('<p>Real text of the article stands here, and it is long.</p><ins class="adsbygoogle">Buy now at the shop</ins><div class="dfp-slot">Cheap flights here</div><p>More <span class="advertorial-slot">great offers</span> text <span data-ad="1">click this</span> here.</p>', "Real text of the article stands here, and it is long.\nMore text here."),
+]
+
+
+@pytest.mark.parametrize(("article", "text"), ARTICLES)
+def test_names_are_weighed_not_listed(trees, article, text):
+    assert html_main.main_text(f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article>{article}</article><footer>About us</footer></body>", trees) == text
 
 
 def test_page_parts_are_left_out(trees):
@@ -62,12 +109,29 @@ def test_extract_edges(spark, trees):
     assert html_main.extract(spark.createDataFrame([], PAGES), model=trees).count() == 0
 
 
-@pytest.mark.parametrize("part", ["<div ", "</div>", '<a ="x>" ', "<!x ", "<p><td><h1>", "<b><li>", "<div a", "&amp;<b>"])
+HOSTILE = ["<div ", "</div>", '<a ="x>', "<!x ", "<p><td><h1>", "<b><li>", "<div a", "&amp;<b>", "<div>", "<b>x", "<p>x", "<b class=x>y"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
 def test_hostile_pages_take_linear_time(trees, part):
-    page = part * (5_000_000 // len(part)) if "<b>" not in part and "<p>" not in part else part * 20_000
-    began = time.perf_counter()
-    html_main.main_text(page, trees)
-    assert time.perf_counter() - began < 5
+    """Five million characters of each; seconds are counted in turns of a loop, so that a
+    slow or busy machine says nothing."""
+
+    def took(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    turn = min(took(lambda: sum(range(1_000_000))) for _ in range(5)) / 0.02
+    assert took(lambda: html_main.main_text(part * (5_000_000 // len(part)), trees)) < 10 * turn
+
+
+def test_hostile_pages_fit_into_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource; from tabloom.llm import html_main as h; m = h.fit(8)\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nfor p in ('<div>', '<p>x', '<b>x'): h.main_text(p * (5_000_000 // len(p)), m)\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.getcwd()).stdout.split()[-1]) < 500
 
 
 def test_inline_and_custom_parts_are_left_out(trees):
