@@ -21,6 +21,7 @@ TREES, DEPTH, BINS, RATE = 160, 5, 32, 0.12
 TOKENS = 1 << 18
 BATCH_CHARS = 1 << 19
 ROWS = 1 << 16
+AGAINST = -1.0
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,7 +262,8 @@ class Survey:
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         self.same[kids] = count[inverse]
         self.named, self.tokens = self._tokens()
-        self.judged = ~self.hidden & (self.chars > 0) & (dom.tags_in(BLOCK) | self.named)
+        self.blocks = dom.tags_in(BLOCK)
+        self.judged = ~self.hidden & (self.chars > 0) & (self.blocks | self.named)
 
     def _texts(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """Characters that are no white space, words, and stops and commas of each text."""
@@ -292,6 +294,11 @@ class Survey:
         named[list(found)] = True
         return named, found
 
+    def weigh(self, weights: np.ndarray) -> None:
+        """Takes the weights of tokens: an inline element is judged only if one of its own
+        speaks against it, and follows the text it stands in otherwise."""
+        self.judged &= self.blocks | (self._weighed(weights)[0] < AGAINST)
+
     def features(self, weights: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         """Columns of ``rows``: density, links, attribute tokens, depth, siblings, place, tag."""
         low, high, total = self._weighed(weights)
@@ -391,8 +398,9 @@ def decode(survey: Survey, model: Boosted) -> np.ndarray:
     An element kept is worth its logit, one rejected nothing; the value of a kept subtree
     is its own logit and the positive values of its children. Top down, a child stays if
     its parent does and its value is positive. Elements that are not judged (inline ones
-    without a name, and what holds no text) follow their parent.
+    that no name speaks against, and what holds no text) follow their parent.
     """
+    survey.weigh(model.weights)
     n = len(survey.parent)
     judged = np.flatnonzero(survey.judged)
     logit = np.zeros(n)
@@ -493,8 +501,8 @@ class _Layouts:
         r = self.r
         if r.random() > often:
             return ""
-        if kind not in ("content",) and r.random() < 0.08:
-            w = r.choice(NAMES[kind]).split("-")[0]
+        if kind != "content" and r.random() < 0.1:
+            w = r.choice([kind, r.choice(NAMES[kind]).split("-")[0]])
             return r.choice([f' data-{w}="1"', f' data-{w}-{r.choice(["slot", "id", "unit"])}="{r.randint(1, 99)}"', f' data-widget-{w}="x"'])
         return f' {r.choice(["class", "class", "id"])}="{r.choice(["", "", "", "x "])}{self.word(kind)}"'
 
@@ -517,7 +525,9 @@ class _Layouts:
     def mention(self) -> str:
         """An inline element of a sentence: emphasis, a term, a link, whatever it is called."""
         r = self.r
-        tag = r.choice(["em", "em", "i", "b", "strong", "cite", "code", "mark", "abbr", "q", "span", "span", "span", "a", "sup"])
+        if r.random() < 0.25:
+            return f'<a{r.choice(["", self.matter(), self.matter()])} href="/x">{self.text(1, 4)}</a>'
+        tag = r.choice(["em", "em", "i", "b", "strong", "cite", "code", "mark", "abbr", "q", "span", "span", "span", "sup"])
         own = f' {r.choice(["class", "id"])}="{r.choice(DOUBLE)}"' if tag not in ("span", "a") and r.random() < 0.5 else self.matter()
         return f"<{tag}{own}>{self.text(1, r.choice([2, 4, 12]))}</{tag}>"
 
@@ -546,7 +556,7 @@ class _Layouts:
 
     def content(self) -> str:
         r, t = self.r, self.text
-        kinds = r.choices(["p", "p", "p", "p", "p", "p", "h2", "ul", "quote", "pre", "table", "bold", "named", "named", "part", "part", "part"], k=r.choice([0, 0, 1, 1, 2, 3, 5, 9, 20]))
+        kinds = r.choices(["p", "p", "p", "p", "p", "p", "h2", "ul", "quote", "pre", "table", "bold", "named", "named", "named", "named", "part", "part", "part"], k=r.choice([0, 0, 1, 1, 2, 3, 5, 9, 20]))
         own = lambda: self.matter() if r.random() < 0.3 else ""
         make = {
             "p": lambda: f"<p{own()}>{t(1, 90)}</p>", "h2": lambda: f"<h2{own()}>{t(1, 8)}</h2>", "ul": lambda: f"<ul{own()}>" + "".join(f"<li>{t(2, 20)}</li>" for _ in range(4)) + "</ul>",
@@ -613,9 +623,10 @@ def fit(pages: int = TRAIN_PAGES, seed: int = 11) -> Boosted:
     know how far to trust them."""
     make = _Layouts(seed)
     made = [make.page() for _ in range(pages)]
-    survey, labels = labelled_survey(made[: pages // 2])
+    survey, labels = labelled_survey(made[: pages * 5 // 8])
     weights = token_weights([(t, int(labels[i])) for i, t in survey.tokens.items() if labels[i] < 2 and survey.judged[i]])
-    survey, labels = labelled_survey(made[pages // 2 :])
+    survey, labels = labelled_survey(made[pages * 5 // 8 :])
+    survey.weigh(weights)
     rows = np.flatnonzero(survey.judged & (labels < 2))
     columns = survey.features(weights, rows)
     base, trees = boost(columns, labels[rows].astype(np.float64))
