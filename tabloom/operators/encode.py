@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +204,26 @@ def with_one_hot(df: DataFrame, vocabulary: DataFrame, column: str, out: str) ->
     return got.withColumn(out, places).drop("__place")
 
 
+def with_sparse(df: DataFrame, vocabulary: DataFrame, column: str, out: str) -> DataFrame:
+    """The same as a sparse vector of one place, for the stages of ``pyspark.ml``: a row's
+    memory does not depend on the vocabulary. The length is the number of fitted tokens;
+    a token that was not seen is a vector of zeros."""
+    n = vocabulary.where((F.col("column_name") == column) & (F.col("idx") > 1)).count()
+    places = df.sparkSession.createDataFrame([(float(max(n - 1, 0)),)], "__place double")  # the encoder learns its length alone
+    encoder = OneHotEncoder(inputCol="__place", outputCol=out, handleInvalid="keep").fit(places)
+    place = F.when(F.col("__no") > 1, F.col("__no") - 2).otherwise(n + 1)
+    return encoder.transform(encode_category(df, vocabulary, column, "__no").withColumn("__place", place.cast("double"))).drop("__no", "__place")
+
+
+def sparse_features(df: DataFrame, vocabulary: DataFrame, numeric: list[str], categorical: list[str], out: str = "features") -> DataFrame:
+    """``out``: numbers and one-hot places as one vector, sparse where that is smaller."""
+    rows = df
+    for i, c in enumerate(categorical):
+        rows = with_sparse(rows, vocabulary, c, f"__v{i}")
+    parts = [*numeric, *(f"__v{i}" for i in range(len(categorical)))]
+    return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(rows).drop(*(f"__v{i}" for i in range(len(categorical))))
+
+
 def embedding_width(cardinality: int, rule: str = "log") -> int:
     """Width of a category's slice: by logarithm, or by the power rule up to 50."""
     if rule == "log":

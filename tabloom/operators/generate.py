@@ -7,8 +7,6 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +102,7 @@ def _wide_moments(df: DataFrame, col: str, width: int) -> DataFrame:
 
 def fit(df: DataFrame, key: str, columns: list[str], seed: int = 0, q: int = 200, components: int = 1) -> Generator:
     """Fits the marginals and the scores' covariance, or a mixture of ``components``
-    Gaussians. Rare categories keep intervals of their own."""
+    Gaussians, to all rows, whatever is missing of them. Rare categories keep intervals of their own."""
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
     numeric = [c for c in columns if types[c] in (*INTEGERS, "float", "double", *TIMES)]
     numbers = df.select(*(_number(c, types[c]).alias(c) for c in numeric))
@@ -129,13 +127,85 @@ def fit(df: DataFrame, key: str, columns: list[str], seed: int = 0, q: int = 200
         cov[r.i, r.j] = cov[r.j, r.i] = r["cov"] or 0.0
     weights, means, covs = np.ones(1), mean[None], cov[None]
     if components > 1:
-        full = F.array(*(F.coalesce(F.col("z")[i], F.lit(float(mean[i]))) for i in range(d)))
-        mixture = GaussianMixture(k=components, seed=seed, featuresCol="v").fit(scored.select(array_to_vector(full).alias("v")))
-        parts = mixture.gaussiansDF.collect()  # one row a component
-        weights, means, covs = np.array(mixture.weights), np.array([r.mean.toArray() for r in parts]), np.array([r["cov"].toArray() for r in parts])
+        weights, means, covs, _ = fit_mixture(scored, "z", d, components, seed)
     return replace(model, weights=weights, means=means, covs=covs + RIDGE * np.eye(d))
 
 
+def _expect(weights: np.ndarray, means: np.ndarray, covs: np.ndarray):
+    """Sums of a task over its rows for one step of expectation and maximisation with
+    missing values: of each component, the shares of rows, and the first and second moments
+    of what is known and what is expected of the rest, solved once a pattern of gaps."""
+    k, d = means.shape
+
+    def run(batches):
+        total, share, first, second = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+        for b in batches:
+            z = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            gaps = np.isnan(z)
+            for pattern in np.unique(gaps, axis=0) if len(z) else ():
+                x, u, o = z[(gaps == pattern).all(1)], np.flatnonzero(pattern), np.flatnonzero(~pattern)
+                fit, filled = np.empty((k, len(x))), np.empty((k, len(x), d))
+                for c in range(k):
+                    lower = np.linalg.cholesky(covs[c][np.ix_(o, o)])
+                    t = np.linalg.solve(lower, (x[:, o] - means[c][o]).T)
+                    fit[c] = np.log(max(weights[c], 1e-300)) - (t**2).sum(0) / 2 - np.log(np.diag(lower)).sum() - len(o) / 2 * np.log(2 * np.pi)
+                    filled[c][:, o] = x[:, o]
+                    filled[c][:, u] = means[c][u] + (x[:, o] - means[c][o]) @ np.linalg.solve(covs[c][np.ix_(o, o)], covs[c][np.ix_(o, u)])
+                top = fit.max(0)
+                p = np.exp(fit - top)
+                total += float((np.log(p.sum(0)) + top).sum())
+                p /= p.sum(0)
+                for c in range(k):
+                    share[c] += p[c].sum()
+                    first[c] += p[c] @ filled[c]
+                    second[c] += (filled[c] * p[c][:, None]).T @ filled[c]
+                    rest = covs[c][np.ix_(u, u)] - covs[c][np.ix_(u, o)] @ np.linalg.solve(covs[c][np.ix_(o, o)], covs[c][np.ix_(o, u)])
+                    second[c][np.ix_(u, u)] += p[c].sum() * rest
+        flat = np.concatenate([[total], share, first.ravel(), second.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
+
+    return run
+
+
+def fit_mixture(scored: DataFrame, col: str, d: int, k: int, seed: int, steps: int = 60, tolerance: float = 1e-5, start_rows: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Weights, means and covariances of ``k`` Gaussians of an array column with nulls, and
+    the log-likelihood of each step, which never falls.
+
+    A row counts with what it has, by its conditional expectation in each component, so
+    gaps are neither dropped nor filled with means. A step is one pass: tasks send sums of
+    ``k * d * d`` numbers. It starts from means far apart among ``start_rows`` rows with the
+    least hashes (gaps as means), and ends when the likelihood gains less than
+    ``tolerance`` of itself. Rows without any known place say nothing."""
+    known = scored.where(F.exists(col, lambda x: x.isNotNull())).select(F.transform(F.col(col), lambda x: x.cast("double")).alias("z"))
+    rows = np.array([[np.nan if v is None else v for v in r.z] for r in known.orderBy(F.xxhash64("z", F.lit(seed)), "z").limit(start_rows).collect()], np.float64).reshape(-1, d)
+    middle = np.array([np.nanmean(x) if (~np.isnan(x)).any() else 0.0 for x in rows.T])
+    rows = np.where(np.isnan(rows), middle, rows)
+    chosen = [rows[((rows - rows.mean(0)) ** 2).sum(1).argmin()]] if len(rows) else [np.zeros(d)] * k
+    for _ in range(len(chosen), k):
+        chosen.append(rows[np.min([((rows - c) ** 2).sum(1) for c in chosen], axis=0).argmax()])
+    means = np.array(chosen)
+    for _ in range(10):  # whole groups of the start rows instead of single ones
+        own = ((rows[:, None] - means[None]) ** 2).sum(2).argmin(1) if len(rows) else np.zeros(0, int)
+        means = np.array([rows[own == c].mean(0) if (own == c).any() else means[c] for c in range(k)])
+    weights, covs = np.full(k, 1 / k), np.repeat((np.cov(rows.T, bias=True).reshape(d, d) / k + 1e-2 * np.eye(d) if len(rows) > 1 else np.eye(d))[None], k, 0)
+    seen: list[float] = []
+    for _ in range(steps if len(rows) else 0):
+        got = known.mapInArrow(_expect(weights, means, covs), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        flat = np.array([r.v for r in sorted(got, key=lambda r: r.i)])
+        share, first, second = flat[1 : k + 1], flat[k + 1 : k + 1 + k * d].reshape(k, d), flat[k + 1 + k * d :].reshape(k, d, d)
+        if seen and flat[0] - seen[-1] < tolerance * abs(seen[-1]):
+            seen.append(float(flat[0]))
+            break
+        seen.append(float(flat[0]))
+        kept = share > 1e-9
+        weights = share / share.sum()
+        means[kept] = first[kept] / share[kept, None]
+        for c in np.flatnonzero(kept):
+            cov = second[c] / share[c] - np.outer(means[c], means[c])
+            covs[c] = (cov + cov.T) / 2 + RIDGE * np.eye(d)
+    return weights, means, covs, seen
+
+
 def decode(df: DataFrame, model: Generator, z: str) -> DataFrame:
     """Cells from normal scores, in the types of the fitted table."""
     step = df.withColumns({f"__u_{c}": F.col(z)[i] for i, c in enumerate(model.columns)})

@@ -139,6 +139,29 @@ def kde(df: DataFrame, col: str, low: float, high: float, points: int) -> DataFr
     return each.groupBy("g").agg(F.first("at").alias("at"), (F.sum(bump) / (n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
+def kde_binned(df: DataFrame, col: str, low: float, high: float, points: int, per_width: int = 64) -> DataFrame:
+    """``kde`` by linear binning: each value is shared out to the two nearest of bins
+    ``per_width`` to a bandwidth, and the kernel is summed over the bins that are not empty.
+
+    The work is in proportion to the rows, plus grid points times bins. A density differs
+    from ``kde`` by at most ``0.4 / (8 * per_width ** 2)`` over the bandwidth, which is a
+    32,000th of the kernel's height at 64 bins. Nulls count for nothing; no row gives zeros."""
+    x = F.col(col).cast("double")
+    stats = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("s")).first()
+    n, h = stats.n, (stats.s or 1.0) * max(stats.n, 1) ** -0.2
+    step = h / per_width
+    place = (x - low) / step
+    bins = df.where(x.isNotNull()).select(F.floor(place).alias("i"), (place - F.floor(place)).alias("w"))
+    bins = bins.groupBy("i").agg(F.sum(1 - F.col("w")).alias("a"), F.sum("w").alias("b"))
+    grid = F.array(*(F.lit(low + (high - low) * i / (points - 1)) for i in range(points)))
+    each = bins.select("*", F.posexplode(grid).alias("g", "at"))
+    bump = lambda i: F.exp(-F.pow((F.col("at") - low - i * step) / h, 2) / 2)
+    total = F.sum(F.col("a") * bump(F.col("i")) + F.col("b") * bump(F.col("i") + 1))
+    found = each.groupBy("g").agg((total / (max(n, 1) * h * math.sqrt(2 * math.pi))).alias("density"))
+    places = df.sparkSession.createDataFrame([(i, low + (high - low) * i / (points - 1)) for i in range(points)], "g int, at double")
+    return places.join(found, "g", "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+
+
 def mle_ratio(real: DataFrame, synthetic: DataFrame, minimum: float = 0.90) -> DataFrame:
     """Ratios of two one-row tables ``(auc, f1)`` and the verdict on the first."""
     a = real.select(F.col("auc").alias("trtr_auc"), F.col("f1").alias("trtr_f1"))

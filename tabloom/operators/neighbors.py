@@ -14,6 +14,7 @@ from .metrics import percentiles
 BLOCK = 4096
 LEFT_ROWS = 4096
 CELL_ROWS, FAN, SAMPLE = 4096, 1024, 16384
+CODEBOOK = 4096
 BOTH = "both"
 CUTS = "top int, cuts array<struct<dim:int,cut:double,under:int,over:int>>"
 NEAR = "array<struct<d:double,id:bigint,m:int>>"
@@ -254,7 +255,10 @@ def _nearest(k: int, exclude_self: bool):
                 bound = np.sqrt(np.partition(first, k_here - 1, axis=1)[:, k_here - 1].max()) * (1 + 1e-9) + 1e-12
                 lo, hi = int(np.searchsorted(line, left_end - bound)), int(np.searchsorted(line, right_end + bound, side="right"))
             d = distances(rows, lo, hi)
-            at_k = np.argpartition(d, k_here - 1, axis=1)[:, :k_here] if k_here < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            if k_here == 1:  # of equal ones the least id
+                at_k = np.where(d == d.min(1)[:, None], ids[lo:hi], np.iinfo(np.int64).max).argmin(1)[:, None]
+            else:
+                at_k = np.argpartition(d, k_here - 1, axis=1)[:, :k_here] if k_here < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
             d = np.take_along_axis(d, at_k, 1)
             m = copies[lo + at_k] - (d == 0) * exclude_self  # the point of the row itself has a copy less
             ds[rows], ns[rows], ms[rows] = np.where(m > 0, np.sqrt(d), np.inf), ids[lo + at_k], np.minimum(m, k)
@@ -276,8 +280,24 @@ def _compare(rows: DataFrame, points: DataFrame, sizes: DataFrame, k: int, exclu
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int") if one else F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sent = rows.join(parts, "cell").withColumn("part", part).drop("parts")
     near = _meet(sent.select("cell", "part", "id", "z", "cat", "cost"), blocks.select("cell", "part", "id", "z", "cat", "m"), ["cell", "part"], _nearest(k, exclude_self), f"id long, near {NEAR}", work, name)
-    merged = near.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-    return merged.select("id", F.slice(F.flatten(F.transform("near", lambda x: F.array_repeat(x["d"], x["m"]))), 1, k).alias("near"))
+    return near.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + exclude_self).alias("near"))
+
+
+def _expanded(found: DataFrame, k: int) -> DataFrame:
+    """Distances alone, those of points as often as they have copies."""
+    return found.select("id", F.slice(F.flatten(F.transform("near", lambda x: F.array_repeat(x["d"], x["m"]))), 1, k).alias("near"))
+
+
+def _search(rows: DataFrame, cells: Cells, k: int, exclude_self: bool, block: int, work: Workspace) -> DataFrame:
+    """The nearest points of ``rows``, exactly: bounds from the nearest cells first, where
+    there are several."""
+    if cells.levels:
+        rows = work.table(rows, "search")
+        first = _expanded(_compare(cells.visits(rows, "first", False), cells.points, cells.sizes, k, exclude_self, block, work, "bounds", one=True), k)
+        infinite = F.lit(float("inf"))
+        bound = work.table(first.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)).otherwise(infinite).alias("bound")), "bound")
+        rows = cells.visits(rows.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", infinite)), "second", True)
+    return _compare(rows, cells.points, cells.sizes, k, exclude_self, block, work, "near")
 
 
 def _sides(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], exclude_self: bool, fit, by: str | None, work: Workspace):
@@ -321,13 +341,7 @@ def knn(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categor
     work = Workspace(left.sparkSession, "knn")
     a, rows, points = _sides(left, right, key, numeric, categorical, exclude_self, fit, by, work)
     cells = Cells(points, len(numeric), cell_rows, work)
-    if cells.levels:
-        rows = work.table(rows, "rows")
-        first = _compare(cells.visits(rows, "first", False), cells.points, cells.sizes, k, exclude_self, block, work, "bounds", one=True)
-        infinite = F.lit(float("inf"))
-        bound = work.table(first.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)).otherwise(infinite).alias("bound")), "bound")
-        rows = cells.visits(rows.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", infinite)), "second", True)
-    return _keyed(a, _compare(rows, cells.points, cells.sizes, k, exclude_self, block, work, "near"), key, by)
+    return _keyed(a, _expanded(_search(rows, cells, k, exclude_self, block, work), k), key, by)
 
 
 def knn_approximate(left: DataFrame, right: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int = 1, exclude_self: bool = False, fit: DataFrame | str | None = None, block: int = BLOCK, by: str | None = None, tables: int = 4, projections: int = 2, bucket_rows: int = 512, seed: int = 42) -> DataFrame:
@@ -388,7 +402,7 @@ def knn_approximate(left: DataFrame, right: DataFrame, key: str, numeric: list[s
     ask = rows.select("cell", "id", "z", "cat", "cost").mapInArrow(buckets((-1, 0, 1), ["id", "z", "cat", "cost"]), "cell string, id long, z array<double>, cat array<bigint>, cost array<double>")
     put = work.table(put, "put")
     sizes = work.table(put.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    return _keyed(a, _compare(ask, put, sizes, k, exclude_self, block, work, "near"), key, by)
+    return _keyed(a, _expanded(_compare(ask, put, sizes, k, exclude_self, block, work, "near"), k), key, by)
 
 
 def knn_features(left: DataFrame, generated: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int, by: str | None = None) -> DataFrame:
@@ -401,18 +415,52 @@ def knn_features(left: DataFrame, generated: DataFrame, key: str, numeric: list[
     return out.withColumn("d_std", sd).withColumn("d_ratio", F.col("d_min") / F.greatest(F.col("d_mean"), F.lit(1e-8))).drop("near")
 
 
-def nearest_code(df: DataFrame, vector: str, codebook: DataFrame, offset: int = 0, width: int | None = None) -> DataFrame:
+def nearest_code(df: DataFrame, vector: str, codebook: DataFrame, offset: int = 0, width: int | None = None, most: int = CODEBOOK, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``code`` and ``code_distance``: the nearest vector of a codebook (``idx, vector``) to
-    a slice of each row's vector; the lowest index wins ties. A codebook holds at most
-    4096 vectors, so it goes along as a constant; a longer one is an error."""
-    rows = codebook.orderBy("idx").limit(CODEBOOK + 1).collect()
-    if not rows or len(rows) > CODEBOOK:
-        raise ValueError(f"a codebook has 1 to {CODEBOOK} vectors")
-    books = F.array(*(F.struct(F.lit(r["idx"]).cast("bigint").alias("idx"), F.array(*(F.lit(float(x)) for x in r["vector"])).alias("v")) for r in rows))
-    own = F.slice(F.col(vector).cast("array<double>"), offset + 1, width or len(rows[0]["vector"]))
-    gap = lambda b: F.aggregate(F.zip_with(own, b["v"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform(books, lambda b: F.struct(F.sqrt(gap(b)).alias("d"), b["idx"].alias("idx"))))
-    return df.withColumn("__best", best).withColumn("code", F.col("__best.idx")).withColumn("code_distance", F.col("__best.d")).drop("__best")
+    a slice of each row's vector; the lowest index wins ties. A null vector has neither.
+
+    A codebook of up to ``most`` vectors goes along as one matrix. A longer one of any
+    size is joined by cells of k-d trees, as in ``knn``; both are exact. An empty one is
+    an error."""
+    rows = codebook.orderBy("idx").limit(most + 1).collect()
+    if not rows:
+        raise ValueError("a codebook has at least one vector")
+    d = width or len(rows[0]["vector"])
+    own = F.slice(F.col(vector).cast("array<double>"), offset + 1, d)
+    if len(rows) <= most:
+        found = F.arrow_udf(_codes(np.array([r["idx"] for r in rows]), np.array([r["vector"] for r in rows], np.float64)), "struct<code:bigint,d:double>")
+        return df.withColumn("__best", found(own)).withColumn("code", F.col("__best.code")).withColumn("code_distance", F.col("__best.d")).drop("__best")
+    work = Workspace(df.sparkSession, "codes")
+    none, left = F.array().cast("array<bigint>"), work.table(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    points = work.table(codebook.select(F.lit("0").alias("cell"), F.col("idx").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("z"), none.alias("cat"), F.lit(1).alias("m")), "codes")
+    asked = left.where(own.isNotNull()).select(F.lit("0").alias("cell"), F.col("__row").alias("id"), own.alias("z"), none.alias("cat"), F.array().cast("array<double>").alias("cost"))
+    best = work.table(_search(work.table(asked, "asked"), Cells(points, d, cell_rows, work), 1, False, block, work).select(F.col("id").alias("__row"), F.get("near", 0).alias("__best")), "best")
+    return left.join(best, "__row", "left").withColumn("code", F.col("__best.id")).withColumn("code_distance", F.col("__best.d")).drop("__row", "__best")
+
+
+def _codes(idx: np.ndarray, book: np.ndarray):
+    """The nearest row of a matrix: by products first, then exactly among those that
+    rounding cannot tell apart; the matrix is in the order of its indexes."""
+    square = (book**2).sum(1)
+
+    def run(own: pa.Array) -> pa.Array:
+        known = own.is_valid().to_numpy(zero_copy_only=False)
+        x = _matrix(own.filter(pa.array(known)), np.float64)
+        code, dist = np.zeros(len(own), np.int64), np.zeros(len(own))
+        at_known = np.flatnonzero(known)
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024]
+            near = square[None, :] - 2 * part @ book.T
+            slack = 1e-9 * (1 + (part**2).sum(1) + square.max())
+            row, col = np.nonzero(near <= (near.min(1) + slack)[:, None])
+            d = np.sqrt(((part[row] - book[col]) ** 2).sum(1))
+            order = np.lexsort((col, d, row))
+            first = order[np.r_[True, row[order][1:] != row[order][:-1]]]
+            code[at_known[at : at + 1024]], dist[at_known[at : at + 1024]] = idx[col[first]], d[first]
+        gone = pa.array(~known)
+        return pa.StructArray.from_arrays([pa.array(code, mask=~known), pa.array(dist, mask=~known)], ["code", "d"], mask=gone)
+
+    return run
 
 
 def parity_report(a: DataFrame, b: DataFrame, key: str, vector: str, rtol: float = 1e-5, atol: float = 1e-5, scale: float = 1.0) -> DataFrame:

@@ -10,8 +10,9 @@ ORDER = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def supertype(a: T.DataType, b: T.DataType) -> str:
-    """The type that holds both: whole numbers widen, with floats they are doubles, a date
-    and a time are a time, anything with text is text."""
+    """The type that holds both: whole numbers widen, with floats they are doubles, decimals
+    keep all digits before and after the point (38 at most, those after it give way first),
+    a date and a time are a time, anything with text is text."""
     x, y = a.simpleString(), b.simpleString()
     if x == y or y == "void":
         return x
@@ -22,12 +23,25 @@ def supertype(a: T.DataType, b: T.DataType) -> str:
     if x in ORDER and y in ORDER:
         wide = max(x, y, key=ORDER.index)
         return "double" if wide == "float" and {x, y} != {"float"} else wide
+    digits = [_digits(t) for t in (a, b)]
+    if all(digits):
+        whole, part = max(p - s for p, s in digits), max(s for _, s in digits)
+        return f"decimal({min(38, whole + part)},{min(part, max(0, 38 - whole))})"
+    if any(isinstance(t, T.DecimalType) for t in (a, b)) and {x, y} & {"float", "double"}:
+        return "double"
     times = ("date", "timestamp_ntz", "timestamp")
     if x in times and y in times:
         return max(x, y, key=times.index)
     return "string"
 
 
+def _digits(kind: T.DataType) -> tuple[int, int] | None:
+    """Precision and scale of a decimal or a whole number."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision, kind.scale
+    return {"tinyint": (3, 0), "smallint": (5, 0), "int": (10, 0), "bigint": (19, 0)}.get(kind.simpleString())
+
+
 def union_relaxed(top: DataFrame, *others: DataFrame) -> DataFrame:
     """All rows, in the columns of the first; types widen where they differ. A table that
     lacks a column is an error."""

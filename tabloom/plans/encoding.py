@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.keyed import normal_sql, uniform, uniform_sql
@@ -197,9 +198,21 @@ def latent_moments_whole(spark, sf_dir):
     return got.select("i", "j", *(F.round(c, 6).alias(c) for c in ("mean_i", "mean_j", "cov")))
 
 
-@query("SELECT o_orderkey, concat_ws('', CASE o_orderpriority WHEN '2-HIGH' THEN '1000' WHEN '3-MEDIUM' THEN '0100' WHEN '4-NOT SPECIFIED' THEN '0010' WHEN '5-LOW' THEN '0001' ELSE '0000' END) AS places FROM orders")
+_PLACES = "SELECT o_orderkey, concat_ws('', CASE o_orderpriority WHEN '2-HIGH' THEN '1000' WHEN '3-MEDIUM' THEN '0100' WHEN '4-NOT SPECIFIED' THEN '0010' WHEN '5-LOW' THEN '0001' ELSE '0000' END) AS places FROM orders"
+
+
+@query(_PLACES)
 def one_hot(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     vocab = E.fit_vocabulary(df.where("o_orderpriority <> '1-URGENT'"), ["o_orderpriority"])
     places = E.one_hot(vocab, "o_orderpriority", F.col("o_orderpriority"))
     return df.select("o_orderkey", F.array_join(F.transform(places, lambda x: x.cast("int")), "").alias("places"))
+
+
+@query(_PLACES)
+def one_hot_sparse(spark, sf_dir):
+    """The same places from sparse vectors."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    vocab = E.fit_vocabulary(df.where("o_orderpriority <> '1-URGENT'"), ["o_orderpriority"])
+    got = E.with_sparse(df, vocab, "o_orderpriority", "v")
+    return got.select("o_orderkey", F.array_join(F.transform(vector_to_array("v"), lambda x: x.cast("int")), "").alias("places"))

@@ -61,6 +61,17 @@ def kde_compare(spark, sf_dir):
     return a.join(b, "g")
 
 
+@query(
+    """WITH s AS (SELECT count(l_extendedprice) AS n, stddev_samp(CAST(l_extendedprice AS DOUBLE)) * pow(count(l_extendedprice), -0.2) AS h FROM lineitem),
+p AS (SELECT (CAST(l_extendedprice AS DOUBLE) - 0.0) / (h / 64) AS p FROM lineitem, s WHERE l_extendedprice IS NOT NULL), b AS (SELECT floor(p) AS i, sum(1 - (p - floor(p))) AS a, sum(p - floor(p)) AS b FROM p GROUP BY 1)
+SELECT CAST(g AS INTEGER) AS g, round(1e6 * sum(a * exp(-pow((100000.0 * g / 40 - i * (h / 64)) / h, 2) / 2) + b * exp(-pow((100000.0 * g / 40 - (i + 1) * (h / 64)) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())), 6) AS density FROM b, s, range(41) r(g) GROUP BY 1"""
+)
+def kde_prices(spark, sf_dir):
+    """The density of all line prices, by bins."""
+    got = M.kde_binned(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.0, 100000.0, 41)
+    return got.select("g", F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
 @query(f"SELECT round(median(d.dist), 6) AS median, round(quantile_cont(d.dist, 0.05), 6) AS p5, round(avg(CASE WHEN d.dist < t THEN 1.0 ELSE 0.0 END), 9) AS share_below FROM ({NEAREST}) d, (SELECT quantile_cont(dist, 0.01) AS t FROM ({OWN}))")
 def dcr_summary(spark, sf_dir):
     from ..operators.audit import distances

@@ -78,11 +78,12 @@ def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
-def write_table(df: DataFrame, path: str, config: dict | None = None) -> None:
-    """Snappy Parquet, files of at most 100,000 rows, stamped with the configuration."""
+def write_table(df: DataFrame, path: str, config: dict | None = None, row_group_rows: int = ROW_GROUP_ROWS) -> None:
+    """Snappy Parquet in row groups of at most 100,000 rows, stamped with the configuration;
+    a file holds as many groups as its task has, no row is shuffled."""
     if config is not None:
         df = df.withColumn("run_fingerprint", F.lit(fingerprint(config)))
-    df.write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", ROW_GROUP_ROWS).parquet(path)
+    df.write.mode("overwrite").option("compression", "snappy").option("parquet.block.row.count.limit", row_group_rows).parquet(path)
 
 
 def write_schema(profile: DataFrame, path: str) -> None:

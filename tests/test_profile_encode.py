@@ -171,3 +171,45 @@ def test_one_hot_of_any_width(spark):
     got = {r.x: r.p for r in E.with_one_hot(df, vocab, "x", "p").collect()}
     assert got == {"a": [1.0, 0.0, 0.0], "c": [0.0, 0.0, 1.0], None: [0.0] * 3, "new": [0.0] * 3}
     assert got == {r.x: r.p for r in df.select("x", E.one_hot(vocab, "x", F.col("x")).alias("p")).collect()}
+
+
+def test_sparse_places_equal_dense_ones(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tabloom.operators import encode as E
+
+    df = spark.range(400).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(pmod(id * id, 90) AS STRING) END AS c", "CAST(id AS DOUBLE) AS x")
+    vocab = E.fit_vocabulary(df.where("id < 300"), ["c"])
+    got = E.with_one_hot(E.with_sparse(df, vocab, "c", "v"), vocab, "c", "dense")
+    rows = got.select("v", vector_to_array("v").alias("a"), "dense").collect()
+    assert all(r.a == r.dense for r in rows) and all(type(r.v).__name__ == "SparseVector" and r.v.numNonzeros() <= 1 for r in rows)
+    both = E.sparse_features(df, vocab, ["x"], ["c"]).select("id", vector_to_array("features").alias("f")).collect()
+    assert all(r.f[0] == r.id and sum(r.f[1:]) <= 1 for r in both)
+    alone = E.with_sparse(df, vocab.where("false"), "c", "v").select(vector_to_array("v").alias("a")).collect()
+    assert all(sum(r.a) == 0 for r in alone)
+
+
+def test_decimals_widen(spark):
+    from decimal import Decimal
+
+    from tabloom.operators.sets import supertype, union_relaxed
+
+    kind = lambda t: spark.createDataFrame([], f"x {t}").schema["x"].dataType
+    pairs = {("decimal(10,2)", "decimal(8,5)"): "decimal(13,5)", ("decimal(10,2)", "bigint"): "decimal(21,2)", ("decimal(38,10)", "decimal(38,0)"): "decimal(38,0)", ("decimal(5,1)", "double"): "double", ("decimal(5,1)", "string"): "string", ("int", "decimal(4,4)"): "decimal(14,4)"}
+    for (a, b), want in pairs.items():
+        assert supertype(kind(a), kind(b)) == supertype(kind(b), kind(a)) == want
+    rows = union_relaxed(spark.createDataFrame([(Decimal("12345678.25"),)], "x decimal(10,2)"), spark.createDataFrame([(Decimal("1.00001"),)], "x decimal(8,5)")).collect()
+    assert [r.x for r in rows] == [Decimal("12345678.25000"), Decimal("1.00001")]
+
+
+def test_row_groups_are_limited(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tabloom.sources.files import write_table
+
+    write_table(spark.range(2500).repartition(1), str(tmp_path / "t"), row_group_rows=1000)
+    (path,) = glob.glob(f"{tmp_path}/t/*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 500]

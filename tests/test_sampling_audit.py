@@ -267,6 +267,35 @@ def test_random_projections_find_nearly_all(spark):
     assert sum(len(set(np.round(found[k], 9)) & set(np.round(exact[k], 9))) for k in exact) >= 0.9 * 2500
 
 
+def test_codebooks_of_any_size(spark, monkeypatch):
+    """A matrix, or cells: 100,000 codes, with ties, nulls and a slice of the vector."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    book = rng.integers(0, 60, (100_000, 3)).astype(float)
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else [7.0, *map(float, rng.integers(0, 60, 3) + 0.25 * (i % 2))]) for i in range(300)], "k long, v array<double>")
+    codes = spark.createDataFrame([(i, v) for i, v in enumerate(book.tolist())], "idx long, vector array<double>")
+    got = {r.k: (r.code, r.code_distance) for r in N.nearest_code(df, "v", codes, 1, 3).collect()}
+    small = {r.k: (r.code, r.code_distance) for r in N.nearest_code(df, "v", codes.where("idx < 3000"), 1, 3).collect()}
+    for r in df.collect():
+        if r.v is None:
+            assert got[r.k] == small[r.k] == (None, None)
+            continue
+        d = np.sqrt(((book - r.v[1:]) ** 2).sum(1))
+        assert got[r.k] == (int(d.argmin()), pytest.approx(d.min())) and small[r.k] == (int(d[:3000].argmin()), pytest.approx(d[:3000].min()))
+    with pytest.raises(ValueError):
+        N.nearest_code(df, "v", codes.where("false"))
+
+
+def test_binned_density_is_within_its_bound(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_extendedprice").cast("double").alias("x"))
+    h = df.agg(F.stddev_samp("x")).first()[0] * df.count() ** -0.2
+    for per in (4, 64):
+        both = M.kde(df, "x", 0.0, 1e5, 30).select("g", F.col("density").alias("a")).join(M.kde_binned(df, "x", 0.0, 1e5, 30, per), "g").collect()
+        assert len(both) == 30 and max(abs(r.a - r.density) for r in both) <= 0.4 / (8 * per**2) / h
+    assert [r.density for r in M.kde_binned(df.where("false"), "x", 0.0, 1.0, 3).collect()] == [0.0] * 3
+
+
 def test_ranges_do_not_change_ranks(spark):
     df = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(10**6)))
     one = S.global_rank(df, [F.col("x"), F.col("id")], "r")
@@ -331,6 +360,28 @@ def test_mixture_learns_two_clusters(spark):
     assert done.y.notna().all() and low.x.corr(low.y) > 0.5 and high.x.corr(high.y) < -0.5
 
 
+def test_mixture_of_incomplete_rows(spark):
+    """Planted clusters with 30 % of the cells gone: the gaps cost nothing but evidence,
+    where means in their place pull the clusters together."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    at = np.array([[-4.0, 0, 3], [4, 2, -3], [0, -5, 0]])
+    shape = np.array([[[1, 0.8, 0], [0.8, 1, 0], [0, 0, 0.5]], [[1, -0.8, 0], [-0.8, 1, 0], [0, 0, 0.5]], [[0.5, 0, 0.4], [0, 0.5, 0], [0.4, 0, 1]]])
+    own = rng.choice(3, 3000, p=[0.5, 0.3, 0.2])
+    x = np.array([rng.multivariate_normal(at[c], shape[c]) for c in own])
+    gone = rng.random(x.shape) < 0.3
+    rows = [([None if g else float(v) for v, g in zip(a, b)],) for a, b in zip(x, gone)]
+    weights, means, covs, seen = G.fit_mixture(spark.createDataFrame(rows, "z array<double>"), "z", 3, 3, 1)
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(seen, seen[1:])) and len(seen) > 3
+    order = [int(((means - c) ** 2).sum(1).argmin()) for c in at]
+    assert sorted(order) == [0, 1, 2] and weights[order] == pytest.approx([0.5, 0.3, 0.2], abs=0.03)
+    assert np.abs(means[order] - at).max() < 0.25 and np.abs(covs[order] - shape).max() < 0.25
+    filled = np.where(gone, np.nanmean(np.where(gone, np.nan, x), axis=0), x)
+    assert np.abs(np.cov(filled[own == 0].T)[0, 1] - 0.8) > 0.25  # what filling with means makes of a cluster
+    assert G.fit_mixture(spark.createDataFrame([([None, None],)], "z array<double>"), "z", 2, 2, 1)[3] == []
+
+
 def test_fill_keeps_known_cells(fitted):
     df, model = fitted
     holes = S.inject_nulls(df, "c_acctbal", "c_custkey", 0.5, 1)
