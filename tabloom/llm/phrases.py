@@ -17,10 +17,12 @@ WINDOW = 20
 SHINGLE = 5
 CHUNK = 10
 STRIDE = WINDOW - CHUNK + 1
+SIDE, FEW = (WINDOW - CHUNK) // 2, 4
 SHARD_BYTES = 4 << 20
 DIGITS = 64
 ODD = 0x9E3779B97F4A7C15
 MEMO = 300_000
+TASKS_A_CORE = 32
 
 
 class _Numbers(dict):
@@ -149,23 +151,31 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(rows)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the passages that a shard asks of a document, overlapping ones as one."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages that a shard asks of a document, overlapping ones as one."""
     for b in slices(batches):
-        shard, doc, start, body = [], [], [], []
-        for k, d, spans, t in zip(*(c.to_pylist() for c in b.columns)):
-            words, merged = t.split(), []
+        rows: list[tuple[int, int, int, int]] = []
+        for k, d, spans in zip(*(c.to_pylist() for c in b.columns)):
+            merged: list[list[int]] = []
             for s, e in sorted((x["s"], x["s"] + x["n"] + WINDOW - 1) for x in spans):
                 if merged and s <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], e)
                 else:
                     merged.append([s, e])
-            for s, e in merged:
-                shard.append(k)
-                doc.append(d)
-                start.append(s)
-                body.append(b" ".join(words[s:e]))
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary())], names=["shard", "doc_id", "s", "body"])
+            rows += [(k, d, s, e) for s, e in merged]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["shard", "doc_id", "s", "e"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the passages asked of a document by any shard."""
+    for b in slices(batches):
+        rows = []
+        for d, spans, t in zip(*(c.to_pylist() for c in b.columns)):
+            words = t.split()
+            rows += [(d, x["s"], x["e"], b" ".join(words[x["s"] : x["e"]])) for x in spans]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "s", "e", "body"])
 
 
 class PhraseAutomaton:
@@ -175,6 +185,10 @@ class PhraseAutomaton:
     whole chunk. A chunk met in a text is widened along the passage, word by word; 20
     words or more in common are an occurrence of the passage's windows. Each word is three
     letters or so of an alphabet that differs by place, so no match begins inside a word.
+
+    A chunk that many passages share meets only those that can have 20 words in common
+    there: of the 10 words besides the chunk, five in a row stand before it or after it,
+    and the passages are kept by these.
     """
 
     def __init__(self, passages: list[tuple[int, int, bytes]]):
@@ -189,15 +203,19 @@ class PhraseAutomaton:
         self.letters = ["".join(chr(1 + k * DIGITS + i // DIGITS**k % DIGITS) for k in range(self.width)) for i in range(len(number) + 1)]
         self.letters[0] = chr(1 + self.width * DIGITS) * self.width  # words of no passage
         self.auto, self.uses = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
-        for n, run in enumerate(runs):
+        for n, run in enumerate(self.runs):
             for at in range(0, len(run) - CHUNK + 1, STRIDE):
                 key = "".join([self.letters[i] for i in run[at : at + CHUNK]])
                 k = self.auto.get(key, -1)
                 if k < 0:
-                    self.auto.add_word(key, len(self.uses))
-                    self.uses.append([(n, at)])
-                else:
-                    self.uses[k].append((n, at))
+                    self.auto.add_word(key, k := len(self.uses))
+                    self.uses.append(([], {}, {}))
+                every, before, after = self.uses[k]
+                every.append((n, at))
+                if at >= SIDE:
+                    before.setdefault(run[at - SIDE : at].tobytes(), []).append((n, at))
+                if at + CHUNK + SIDE <= len(run):
+                    after.setdefault(run[at + CHUNK : at + CHUNK + SIDE].tobytes(), []).append((n, at))
         if self.uses:
             self.auto.make_automaton()
 
@@ -210,12 +228,15 @@ class PhraseAutomaton:
         ids, upto, found = None, {}, []
         for end, k in self.auto.iter("".join([letters[i] for i in known])):
             at = (end + 1) // self.width - CHUNK
-            for n, off in self.uses[k]:
+            if ids is None:
+                ids = np.array(known, np.int32)
+            uses, before, after = self.uses[k]
+            if len(uses) > FEW:
+                uses = [*before.get(ids[max(0, at - SIDE) : at].tobytes(), ()), *after.get(ids[at + CHUNK : at + CHUNK + SIDE].tobytes(), ())]
+            for n, off in uses:
                 lead = at - off  # where the passage's first word would be
                 if upto.get((n, lead), 0) > at:
                     continue
-                if ids is None:
-                    ids = np.array(known, np.int32)
                 lo, hi = self._common(ids, self.runs[n], at, off)
                 upto[(n, lead)] = hi
                 if hi - lo >= WINDOW and (self.places[n][0], self.places[n][1] + lo - lead) < (doc_id, lo):
@@ -339,10 +360,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shards = max(1, math.ceil((size.b + 64 * size.n) / shard_bytes))
     work = Workspace(spark, "phrases")
     wants = recurring_passages(texts.where(F.col("t").isNotNull()), work, shards)
-    bodies = wants.join(texts.where(F.col("t").isNotNull()), "doc_id").select("shard", "doc_id", "spans", "t")
-    bodies = bodies.mapInArrow(_passages, "shard int, doc_id long, s int, body binary")
-    bodies = bodies.select("shard", F.lit(False).alias("is_doc"), "doc_id", "s", "body")
+    wants = work.table(wants.select("shard", "doc_id", "spans").mapInArrow(_joined, "shard int, doc_id long, s int, e int"), "passages")
+    # a passage is cut from its text once, however many shards ask for it
+    spans = wants.select("doc_id", "s", "e").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    bodies = work.table(spans, "spans").join(texts.where(F.col("t").isNotNull()), "doc_id").select("doc_id", "spans", "t")
+    bodies = work.table(bodies.mapInArrow(_bodies, "doc_id long, s int, e int, body binary"), "bodies").dropDuplicates(["doc_id", "s", "e", "body"])
+    bodies = wants.join(bodies, ["doc_id", "s", "e"]).select("shard", F.lit(False).alias("is_doc"), "doc_id", "s", "body")
     nameless = F.pmod(F.xxhash64("t"), F.lit(shards)).cast("int")
     every = rows.select(F.when(F.col("doc_id").isNull(), nameless).otherwise(_shard("doc_id", shards)).alias("shard"), F.lit(True).alias("is_doc"), "doc_id", F.lit(0).alias("s"), F.col("t").alias("body"))
-    dealt = bodies.unionByName(every).repartition(max(1, math.ceil(shards / 2)), "shard").sortWithinPartitions("shard", "is_doc")
+    # rows come sorted by shard, so a task may have any number of shards: a few tasks a core
+    tasks = max(1, min(math.ceil(shards / 2), TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+    dealt = bodies.unionByName(every).repartition(tasks, "shard").sortWithinPartitions("shard", "is_doc")
     return dealt.mapInArrow(_stream, "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept binary")

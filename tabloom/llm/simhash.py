@@ -16,6 +16,7 @@ from .common import Workspace, connected_components, stage_table
 UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 RADIUS = 3
 PART_ROWS = 1 << 20
+TASKS_A_CORE = 256
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -171,12 +172,14 @@ def links(fps: DataFrame, blocks: int = 3, bucket_limit: int = 512) -> DataFrame
     verified inside the sorted stream, which holds at most ``bucket_limit`` of them.
     Buckets beyond that are not cut: their members go through full balls of radius 1 and
     2 around common points, which link them exactly in linear space (2,081 rows of 17 bytes
-    a member, dropped afterwards). The number of partitions follows the number of variants.
+    a member, dropped afterwards). Partitions are of about a million variants, but no more
+    than some tasks a core.
     """
     work = Workspace(fps.sparkSession, "simhash")
     fps = work.table(fps.select("fp"), "fps")
     variants = sum(len(flips) for _, _, flips in ball_blocks(blocks))
-    parts = max(1, math.ceil(fps.count() * variants / PART_ROWS))
+    most = TASKS_A_CORE * fps.sparkSession.sparkContext.defaultParallelism  # rows are sorted and streamed, so a task may have any number
+    parts = max(1, min(most, math.ceil(fps.count() * variants / PART_ROWS)))
     # dealt before the balls are emitted, so that the emission is spread as well
     balls = fps.repartition(parts, "fp").mapInArrow(_emit_balls(blocks), "variant long, fp long")
     found = balls.repartition(parts, "variant").sortWithinPartitions("variant").mapInArrow(_verify(bucket_limit), "u long, v long")
@@ -186,7 +189,7 @@ def links(fps: DataFrame, blocks: int = 3, bucket_limit: int = 512) -> DataFrame
     dense = found.where("v IS NULL").select(F.col("u").alias("fp"))
     if dense.isEmpty():
         return edges
-    stars = dense.repartition(max(1, math.ceil(dense.count() * 2081 / PART_ROWS)), "fp").mapInArrow(_emit_stars, "point long, fp long, inner boolean")
+    stars = dense.repartition(max(1, min(most, math.ceil(dense.count() * 2081 / PART_ROWS))), "fp").mapInArrow(_emit_stars, "point long, fp long, inner boolean")
     stars = work.table(stars, "stars")
     hub = work.table(stars.where("inner").groupBy("point").agg(F.min("fp").alias("hub")), "hubs")
     far = work.table(stars.join(hub, "point").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "far")
@@ -239,4 +242,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = fingerprints(many.dropDuplicates(["__text"]), "__text", text_col).select(F.col("doc_id").alias("__text"), F.col("fp").alias("__fp"))
     lead = found.where("doc_id = component_id").select(F.col("doc_id").alias("__lead"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
     many = many.join(prints, "__text").withColumn("__lead", F.col(id_col).cast("long")).join(lead, ["__lead", "__fp"])
-    return once.unionByName(many.dropDuplicates(["__root"]).select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = many.groupBy("__root").agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    return once.unionByName(kept.select("__row.*"))

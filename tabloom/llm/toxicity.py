@@ -75,12 +75,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.binary()), pa.array(ids, pa.binary())], names=["y", "size", "ids"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, max_features: int = MAX_FEATURES, rounds: int = 200) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, text_chars: int = TEXT_CHARS, max_features: int = MAX_FEATURES, rounds: int = 200) -> ToxicityModel:
     """Fit on at most ``train_rows`` labelled documents that are not held out.
 
     The rows are those with the smallest hashed ids, so a rerun takes the same; of their
     texts, in the order of hashes, ``train_chars`` code points at most (24 million), so that
-    what comes to the driver is bounded in bytes too, and none over a million by itself. All
+    what comes to the driver is bounded in bytes too, and none over ``text_chars`` (a million)
+    by itself. All
     texts are scored, whatever their length. An id with
     several labels counts as toxic if any says so; null ids, null labels and labels other
     than 0 and 1 are left out; equal texts count once, as toxic if any of them is. Without
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     work = Workspace(docs.sparkSession, "toxicity")
     rows = work.table(rows.select("y", "t", F.xxhash64("t").alias("h"), F.length("t").cast("long").alias("n")), "sample")
     upto = F.sum("n").over(Window.orderBy("h", "n"))  # two numbers a row, of at most train_rows rows
-    taken = rows.select("h", "n").where(F.col("n") <= TEXT_CHARS).select("h", "n", upto.alias("upto")).where(F.col("upto") <= train_chars).select("h", "n").distinct()
+    taken = rows.select("h", "n").where(F.col("n") <= text_chars).select("h", "n", upto.alias("upto")).where(F.col("upto") <= train_chars).select("h", "n").distinct()
     got = rows.join(F.broadcast(taken), ["h", "n"], "left_semi").select("y", "t").mapInArrow(_bags, "y int, size binary, ids binary").toArrow()
     work.drop("sample")
     y = np.array(got["y"].to_pylist(), np.float64)

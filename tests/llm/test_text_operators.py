@@ -194,6 +194,20 @@ def test_phrases_come_from_the_automaton(docs, monkeypatch):
     assert not any(r[2] for r in removed(docs))
 
 
+def test_passages_that_share_a_chunk(spark):
+    """2,000 passages around the same 10 words, in a text that repeats these: a match of the
+    chunk meets the passages with the same words beside it, not all of them."""
+    chunk = [f"c{i}".encode() for i in range(10)]
+    passages = [(i, 0, b" ".join([*(b"a%d_%d" % (i, k) for k in range(22)), *chunk, *(b"z%d_%d" % (i, k) for k in range(22))])) for i in range(2000)]
+    auto = phrases.PhraseAutomaton(passages)
+    words = [w for i in range(2000) for w in (b"x%d" % i, *chunk)] + passages[700][2].split() + passages[3][2].split()[5:50]
+    began = time.thread_time()
+    assert auto.repeats(5000, words) == [(22_000, 22_054 + 45)]
+    turn = time.thread_time()
+    sum(range(1_000_000))
+    assert turn - began < 50 * (time.thread_time() - turn)  # about a second
+
+
 def test_phrases_edges(odd, none):
     got = removed(odd)
     # the long text is periodic (977 words): only its first period stays, and nothing of its copy
@@ -403,14 +417,13 @@ def test_toxicity_labels_that_disagree(spark):
     assert a == b
 
 
-def test_toxicity_sample_is_bounded(spark, monkeypatch):
+def test_toxicity_sample_is_bounded(spark):
     """Texts over the bounds are not learned from, and are scored all the same."""
     bad, calm = [f"you rotten fool {i}" for i in range(30)], [f"a calm quiet day {i}" for i in range(30)]
     rows = [(i, t, "en", "a", 0) for i, t in enumerate(bad + calm)] + [(100, "you rotten fool. " * 2000, "en", "a", 0)]
     labels = [(i, int(i < 30)) for i in range(60)] + [(100, 0)]
     df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
-    monkeypatch.setattr(toxicity, "TEXT_CHARS", 10_000)
-    model = toxicity.fit(df, lab)
+    model = toxicity.fit(df, lab, text_chars=10_000)
     assert model == toxicity.fit(df.where("doc_id < 100"), lab) and model.weights
     assert toxicity.fit(df, lab, train_chars=0) == toxicity.ToxicityModel()
     assert {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}[100] == 1
