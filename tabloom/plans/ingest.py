@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed import normal_sql, uniform_sql
 from ..functions.scalars import NULL_TOKENS, cyclical, lenient_double, null_tokens
 from ..operators import profile as P
+from ..operators import sketches as K
 from ..operators.encode import intervene, intervention_mask, known_mask
 from ..operators.sampling import head_n, inject_nulls
 from ..sources import files
@@ -271,3 +272,20 @@ _CYCLES = ", ".join(f"round({f}(2 * pi() * {part} / {n}.0), 6) AS {name}_{f}" fo
 @query(f"SELECT o_orderkey, {_CYCLES} FROM orders")
 def cyclical_encode(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", *(F.round(c, 6).alias(n) for n, c in cyclical(F.col("o_orderdate")).items()))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS low, {f'CAST(max({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS high, true AS distinct_within FROM orders"
+        for c, number in (("o_orderkey", True), ("o_totalprice", True), ("o_orderpriority", False))
+    )
+)
+def profile_grown(spark, sf_dir):
+    """The profile of a table that came in three files, from the sketches kept of each."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    states = [K.state(df.where(F.pmod("o_orderkey", F.lit(3)) == i)) for i in range(3)]
+    got = K.merged(*states)
+    exact = df.agg(*(F.countDistinct(c).alias(c) for c in df.columns))
+    exact = exact.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in df.columns))).alias("x")).select("x.*")
+    near = F.abs(F.hll_sketch_estimate("distinct") - F.col("n")) <= 0.06 * F.col("n") + 1
+    return got.join(exact, "column_name").select("column_name", F.col("rows").alias("row_count"), "nulls", "low", "high", near.alias("distinct_within"))

@@ -213,3 +213,29 @@ def test_row_groups_are_limited(spark, tmp_path):
     (path,) = glob.glob(f"{tmp_path}/t/*.parquet")
     meta = pq.ParquetFile(path).metadata
     assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 500]
+
+
+def test_sketches_grow_with_new_files(spark, sf, tmp_path):
+    import numpy as np
+
+    from tabloom.operators import sketches as K
+
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+    df = df.withColumn("l_shipdate", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_shipdate")))
+    parts = [df.where(F.col("l_orderkey") % 3 == i) for i in range(3)]
+    for p in parts:
+        found = K.grown(str(tmp_path / "state"), p)
+    got, once = ({r.column_name: r for r in K.readout(s).collect()} for s in (found, K.state(df)))
+    assert set(got) == set(df.columns)
+    for c in df.columns:
+        exact = df.agg(F.count(F.lit(1)), F.count_if(F.col(c).isNull()), F.countDistinct(c)).first()
+        assert (got[c].rows, got[c].null_ratio) == (once[c].rows, once[c].null_ratio) == (exact[0], exact[1] / exact[0])
+        assert abs(got[c].n_unique - exact[2]) <= 0.06 * exact[2] + 1 and abs(once[c].n_unique - exact[2]) <= 0.06 * exact[2] + 1
+    for c in ("l_orderkey", "l_extendedprice"):
+        x = np.sort([float(r[0]) for r in df.select(c).collect()])
+        assert got[c].low == x[0] and got[c].high == x[-1]
+        for share, at in zip(K.SHARES, got[c].quantiles):
+            assert np.searchsorted(x, at, "left") / len(x) - 0.02 <= share <= np.searchsorted(x, at, "right") / len(x) + 0.02
+    assert got["l_returnflag"].quantiles is None
+    empty = K.readout(K.merged(K.state(df.where("false")), K.state(df))).collect()
+    assert {r.column_name: r.rows for r in empty} == {c: df.count() for c in df.columns}
