@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NULL_TOKEN, UNKNOWN_TOKEN, lenient_double, normalise_category
+from ..sources.scratch import written
 from .metrics import value_places
 from .sampling import rank_within
 
@@ -33,6 +34,7 @@ def fit_quantiles(df: DataFrame, columns: list[str], q: int = QUANTILES, exact:
     """
     if exact:
         places, counts = value_places(df, {c: lenient_double(F.col(f"`{c}`")) for c in columns})
+        places = written(places, "places")  # read three times
     else:
         counts = df.agg(*(F.count(_finite(c)).alias(c) for c in columns)).first().asDict()
     steps = {c: min(max(n, 2), q) - 1 for c, n in counts.items()}
