@@ -325,6 +325,16 @@ def test_hamming_takes_every_component(spark):
             assert sorted(got[q]) == [(n + 1, int(j), int(d[j])) for n, j in enumerate(order[order != q][:20])]
 
 
+def test_hamming_blocks_of_a_span_hand_on_one_list(spark, monkeypatch):
+    """Lists grew as queries times blocks, whatever the size of a block."""
+    x = np.random.default_rng(8).normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    lists, merge = [], hamming.top_of
+    monkeypatch.setattr(hamming, "top_of", lambda parts, *a: lists.append(parts.count()) or merge(parts, *a))
+    small, large = (sorted(hamming.exact_top_k(df, block_rows=n).collect()) for n in (30, 5000))
+    assert small == large and len(small) == 3000 and lists == [150, 150]
+
+
 @pytest.mark.parametrize("search", [multi_index.search, hamming.exact_top_k])
 def test_search_edges(spark, search):
     """Copies of one vector in most rows, unusable vectors, few candidates."""
