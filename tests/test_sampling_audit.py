@@ -460,3 +460,52 @@ def test_projections_deal_the_smaller_side_to_several_buckets(spark, monkeypatch
     near = {r.k: r.near for r in N.knn_approximate(frame(ask), frame(point), "k", ["x", "y"], [], bucket_rows=20).collect()}
     d = np.sqrt((((ask[:, None] - point[None]) / point.std(0)) ** 2).sum(2)).min(1)
     assert sent == [8000] and np.mean([bool(near[i]) and abs(near[i][0] - d[i]) < 1e-9 for i in range(2000)]) > 0.95
+
+
+def _written_rows(monkeypatch):
+    """The number of rows of each table that a join writes, by name."""
+    from tabloom.sources.scratch import Workspace
+
+    seen, table = {}, Workspace.table
+
+    def spy(self, df, name):
+        out = table(self, df, name)
+        seen[name] = out.count()
+        seen["rows-with-weight"] = seen[name] if "weight" in df.columns else seen.get("rows-with-weight", 0)
+        return out
+
+    monkeypatch.setattr(Workspace, "table", spy)
+    return seen
+
+
+def test_copies_of_left_rows_are_compared_once(spark, monkeypatch):
+    rows = [(i, float(i % 50), None if i % 50 == 7 else f"c{i % 5}") for i in range(2000)]
+    left = spark.createDataFrame(rows, "k long, x double, c string")
+    right = spark.createDataFrame([(i, i * 1.5 + 0.1, f"c{i % 4}") for i in range(40)], "k long, x double, c string")
+    once = {r.x: r.near for r in N.knn(left.where("k < 50"), right, "k", ["x"], ["c"], 3).select("k", "near").join(left, "k").collect()}
+    own = {r.k: r.near for r in N.knn(left, left, "k", ["x"], ["c"], 2, exclude_self=True).collect()}
+    seen = _written_rows(monkeypatch)
+    got = N.knn(left, right, "k", ["x"], ["c"], 3).collect()
+    assert len(got) == 2000 and all(r.near == once[float(r.k % 50)] for r in got)
+    assert seen["near"] == 50
+    assert set(map(tuple, own.values())) == {(0.0, 0.0)} and len(own) == 2000
+
+
+def test_large_groups_with_a_slash_in_their_name(spark):
+    rows = [(i, f"a/{i % 2}", float(i)) for i in range(800)]
+    df = spark.createDataFrame(rows, "k long, g string, x double")
+    args = (df, df, "k", ["x"], [])
+    parts = {r.k: r.near for g in ("a/0", "a/1") for r in N.knn(df.where(F.col("g") == g), df.where(F.col("g") == g), "k", ["x"], [], exclude_self=True).collect()}
+    got = {r.k: r.near for r in N.knn(*args, exclude_self=True, cell_rows=16, by="g").collect()}
+    assert got.keys() == parts.keys() and all(got[k] == pytest.approx(parts[k], abs=1e-12) for k in parts)
+
+
+def test_rows_of_a_rare_category_meet_few_cells(spark, monkeypatch):
+    """Its points lie far apart, so that a bound from other categories reaches all cells."""
+    rows = [(i, i / 1000, "rare" if i % 100 == 0 else f"c{i % 3}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, x double, c string")
+    want = {r.k: r.near for r in N.knn(df, df, "k", ["x"], ["c"], 2, exclude_self=True).collect()}
+    seen = _written_rows(monkeypatch)
+    got = {r.k: r.near for r in N.knn(df, df, "k", ["x"], ["c"], 2, exclude_self=True, cell_rows=16).collect()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(b, abs=1e-12) for a, b in ((got[k], want[k]) for k in want))
+    assert seen["near"] < 3 * 6000
