@@ -509,3 +509,19 @@ def test_rows_of_a_rare_category_meet_few_cells(spark, monkeypatch):
     got = {r.k: r.near for r in N.knn(df, df, "k", ["x"], ["c"], 2, exclude_self=True, cell_rows=16).collect()}
     assert got.keys() == want.keys() and all(a == pytest.approx(b, abs=1e-12) for a, b in ((got[k], want[k]) for k in want))
     assert seen["near"] < 3 * 6000
+
+
+def test_forest_of_many_rows_holds_a_bounded_number(spark, monkeypatch):
+    u = lambda seed: F.rand(seed)
+    rows = spark.range(20000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("label"), *(u(i).alias(c) for i, c in enumerate(A.FEATURES[1:])))
+    rows = rows.withColumn(A.FEATURES[0], u(9) + 0.5 * F.col("label"))
+    rows = rows.withColumns({c: F.floor(F.col(c) * 3) / 3 for c in A.FEATURES[1:]}).localCheckpoint()
+    config = A.ShadowConfig(trees=20, depth=4)
+    seen, auc = _written_rows(monkeypatch), []
+    from pyspark.ml.functions import vector_to_array
+
+    for most in (20000, 500):
+        scored = A.fit_attack(rows, config, most).transform(rows).select("label", vector_to_array("probability")[1].alias("s")).localCheckpoint()
+        auc.append(M.roc_auc(scored, "s", "label").first()[0])
+    assert 0 < seen["rows-with-weight"] < 500 + 32 * 27 * 2
+    assert auc[0] > 0.8 and auc[1] == pytest.approx(auc[0], abs=0.02)
