@@ -19,6 +19,7 @@ SCAN_SHARE = 0.45
 SCAN_LEAST = 6000
 SHARD_ROWS = 2048
 ROUTE_ROWS = 128
+SPAN_ROWS, SPAN_QUERIES = 16384, 1024
 QUERY_EVERY = 20
 
 
@@ -122,6 +123,34 @@ def _rerank(keep: int):
     return run
 
 
+def _rerank_all(keep: int):
+    """``_rerank`` of queries that see every entry: products of many at once find those that
+    rounding may put among the best, which are then scored as one by one."""
+
+    def run(key: tuple, queries: pa.Table, entries: pa.Table) -> pa.Table:
+        out_q, out_id, out_s = [], [], []
+        if queries.num_rows and entries.num_rows:
+            x, asked = (np.frombuffer(b"".join(t["key"].to_pylist()), np.float64).reshape(t.num_rows, -1) for t in (entries, queries))
+            ids, names = entries["ids"].to_pylist(), queries["q"].to_pylist()
+            low, size = np.array([i[0] for i in ids]), np.abs(x).max(0)
+            for begin in range(0, len(asked), 256):
+                part = asked[begin : begin + 256]
+                near = part @ x.T
+                least = np.partition(near, -min(keep, len(x)), axis=1)[:, -min(keep, len(x))]
+                slack = 1e-12 * (np.abs(part) @ size)  # far above the rounding of a product
+                for i, v in enumerate(part):
+                    at = np.flatnonzero(near[i] >= least[i] - slack[i])
+                    score = x[at] @ v
+                    best = np.lexsort((low[at], -score))[:keep]
+                    pairs = sorted((-score[b], j) for b in best for j in ids[at[b]])[:keep]
+                    out_q.append(names[begin + i])
+                    out_id.append([p[1] for p in pairs])
+                    out_s.append([-p[0] for p in pairs])
+        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_id, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float64()))], names=["q", "ids", "scores"])
+
+    return run
+
+
 def top_of(parts: DataFrame, keep: int, largest: bool) -> DataFrame:
     """Merges the partial lists ``(q, ids, scores)`` into ``(q, top)``, best first."""
     sign = -1 if largest else 1
@@ -210,11 +239,21 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             yield pa.RecordBatch.from_arrays([pa.array(shard_of(cell, block).astype(np.int32)), *b.columns], names=["shard", "key", "ids", "cell"])
 
     lead = stage_table(lead, "ann-leads")
+    placed = entries.mapInArrow(place, "shard int, key binary, ids array<long>, cell int")
+    named = asked.join(lead, "key").select("query_id", "q")
+    if scan_share >= 1:
+        # a walk to the end meets all cells, whatever their order: shards are visited by
+        # spans of them, each by many queries at once, and a query has one list a span
+        span = F.floor(F.col("shard") / max(1, SPAN_ROWS // shard_rows)).cast("int")
+        spans, crowds = math.ceil(shards / max(1, SPAN_ROWS // shard_rows)), max(1, math.ceil(lead.count() / SPAN_QUERIES))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        visits = lead.select("key", "q", F.pmod(F.xxhash64("q"), F.lit(crowds)).cast("int").alias("crowd"), each(spans).alias("span"))
+        placed = placed.select("key", "ids", span.alias("span"), each(crowds).alias("crowd"))
+        parts = visits.groupBy("span", "crowd").cogroup(placed.groupBy("span", "crowd")).applyInArrow(_rerank_all(keep), "q long, ids array<long>, scores array<double>")
+        return answers(named, top_of(parts, keep, True), k).select("query_id", "rank", "vec_id", (-F.col("s")).alias("score"))
     lead = lead.repartition(max(1, math.ceil(lead.count() / ROUTE_ROWS)), "q")  # walking the index is most of a query's work
     routed = lead.mapInArrow(route, "shard int, q long, key binary, cells array<int>")
-    placed = entries.mapInArrow(place, "shard int, key binary, ids array<long>, cell int")
     parts = routed.groupBy("shard").cogroup(placed.groupBy("shard")).applyInArrow(_rerank(keep), "q long, ids array<long>, scores array<double>")
-    named = asked.join(lead, "key").select("query_id", "q")
     return answers(named, top_of(parts, keep, True), k).select("query_id", "rank", "vec_id", (-F.col("s")).alias("score"))
 
 

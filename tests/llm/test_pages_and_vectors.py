@@ -350,3 +350,23 @@ def test_search_edges(spark, search):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in search(few).collect()] == [(0, 1, 1)]
     assert search(df.limit(0)).count() == 0
+
+
+def test_a_whole_walk_has_one_list_a_query_and_span(spark, monkeypatch):
+    """Not one for each shard, of which there are as many as the table has times 8 rows."""
+    import numpy as np
+
+    from tabloom.llm import multi_index
+
+    x = np.random.default_rng(4).integers(-3, 4, (600, 6)).astype(float) + 0.5
+    x[100:140] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    lists, top_of = [], multi_index.top_of
+    monkeypatch.setattr(multi_index, "top_of", lambda parts, *a: lists.append(parts.count()) or top_of(parts, *a))
+    got = {}
+    for r in multi_index.search(df, scan_share=1.0, scan_least=1, shard_rows=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    score = x @ x.T
+    want = {q: [(n + 1, i, score[q, i]) for n, i in enumerate(sorted((i for i in range(600) if i != q), key=lambda i: (-score[q, i], i))[:20])] for q in range(0, 600, 20)}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert 0 < lists[0] <= 30
