@@ -12,6 +12,7 @@ from tabloom.operators import generate as G
 from tabloom.operators import metrics as M
 from tabloom.operators import neighbors as N
 from tabloom.operators import sampling as S
+from tabloom.sources.scratch import Workspace
 
 
 @pytest.fixture(scope="module")
@@ -525,3 +526,20 @@ def test_forest_of_many_rows_holds_a_bounded_number(spark, monkeypatch):
         auc.append(M.roc_auc(scored, "s", "label").first()[0])
     assert 0 < seen["rows-with-weight"] < 500 + 32 * 27 * 2
     assert auc[0] > 0.8 and auc[1] == pytest.approx(auc[0], abs=0.02)
+
+
+def test_cells_of_few_numbers_are_large_and_on_one_level(spark, monkeypatch):
+    df = spark.range(17_000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 17_011).cast("double").alias("x"))
+    points = spark.range(2000).selectExpr("'g/0' cell", "id", "array(double(id % 997), double(id % 7)) z", "array(bigint(id % 3)) cat", "1 m")
+    cells = N.Cells(points, 2, 30, Workspace(spark, "cells"))
+    assert len(cells.levels) == 1
+    level = cells.levels[0].first()
+    ends = {r.cell for r in cells.points.select("cell").distinct().collect()}
+    assert level.cell == "g/0" and {b.leaf for b in level.boxes} == ends and cells.points.count() == 2000
+
+    monkeypatch.setattr(N.Cells, "visits", lambda *a: pytest.fail("split in small cells"))
+    got = {r.k: r.near[0] for r in N.knn(df, df, "k", ["x"], [], exclude_self=True).collect()}
+    line = sorted((k * 7919 % 17_011, k) for k in range(17_000))
+    sd = math.sqrt(sum(x * x for x, _ in line) / 17_000 - (sum(x for x, _ in line) / 17_000) ** 2)
+    for i in range(1, 16_999, 53):
+        assert got[line[i][1]] * sd == pytest.approx(min(line[i][0] - line[i - 1][0], line[i + 1][0] - line[i][0]))
