@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import audit as A
+from tabloom.operators import boosting as B
 from tabloom.operators import generate as G
 from tabloom.operators import metrics as M
 from tabloom.operators import neighbors as N
@@ -543,3 +544,23 @@ def test_cells_of_few_numbers_are_large_and_on_one_level(spark, monkeypatch):
     sd = math.sqrt(sum(x * x for x, _ in line) / 17_000 - (sum(x for x, _ in line) / 17_000) ** 2)
     for i in range(1, 16_999, 53):
         assert got[line[i][1]] * sd == pytest.approx(min(line[i][0] - line[i - 1][0], line[i + 1][0] - line[i][0]))
+
+
+def test_trees_are_grown_once_and_scored_by_all_cores(spark, pair):
+    config = A.ShadowConfig(mode="ci_lite", max_rows=8, trees=3)
+    scores = A.mia_scores(*pair, "k", ["age"], ["sex"], config)
+    assert scores.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+    grown, rows = spark.sparkContext.accumulator(0), spark.range(80).selectExpr("id k", "if(id % 4 = 0, 'a', 'b') model", "double(id % 2) y", "double(id) x")
+    once = B.fit
+
+    def counted(*args):
+        grown.add(1)
+        return once(*args)
+
+    B.fit = counted
+    try:
+        models, _ = B.fit_models(rows, "model", "y", "k", ["x"], [], 1, 2)
+    finally:
+        B.fit = once
+    assert sorted(models) == ["a", "b"] and grown.value == 2
