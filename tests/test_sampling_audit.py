@@ -612,3 +612,23 @@ def test_runs_find_the_nearest_of_any_cell():
         all_pairs = np.sqrt(((rows[:, None] - points[None]) ** 2).sum(2) + ((asked[:, None] != kinds[None]) * cost[:, None]).sum(2))
         for near, want in zip(got, np.sort(all_pairs, axis=1)):
             assert sorted(p["d"] for p in near) == pytest.approx([x for x in want[:k] if np.isfinite(x)])
+
+
+def test_both_joins_of_the_audit_share_the_real_side(spark, monkeypatch):
+    """The real rows were read, scaled and put into cells once for each of the two joins."""
+    import random
+
+    built, init, drawn = [], N.Cells.__init__, random.Random(5)
+    monkeypatch.setattr(N.Cells, "__init__", lambda self, *a: (built.append(1), init(self, *a))[1])
+    row = lambda k: (k, drawn.choice([None, *map(float, range(40))]), drawn.random(), drawn.choice("abc"))
+    real, made = ([row(k) for k in range(n)] for n in (400, 300))
+    real += [(900 + k, *real[k][1:]) for k in range(5)]
+    real, made = (spark.createDataFrame(x, "k int, x double, y double, c string") for x in (real, made + [(999, 3.5, 0.5, "new")]))
+    read = lambda d: {r.k: r.near for r in d.collect()}
+    near, own = (read(d) for d in N.knn_and_own(made, real, "k", ["x", "y"], ["c"], 2, cell_rows=64))
+    assert len(built) == 1
+    for got, want in ((near, N.knn(made, real, "k", ["x", "y"], ["c"], 2)), (own, N.knn(real, real, "k", ["x", "y"], ["c"], 2, exclude_self=True))):
+        want = read(want)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    built.clear()
+    assert A.dcr_audit(real, made, "k", ["x", "y"], ["c"]).first().dcr_threshold == 0 and len(built) == 1
