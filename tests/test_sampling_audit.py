@@ -632,3 +632,46 @@ def test_both_joins_of_the_audit_share_the_real_side(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     built.clear()
     assert A.dcr_audit(real, made, "k", ["x", "y"], ["c"]).first().dcr_threshold == 0 and len(built) == 1
+
+
+def _same_trees(a, b):
+    assert a.base == pytest.approx(b.base, abs=1e-9) and len(a.trees) == len(b.trees)
+    for own, other in zip(a.trees, b.trees):
+        assert all(list(x) == pytest.approx(list(y), abs=1e-9) for x, y in zip(own, other))
+
+
+def test_boosted_trees_learn_from_all_rows(spark):
+    """Beyond 200,000 rows a model took a sample of so many; rare rows and exact shares tell."""
+    import numpy as np
+
+    n = 230_000
+    rows = spark.range(n).selectExpr("id k", "'a' model", "double(id % 40 + if(id % 10000 = 7, 1000 + id, 0)) x", "double(id % 3 = 0 or id % 40 > 30 or id % 10000 = 7) y")
+    trees = B.fit_models(rows, "model", "y", "k", ["x"], [], 1, 2)[0]["a"]
+    k = np.arange(n)
+    x, y = k % 40 + np.where(k % 10000 == 7, 1000 + k, 0), ((k % 3 == 0) | (k % 40 > 30) | (k % 10000 == 7)).astype(float)
+    assert trees.base == pytest.approx(math.log(y.mean() / (1 - y.mean())), abs=1e-12)
+    _same_trees(trees, B.fit(x[:, None].astype(float), y, 2))
+
+
+def test_trees_summed_by_spark_are_those_of_one_task(spark):
+    """More than 255 numbers, tokens that one model never saw, a model that has nothing to split."""
+    import numpy as np
+
+    rows = spark.range(4000).selectExpr("id k", "if(id % 3 = 0, 'a', 'b') model", "pmod(xxhash64(id), 1000) / 7 x", "double(id % 9) z", "concat('t', int(pow(pmod(xxhash64(id, 2), 100) / 100, 2) * 5) + id % 3) c")
+    rows = rows.selectExpr("*", "double((x > 60) = (c in ('t0', 't1', 't3')) or z * x > 900) y")
+    rows = rows.unionByName(rows.where("k < 60").selectExpr("k + 10000 k", "'c' model", "x", "z", "'other' c", "1.0D y"))
+    one, tokens = B.fit_models(rows, "model", "y", "k", ["x", "z"], ["c"], 1, 3)
+    many, _ = B.fit_models(rows, "model", "y", "k", ["x", "z"], ["c"], 1, 3, None, 0)
+    got = rows.where("model = 'a'").collect()
+    names = {t: i for i, (t, _) in enumerate(sorted(Counter(r.c for r in got).items(), key=lambda x: (-x[1], x[0])))}
+    _same_trees(one["a"], B.fit(np.array([(r.x, r.z, names[r.c]) for r in got], float), np.array([r.y for r in got]), 3))
+    assert sorted(one) == sorted(many) == ["a", "b", "c"] and len(one["c"].trees) == 1
+    for name in one:
+        _same_trees(one[name], many[name])
+
+    seen = {r.token: r.nos for r in tokens.table.collect()}
+    assert {t: nos[0] for t, nos in seen.items() if t in names} == names and seen["other"][0] == len(names) == tokens.others[0][0]
+    new = spark.createDataFrame([(1, 80.0, 3.0, c) for c in ("t0", "other", None, "never seen")], "y int, x double, z double, c string")
+    scored = B.score_models(new, one, tokens, "y", ["x", "z"], ["c"]).where("source = 'a'").collect()
+    unseen = one["a"](np.array([(80.0, 3.0, len(names))]))[0]
+    assert sorted(r.score for r in scored) == pytest.approx(sorted([one["a"](np.array([(80.0, 3.0, names["t0"])]))[0], *[unseen] * 3]))
