@@ -675,3 +675,5 @@ def test_trees_summed_by_spark_are_those_of_one_task(spark):
     scored = B.score_models(new, one, tokens, "y", ["x", "z"], ["c"]).where("source = 'a'").collect()
     unseen = one["a"](np.array([(80.0, 3.0, len(names))]))[0]
     assert sorted(r.score for r in scored) == pytest.approx(sorted([one["a"](np.array([(80.0, 3.0, names["t0"])]))[0], *[unseen] * 3]))
+    none = B.fit_models(rows.limit(0), "model", "y", "k", ["x", "z"], ["c"], 1, 3)
+    assert none == ({}, None) and B.score_models(new, *none, "y", ["x", "z"], ["c"]).count() == 0
